@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .language import fit_languages, predict_languages
 from .mixing import mix_documents
+from .packing import pack_documents
 from .shared import table
+from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import judge_urls, rule_table
 
 #: Rules of the URL query.
@@ -23,13 +26,33 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return score_toxicity(docs, model).withColumn("held_out", held_out(F.col("doc_id"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rule_table(spark, URL_RULES))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    packed = pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), digests={"ids_crc32": F.crc32("ids")})
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    out = held_out(F.col("doc_id"), folds=3, fold=1)
+    model = fit_languages(docs.where(~out))
+    return predict_languages(docs.drop("lang"), model).withColumn("held_out", out).select("doc_id", "held_out", "lang_pred", "score", "languages")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op8_url_filter)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op5_packing, op7_toxicity, op8_url_filter, op10_language)}
 
 
 MIX_SQL = r"""
