@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .language import fit_languages, predict_languages
+from .media import decode_media, encode_media
 from .mixing import mix_documents
 from .packing import pack_documents
 from .shared import table
@@ -37,6 +38,21 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("payload"))
+    read = decode_media(encode_media(docs, "doc_id", "payload"))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(pixels, -32, 32)")).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +68,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op5_packing, op7_toxicity, op8_url_filter, op10_language)}
+    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op4_media, op5_packing, op7_toxicity, op8_url_filter, op10_language)}
 
 
 MIX_SQL = r"""
