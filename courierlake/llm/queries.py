@@ -11,6 +11,7 @@ from .media import decode_media, encode_media
 from .mixing import mix_documents
 from .packing import pack_documents
 from .shared import table
+from .substring_dedup import remove_repeats, span_digests
 from .toxicity import fit_toxicity, held_out, score_toxicity
 from .url_filter import judge_urls, rule_table
 
@@ -18,6 +19,10 @@ from .url_filter import judge_urls, rule_table
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digests(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.floor(F.col("first_position") * 1e6).alias("position_ppm"))
@@ -68,7 +73,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_mix_sources, op3_exact_dedup, op4_media, op5_packing, op7_toxicity, op8_url_filter, op10_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_exact_dedup, op4_media, op5_packing, op7_toxicity, op8_url_filter, op10_language)}
 
 
 MIX_SQL = r"""
