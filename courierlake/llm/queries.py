@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .jaccard_join import similar_documents
 from .language import fit_languages, predict_languages
 from .media import decode_media, encode_media
 from .mixing import mix_documents
@@ -32,6 +33,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit_toxicity(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
@@ -73,7 +78,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_exact_dedup, op4_media, op5_packing, op7_toxicity, op8_url_filter, op10_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_exact_dedup, op4_media, op5_packing, op6_jaccard_join, op7_toxicity, op8_url_filter, op10_language)}
 
 
 MIX_SQL = r"""

@@ -49,3 +49,19 @@ def text_or_empty(column: str | Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def join_weighed(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Left join of rows with one fact row per key, where weight says how many of the `total` rows have the key.
+
+    Keys with more than 1/HEAVY of all rows, at most HEAVY of them, come by broadcast; the rest by a shuffle
+    in which no key is hot. weight is dropped.
+    """
+    limit = total / HEAVY
+    others = [c for c in facts.columns if c not in (key, weight)]
+    heavy = facts.where(F.col(weight) > limit).select(F.col(key).alias("__hk"), *[F.col(c).alias(f"__h_{c}") for c in others])
+    light = facts.where(F.col(weight) <= limit).select(F.col(key).alias("__lk"), *others)
+    marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
+    done = marked.where("__hk is not null").select(*rows.columns, *[F.col(f"__h_{c}").alias(c) for c in others])
+    open_rows = marked.where("__hk is null").select(*rows.columns)
+    return done.unionByName(open_rows.join(light, F.col(key) == F.col("__lk"), "left").drop("__lk"))
