@@ -69,16 +69,15 @@ def training_position(share: Column, rank: Column, curriculum=CURRICULUM) -> Col
     return out
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, curriculum=CURRICULUM, cap: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, curriculum=CURRICULUM, cap: int = 3, carry: tuple[str, ...] = (), ordered: bool = True) -> DataFrame:
     """One row per document: id, size, source_size, target, taken, positions, first_position.
 
     positions: array of struct(epoch, words, position), one entry for each time that the mix takes words of
-    the document; words is below size only where the source's demand ends. carry: further columns to keep,
-    under the names of docs.
+    the document; words is below size only where the source's demand ends. carry: further columns to keep;
+    keep them narrow. ordered: range-sorted by first_position.
     """
     sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words_in(docs[text_col]).alias("size"), *[docs[c] for c in carry])
-    if not carry:
-        sized = materialize(sized, "mix")
+    sized = materialize(sized, "mix")
     n = docs.count()
     bits = min(16, max(0, math.ceil(math.log2(max(1, n / BUCKET_ROWS)))))
     order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
@@ -110,7 +109,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = placed.withColumn("positions", F.coalesce(takes, F.array().cast("array<struct<epoch:int,words:bigint,position:double>>")))
     out = out.withColumn("first_position", F.get("positions", F.lit(0))["position"])
     # Range sort by position; what is never taken has no place in the order and comes first, spread by its hash.
-    out = out.orderBy("first_position", "order", "id")
+    out = out.orderBy("first_position", "order", "id") if ordered else out
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "positions", "first_position", *[c for c in carry])
 
 
@@ -119,13 +118,13 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document at the end of its source's demand is cut after the words still asked for.
     """
-    names = docs.columns
-    packed = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(source_col).alias("__source"), F.struct(*[docs[c] for c in names]).alias("__doc"))
-    mixed = mix_documents(packed, "__id", "__text", "__source", carry=("__doc",), **how)
-    takes = mixed.select("__doc", "size", F.explode("positions").alias("take"))
-    head = F.regexp_extract(F.col(f"__doc.{text_col}"), r"^[\x20\x09-\x0D]*", 0)
-    # The rare cut document: its leading words, found by splitting; others keep their text untouched.
-    cut = F.array_join(F.slice(F.split(F.substring(F.col(f"__doc.{text_col}"), F.length(head) + 1, F.length(F.col(f"__doc.{text_col}"))), r"[\x20\x09-\x0D]+"), 1, F.col("take.words").cast("int")), " ")
-    text = F.when(F.col("take.words") < F.col("size"), cut).otherwise(F.col(f"__doc.{text_col}"))
-    takes = takes.withColumn("position", F.col("take.position")).orderBy("position", F.col(f"__doc.{id_col}"), F.col("take.epoch"))
-    return takes.select(*[text.alias(c) if c == text_col else F.col(f"__doc.{c}").alias(c) for c in names])
+    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
+    mixed = mix_documents(numbered, id_col, text_col, source_col, carry=("__uid",), ordered=False, **how)
+    takes = mixed.select("__uid", F.col("size").alias("__size"), F.explode("positions").alias("__take"))
+    rows = takes.join(numbered, "__uid")
+    # Only a document at the end of its source's demand is cut; the others keep their text untouched.
+    words = F.split(F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
+    head = F.array_join(F.slice(words, 1, F.col("__take.words").cast("int")), " ")
+    text = F.when(F.col("__take.words") < F.col("__size"), head).otherwise(F.col(text_col))
+    rows = rows.orderBy("__take.position", "__uid", "__take.epoch")
+    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
