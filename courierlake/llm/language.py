@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SAMPLE_PER_LANGUAGE = 2000
+SAMPLE_PARTS = 50
 BINS = 1 << 14
 PENALTY = 2.0
-EM_STEPS = 10
+EM_STEPS = 6
 MAX_LANGUAGES = 4
 #: n-grams (distinct, of a batch) that EM handles at once.
-CHUNK_GRAMS = 200_000
+CHUNK_GRAMS = 60_000
 
 
 @dataclass(frozen=True)
@@ -69,10 +70,13 @@ def _texts(column: pa.Array) -> Iterator[np.ndarray]:
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
     """Learns from the rows of docs with a language; the sample are the ids with the smallest hashes."""
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.md5(F.col(id_col).cast("string").cast("binary")).alias("h"))
-    # The limit inside each language is applied before the shuffle as well.
-    sample = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample_per_language)
-    sample = sample.select("lang", letters_only(F.col("text")).alias("text"))
+    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"))
+    # Each of SAMPLE_PARTS parts of a language gives its share, so that a frequent language is not one task's work.
+    known = known.withColumn("h", F.md5(F.col("id").cast("string").cast("binary"))).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(SAMPLE_PARTS)))
+    chosen = known.withColumn("n", F.row_number().over(Window.partitionBy("lang", "part").orderBy("h"))).where(F.col("n") <= max(1, sample_per_language // SAMPLE_PARTS))
+    # At most sample_per_language narrow rows per language are broadcast to the scan of the texts.
+    chosen = chosen.select("id", "lang").distinct()
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id").select("lang", letters_only(F.col("text")).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -92,40 +96,56 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return LanguageModel(languages, (counts / counts.sum(0)).astype(np.float32) if languages else counts)
 
 
-def _mix(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray, of: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM over all documents of a chunk: proportions (documents x languages) and log likelihoods."""
-    total = np.add.reduceat(counts, starts)[:, None]
-    for _ in range(EM_STEPS):
-        share = likelihood * weights[of]
-        share *= (counts / share.sum(1))[:, None]
-        weights = np.add.reduceat(share, starts, axis=0) / total
-    return weights, np.add.reduceat(counts * np.log((likelihood * weights[of]).sum(1)), starts)
+def _mix(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """EM over all documents of a chunk. likelihood: languages x n-grams; weights: languages x documents.
+
+    Returns proportions, log likelihoods, and how far each of these is below the best possible at most: the
+    likelihood is concave in the proportions, so the steepest direction bounds what is left to gain.
+    """
+    total = np.add.reduceat(counts, starts)
+    for step in range(steps + 1):
+        mixed = np.zeros(likelihood.shape[1], np.float32)
+        for p, w in zip(likelihood, weights, strict=True):
+            mixed += p * np.repeat(w, sizes)
+        pull = counts / mixed
+        gain = np.stack([np.add.reduceat(p * pull, starts) for p in likelihood])
+        if step < steps:
+            weights = (weights * gain / total).astype(np.float32)
+    fit = np.add.reduceat(counts * np.log(mixed), starts, dtype=np.float64)
+    return weights, fit, np.maximum(gain.max(0) - total, 0)
 
 
 def infer_mixtures(model: LanguageModel, bins: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """For documents given by distinct bins and their counts (none empty): proportions in the selected set, set sizes."""
-    sizes = np.array([len(b) for b in bins])
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    of = np.repeat(np.arange(len(bins)), sizes)
-    likelihood, n = model.table[np.concatenate(bins)], np.concatenate(counts).astype(np.float32)
-    grams = np.add.reduceat(n, starts)
-    k = len(model.languages)
-    every, _ = _mix(likelihood, n, starts, of, np.full((len(bins), k), 1 / k, np.float32))
-    order = np.argsort(-every, axis=1, kind="stable")
-    best, chosen, size = None, None, None
-    for m in range(1, min(k, MAX_LANGUAGES) + 1):
-        mask = np.zeros((len(bins), k), np.float32)
-        np.put_along_axis(mask, order[:, :m], 1.0, axis=1)
-        start = every * mask + mask * 1e-6
-        weights, fit = _mix(likelihood, n, starts, of, start / start.sum(1, keepdims=True))
-        value = fit / 4 - PENALTY * m * np.log(np.maximum(grams, 2))
-        if best is None:
-            best, chosen, size = value, weights, np.ones(len(bins), int)
-        else:
-            better = value > best
-            best, size = np.where(better, value, best), np.where(better, m, size)
-            chosen = np.where(better[:, None], weights, chosen)
-    return chosen, size
+    sizes, k = np.array([len(b) for b in bins]), len(model.languages)
+    starts = np.cumsum(sizes) - sizes
+    at, n = np.concatenate(bins), np.concatenate(counts).astype(np.float32)
+    likelihood = np.stack([column[at] for column in np.ascontiguousarray(model.table.T)])
+    cost = PENALTY * np.log(np.maximum(np.add.reduceat(n, starts), 2))
+    single = np.stack([np.add.reduceat(n * np.log(p), starts, dtype=np.float64) for p in likelihood])
+    first = single.argmax(0)
+    chosen = np.zeros((k, len(bins)), np.float32)
+    chosen[first, np.arange(len(bins))] = 1
+    best, size = single.max(0) / 4 - cost, np.ones(len(bins), int)
+    every, fit, short = _mix(likelihood, n, starts, sizes, np.full((k, len(bins)), 1 / k, np.float32), EM_STEPS)
+    # Where even the best mixture of all languages does not pay for a second language, one language it is.
+    open_ = np.flatnonzero((fit + short) / 4 - 2 * cost > best)
+    if k > 1 and len(open_):
+        rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in open_])
+        some, weight, few = likelihood[:, rows], n[rows], sizes[open_]
+        begin = np.cumsum(few) - few
+        order = np.argsort(-every[:, open_], axis=0, kind="stable")
+        for m in range(2, min(k, MAX_LANGUAGES) + 1):
+            mask = np.zeros((k, len(open_)), np.float32)
+            np.put_along_axis(mask, order[:m], 1.0, axis=0)
+            start = every[:, open_] * mask + mask * np.float32(1e-4)
+            weights, fit, _ = _mix(some, weight, begin, few, (start / start.sum(0)).astype(np.float32), EM_STEPS)
+            value = fit / 4 - m * cost[open_]
+            better = value > best[open_]
+            best[open_] = np.where(better, value, best[open_])
+            size[open_] = np.where(better, m, size[open_])
+            chosen[:, open_] = np.where(better, weights, chosen[:, open_])
+    return chosen.T, size
 
 
 def predict_languages(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
