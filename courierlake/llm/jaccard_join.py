@@ -11,7 +11,8 @@
    filter (overlap by parts of the hash range), and are verified once, on whole sets.
 
 All links count towards components, but pairs inside a component need no verification: in LEADER_ROUNDS
-rounds, every prefix shingle's classes are compared with one of them, and components are formed; then the
+rounds, every prefix shingle's classes are compared with one of them - one with few shingles of its own, as the
+original of a group of copies has - and components are formed; then the
 pairs that still lie in different components are compared, all of them. A group of n near copies thus costs
 about n comparisons, without a cap: what the leaders do not settle is compared in full.
 
@@ -331,25 +332,39 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         """Shared shingles at most, if those at places i and j are the same."""
         return F.least(i, j) + 1 + F.least(F.col(known_a) - i - 1, F.col(known_b) - j - 1)
 
+    def possible_pair(n: str, known: str, other: str, other_known: str):
+        """Length filter, and the overlap that is possible with shingles known to other documents."""
+        sizes = F.least(n, other) * 100 >= F.greatest(n, other) * percent
+        return sizes & (F.least(known, other_known) * (100 + percent) >= (F.col(n) + F.col(other)) * percent)
+
     comps = classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp"))
     links = None
     for turn in range(LEADER_ROUNDS + 1):
         placed = tokens.join(comps.withColumnRenamed("node", "cls"), "cls") if turn else tokens.withColumn("comp", F.col("cls"))
         # Shingles whose classes are in one component already have nothing left to settle.
-        spread = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("cls", "n", "known", "place", "comp"), F.xxhash64("cls", F.lit(turn))).alias("lead")).where("c0 <> c1")
+        spread = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("cls", "n", "known", "place", "comp"), F.struct(F.floor((F.col("n") - F.col("known")) * 20 / F.col("n")), F.xxhash64("cls", F.lit(turn)))).alias("lead")).where("c0 <> c1")
         if turn < LEADER_ROUNDS:
             pairs = placed.join(spread, "token").where((F.col("lead.comp") != F.col("comp")))
-            pairs = pairs.where(F.least("n", "lead.n") * 100 >= F.greatest("n", "lead.n") * percent)
-            pairs = pairs.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"), most(F.col("place"), "known", F.col("lead.place"), "lead.known").alias("overlap"))
+            pairs = pairs.where(possible_pair("n", "known", "lead.n", "lead.known")).select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"), most(F.col("place"), "known", F.col("lead.place"), "lead.known").alias("overlap"))
         else:
             left = placed.join(spread.select("token"), "token", "left_semi")
             # Sizes are cut into steps, each 100 / percent times the last: partners are one step apart at most,
             # and one more where rounding asks for it.
             step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
-            left = materialize(left.withColumn("step", step), "open")
-            right = left.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("known").alias("kb"), F.col("place").alias("pb"), F.col("comp").alias("cb"), "token", F.explode(F.array("step", F.col("step") + 1, F.col("step") + 2)).alias("step"))
-            pairs = left.join(right, ["token", "step"]).where("comp <> cb and (n > nb or (n = nb and cls > b))").where(F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-            pairs = pairs.select(F.col("cls").alias("a"), "b", most(F.col("place"), "known", F.col("pb"), "kb").alias("overlap"))
+            sketch = classes.select("cls", "parts", F.transform("prefix", lambda t: t["token"]).alias("tokens"))
+            left = materialize(left.withColumn("step", step).join(sketch, "cls"), "open")
+            right = left.withColumn("step", F.explode(F.array("step", F.col("step") + 1, F.col("step") + 2)))
+            right = right.select(*[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "known", "place", "comp", "token", "step", "parts", "tokens")])
+            # All bounds are part of the join, which makes no row that they exclude; and of the shingles that two
+            # prefixes share, the first one makes the row. Before it, nothing is shared.
+            larger = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("cls") > F.col("cls_b")))
+            first = F.get(F.array_intersect("tokens", "tokens_b"), F.lit(0)) == F.col("token")
+            rest = F.least(F.col("known") - F.col("place"), F.col("known_b") - F.col("place_b"))
+            enough = rest * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+            by_parts = F.aggregate(F.zip_with("parts", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
+            bounds = (F.col("comp") != F.col("comp_b")) & larger & possible_pair("n", "known", "n_b", "known_b") & enough & first & by_parts
+            pairs = left.join(right, (F.col("token") == F.col("token_b")) & (F.col("step") == F.col("step_b")) & bounds)
+            pairs = pairs.select(F.col("cls").alias("a"), F.col("cls_b").alias("b"), rest.alias("overlap"))
         if links is not None:
             pairs = pairs.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).join(links.select("a", "b"), ["a", "b"], "left_anti")
         tried = materialize(_linked(pairs, classes, percent), "verified")
