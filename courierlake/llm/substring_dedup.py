@@ -9,13 +9,15 @@ drops those that have become unique:
    name inside it (about 2 of HALF positions). Equal windows choose the same place in them, so a chosen
    position with a unique name rules out all windows that chose it. Positions that share a name and the whole
    stretch of their windows are settled for all these windows at once.
-2. Names of LENGTH bytes - the pair of names at p and p + HALF - for the windows that are still open: they are
+2. Names of CORE bytes. The windows of an open position that lie within STEP bytes share a core, the pair of
+   names at its start and CORE - HALF further on; a unique core rules them out.
+3. Names of LENGTH bytes - the pair of names at p and p + HALF - for the windows that are still open: they are
    sorted again; a shared name is a repeat, past the threshold.
 
 Names are 64-bit fingerprints, so that no table of ranks has to travel: equal strings have equal names on
 every executor. Each task first combines what it has: a name that it holds many times is sent on once, and its
 positions are known to be shared. Frequent passages thus send one row for each task. The texts are shuffled
-once, by document, for steps 2 and 3 (the cut); all of it is one job that recovers from lost executors.
+once, by document, for steps 2, 3 and the cut; all of it is one job that recovers from lost executors.
 
 Defined cases: null text counts as empty; documents below LENGTH bytes keep everything; matches within one
 document count, overlapping ones too; repeated rows are repeats of each other; ids may be null or repeated; an
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 
 HALF = 100
 LENGTH = 2 * HALF
+STEP = 25
+CORE = LENGTH - STEP
 #: Bytes that the naming works on at once: its arrays stay in the cache.
 CHUNK = 1 << 17
 #: Positions that a task combines before it sends them.
@@ -68,8 +72,12 @@ def full_names(half: np.ndarray) -> np.ndarray:
     return _pair(half[:-HALF], half[HALF:])
 
 
+def core_names(half: np.ndarray) -> np.ndarray:
+    return _pair(half[: -(CORE - HALF)], half[CORE - HALF :] + np.uint64(1))
+
+
 def chosen_positions(x: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For one stretch of at least LENGTH bytes: names, stretch names, first windows and window counts of chosen positions."""
+    """For a text of at least LENGTH bytes: names, stretch names, first windows, window counts of chosen positions, and their distances from the first window."""
     half = half_names(x)
     full = full_names(half)
     # The smallest name, and the first place of it: both are the same in equal windows.
@@ -84,7 +92,7 @@ def chosen_positions(x: np.ndarray) -> tuple[np.ndarray, ...]:
     at = place[first]
     shape = ((at - first).astype(np.uint64) << np.uint64(16)) | count.astype(np.uint64)
     stretch = _pair(_pair(full[first], full[first + count - 1]), shape)
-    return half[at], stretch, first, count
+    return half[at], stretch, first, count, at - first
 
 
 def _buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -104,18 +112,28 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # What a row says: the windows from `start` on, `count` of them, of document `uid` ...
 OPEN, TWICE, NOTED, SHARED, PENDING = range(5)
 # OPEN    ... have not been compared yet.
-# TWICE   ... are shared already, but stand for their name to others (and may have to be compared in step 2).
-# NOTED   ... will be compared in step 2 anyway; only says that the name exists at least twice.
+# TWICE   ... are shared or compared further already, but stand for their name to others.
+# NOTED   ... will be compared further anyway; only says that the name exists at least twice.
 # SHARED  ... are repeats.
-# PENDING ... are to be compared in step 2.
-_ROW = "key bigint, stretch bigint, uid bigint, start int, count int, kind tinyint"
+# PENDING ... are to be compared further.
+#
+# start, count, the distance of the chosen position (not for SHARED rows, which may be long) and the kind share
+# one number, so that rows stay short.
+_FIRST = "key bigint, stretch bigint, uid bigint, at bigint"
+_LATER = "key bigint, uid bigint, at bigint"
+
+
+def _packed(start: np.ndarray, count: np.ndarray, off: np.ndarray | int, kind: int) -> np.ndarray:
+    return start.astype(np.int64) << 32 | (count.astype(np.int64) | np.int64(0) + off << 8) << 3 | kind
+
 
+def _unpacked(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    kind, middle = at & 7, at >> 3 & (1 << 29) - 1
+    return at >> 32, np.where(kind == SHARED, middle, middle & 255), np.where(kind == SHARED, 0, middle >> 8), kind
 
-def _batch(key, stretch, uid, start, count, kind) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.ascontiguousarray(c).view(np.int64) if c.dtype == np.uint64 else c.astype(t)) for c, t in zip((key, stretch, uid, start, count, kind), (np.int64, np.int64, np.int64, np.int32, np.int32, np.int8), strict=True)],
-        names=["key", "stretch", "uid", "start", "count", "kind"],
-    )
+
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({k: pa.array(np.ascontiguousarray(c).view(np.int64)) for k, c in columns.items()})
 
 
 def _spread(uid: np.ndarray, start: np.ndarray) -> np.ndarray:
@@ -123,10 +141,18 @@ def _spread(uid: np.ndarray, start: np.ndarray) -> np.ndarray:
     return _pair(uid.astype(np.uint64), start.astype(np.uint64))
 
 
-def combine_choices(key, stretch, uid, start, count) -> Iterator[pa.RecordBatch]:
+def _merged(uid: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Adjoining ranges of windows as one."""
+    order = np.lexsort((start, uid))
+    uid, start, count = uid[order], start[order], count[order].astype(np.int64)
+    new = np.flatnonzero(np.concatenate([[True], (uid[1:] != uid[:-1]) | (start[1:] != start[:-1] + count[:-1])]))
+    return uid[new], start[new], np.add.reduceat(count, new)
+
+
+def combine_choices(key, stretch, uid, start, count, off) -> Iterator[pa.RecordBatch]:
     """What a task can say about its own chosen positions; names that it holds once are left OPEN."""
     order = np.lexsort((stretch, key))
-    key, stretch, uid, start, count = (c[order] for c in (key, stretch, uid, start, count))
+    key, stretch, uid, start, count, off = (c[order] for c in (key, stretch, uid, start, count, off))
     heads, run = _runs(key)
     both, part = _runs(_pair(key, stretch))
     in_name, in_part = np.bincount(run), np.bincount(part)
@@ -143,24 +169,28 @@ def combine_choices(key, stretch, uid, start, count) -> Iterator[pa.RecordBatch]
     kinds = ((alone, OPEN), (twice & lead & ~several, TWICE), (named & several, NOTED))
     for mask, kind in kinds:
         if mask.any():
-            yield _batch(key[mask], stretch[mask], uid[mask], start[mask], count[mask], np.full(mask.sum(), kind))
-    for mask, kind in ((twice & ~(pending & ~twice), SHARED), (pending & ~twice, PENDING), (pending & twice, PENDING)):
-        if mask.any():
-            yield _batch(_spread(uid[mask], start[mask]), stretch[mask], uid[mask], start[mask], count[mask], np.full(mask.sum(), kind))
-
-
-def compare_choices(key, stretch, uid, start, count, kind) -> Iterator[pa.RecordBatch]:
-    """All rows of some names: settles shared stretches, keeps what step 2 has to compare, drops unique names."""
+            yield _batch(key=key[mask], stretch=stretch[mask], uid=uid[mask], at=_packed(start[mask], count[mask], off[mask], kind))
+    if twice.any():
+        u, s, c = _merged(uid[twice], start[twice], count[twice])
+        yield _batch(key=_spread(u, s), stretch=u, uid=u, at=_packed(s, c, 0, SHARED))
+    if pending.any():
+        u, s = uid[pending], start[pending]
+        yield _batch(key=_spread(u, s), stretch=u, uid=u, at=_packed(s, count[pending], off[pending], PENDING))
+
+
+def compare_choices(key, stretch, uid, at) -> Iterator[pa.RecordBatch]:
+    """All rows of some names: settles shared stretches, keeps what has to be compared further, drops unique names."""
+    start, count, off, kind = _unpacked(at)
     done = kind >= SHARED
     if done.any():
-        yield _batch(key[done], stretch[done], uid[done], start[done], count[done], kind[done])
-    key, stretch, uid, start, count, kind = (c[~done] for c in (key, stretch, uid, start, count, kind))
+        yield _batch(uid=uid[done], at=at[done])
+    key, stretch, uid, start, count, off, kind = (c[~done] for c in (key, stretch, uid, start, count, off, kind))
     if not len(key):
         return
     order = np.lexsort((kind, stretch, key))
-    key, stretch, uid, start, count, kind = (c[order] for c in (key, stretch, uid, start, count, kind))
+    key, stretch, uid, start, count, off, kind = (c[order] for c in (key, stretch, uid, start, count, off, kind))
     _, run = _runs(key)
-    # NOTED rows stand apart: their stretches are compared in step 2, wherever they are.
+    # NOTED rows stand apart: their stretches are compared further, wherever they are.
     both, part = _runs(_pair(_pair(key, stretch), (kind == NOTED).astype(np.uint64)))
     weight = np.where(kind == OPEN, 1, 2)
     repeated = np.bincount(run, weight)[run] > 1
@@ -170,9 +200,11 @@ def compare_choices(key, stretch, uid, start, count, kind) -> Iterator[pa.Record
     lead[both] = True
     told = shared & (kind == OPEN)
     pending = repeated & several & (kind != NOTED) & (lead | ~shared)
-    for mask, what in ((told, SHARED), (pending, PENDING)):
-        if mask.any():
-            yield _batch(key[mask], stretch[mask], uid[mask], start[mask], count[mask], np.full(mask.sum(), what))
+    if told.any():
+        u, s, c = _merged(uid[told], start[told], count[told])
+        yield _batch(uid=u, at=_packed(s, c, 0, SHARED))
+    if pending.any():
+        yield _batch(uid=uid[pending], at=_packed(start[pending], count[pending], off[pending], PENDING))
 
 
 def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +216,8 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x = data[ends[i] : ends[i + 1]]
             for at in range(0, len(x) - LENGTH + 1, CHUNK):
                 # Windows are dealt to chunks, so each is chosen for once; stretches may end at a chunk's edge.
-                key, stretch, first, count = chosen_positions(x[at : at + CHUNK + LENGTH - 1])
-                held.append((key, stretch, np.full(len(key), uid[i]), first + at, count))
+                key, stretch, first, count, off = chosen_positions(x[at : at + CHUNK + LENGTH - 1])
+                held.append((key, stretch, np.full(len(key), uid[i]), first + at, count, off))
                 n += len(key)
             if n > HELD:
                 yield from combine_choices(*(np.concatenate(c) for c in zip(*held, strict=True)))
@@ -196,86 +228,126 @@ def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
     held = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
-    if not held:
-        return []
-    columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-    return [columns[0].view(np.uint64), columns[1].view(np.uint64), *columns[2:]]
+    return [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorts the rows of a partition; all rows of a name are in one partition, in one task's sort order."""
+    """Sorts the rows of a partition; all rows of a name are in one partition."""
     if columns := _gather(batches):
-        yield from compare_choices(*columns)
+        key, stretch, uid, at = columns
+        yield from compare_choices(key.view(np.uint64), stretch.view(np.uint64), uid, at)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Names of LENGTH bytes for the windows left to compare; what is settled is passed on."""
-    held, n = [], 0
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        key, uid, start = (np.concatenate(c) for c in zip(*held, strict=True))
+def _combined(key, uid, start, count, off, told: int) -> Iterator[pa.RecordBatch]:
+    """Names a task holds once are left OPEN; of those it holds more often, one stands for all, and all are told."""
+    order = np.argsort(key, kind="stable")
+    key, uid, start, count, off = (c[order] for c in (key, uid, start, count, off))
+    heads, run = _runs(key)
+    many = np.bincount(run)[run] > 1
+    lead = np.zeros(len(key), bool)
+    lead[heads] = True
+    for mask, kind in ((~many, OPEN), (many & lead, TWICE)):
+        if mask.any():
+            yield _batch(key=key[mask], uid=uid[mask], at=_packed(start[mask], count[mask], off[mask], kind))
+    if many.any():
+        u, s, c, o = (x[many] for x in (uid, start, count, off))
+        if told == SHARED:
+            u, s, c = _merged(u, s, c)
+            o = 0
+        yield _batch(key=_spread(u, s), uid=u, at=_packed(s, c, o, told))
+
+
+def _open_ranges(b: pa.RecordBatch):
+    """Settled rows of a batch of documents, and slices of its open ones: their uid, start, count, distance and first byte."""
+    uid = b.column(0).to_numpy(zero_copy_only=False)
+    ends, data = _buffers(b.column(1))
+    cuts = b.column(2).offsets.to_numpy()
+    at = b.column(2).values.to_numpy(zero_copy_only=False)[cuts[0] : cuts[-1]]
+    of = np.repeat(np.arange(len(uid)), np.diff(cuts))
+    start, count, off, kind = _unpacked(at)
+    settled, slices = kind == SHARED, []
+    todo = np.flatnonzero(~settled)
+    # In slices, so that the arrays of the naming stay small.
+    for lo in range(0, len(todo), 1000):
+        rows = todo[lo : lo + 1000]
+        slices.append((uid[of[rows]], start[rows], count[rows], off[rows], ends[of[rows]] + start[rows]))
+    return (uid[of[settled]], start[settled], count[settled]), slices, data
+
+
+def _each(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each of the given sizes, one after the other."""
+    return np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def _further(named, told: int):
+    """A step of the doubling: named() gives key, uid, start, count and distance of what open rows become."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            settled, slices, data = _open_ranges(b)
+            if len(settled[0]):
+                u, s, c = _merged(*settled)
+                yield _batch(key=_spread(u, s), uid=u, at=_packed(s, c, 0, SHARED))
+            for one in slices:
+                held.append(named(data, *one))
+                n += len(held[-1][0])
+                if n > HELD:
+                    yield from _combined(*(np.concatenate(c) for c in zip(*held, strict=True)), told)
+                    held, n = [], 0
+        if held:
+            yield from _combined(*(np.concatenate(c) for c in zip(*held, strict=True)), told)
+
+    return step
+
+
+def _cores(data, uid, start, count, off, begin):
+    """The windows of each chosen position by distance from it, STEP at a time, named by the core that they share."""
+    sizes = count + LENGTH - 1
+    names = core_names(half_names(data[_each(begin, sizes)]))
+    base = np.cumsum(sizes) - sizes
+    group = off // STEP - (off - count + 1) // STEP + 1
+    row = np.repeat(np.arange(len(uid)), group)
+    # Distances run from off down to off - count + 1; groups are cut at multiples of STEP.
+    j = (off // STEP)[row] - (np.arange(len(row)) - np.repeat(np.cumsum(group) - group, group))
+    high, low = np.minimum(off[row], STEP * j + STEP - 1), np.maximum((off - count + 1)[row], STEP * j)
+    core = base[row] + off[row] - STEP * j
+    return names[core], uid[row], start[row] + off[row] - high, high - low + 1, high
+
+
+def _wholes(data, uid, start, count, off, begin):
+    """Every window, named by all of its bytes."""
+    sizes = count + LENGTH - 1
+    names = full_names(half_names(data[_each(begin, sizes)]))
+    place = _each(np.cumsum(sizes) - sizes, count)
+    one = np.ones(len(place), np.int64)
+    return names[place], np.repeat(uid, count), _each(start, count), one, one
+
+
+def _settle(told: int):
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = _gather(batches)
+        if not columns:
+            return
+        key, uid, at = columns
+        done = (at & 7) >= SHARED
+        if done.any():
+            yield _batch(uid=uid[done], at=at[done])
+        key, uid, at = key[~done], uid[~done], at[~done]
         order = np.argsort(key, kind="stable")
-        key, uid, start = key[order], uid[order], start[order]
-        heads, run = _runs(key)
-        many = np.bincount(run)[run] > 1
-        lead = np.zeros(len(key), bool)
-        lead[heads] = True
-        zero = np.zeros(len(key), np.int64)
-        for mask, kind in ((~many, OPEN), (many & lead, TWICE)):
-            if mask.any():
-                yield _batch(key[mask], zero[mask], uid[mask], start[mask], zero[mask] + 1, np.full(mask.sum(), kind))
-        if many.any():
-            yield _batch(_spread(uid[many], start[many]), zero[many], uid[many], start[many], zero[many] + 1, np.full(many.sum(), SHARED))
+        key, uid, at = key[order], uid[order], at[order]
+        _, run = _runs(key)
+        weight = np.where((at & 7) == TWICE, 2, 1)
+        keep = (np.bincount(run, weight)[run] > 1) & ((at & 7) == OPEN) if len(key) else np.zeros(0, bool)
+        if keep.any():
+            start, count, off, _ = _unpacked(at[keep])
+            u = uid[keep]
+            if told == SHARED:
+                u, start, count = _merged(u, start, count)
+                off = 0
+            yield _batch(uid=u, at=_packed(start, count, off, told))
 
-    for b in batches:
-        uid = b.column(0).to_numpy(zero_copy_only=False)
-        ends, data = _buffers(b.column(1))
-        lists = b.column(2)
-        cuts = lists.offsets.to_numpy()
-        # values are those of the whole buffer, and so are the offsets.
-        start, count, kind = (lists.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-        of = np.repeat(np.arange(len(uid)), np.diff(cuts))
-        start, count, kind = (c[cuts[0] : cuts[-1]] for c in (start, count, kind))
-        settled = kind == SHARED
-        if settled.any():
-            u, s = uid[of[settled]], start[settled]
-            yield _batch(_spread(u, s), np.zeros(len(u), np.int64), u, s, count[settled], kind[settled])
-        open_ = np.flatnonzero(~settled)
-        # Stretches in slices, so that the arrays of the naming stay small.
-        for lo in range(0, len(open_), 1000):
-            rows = open_[lo : lo + 1000]
-            sizes = count[rows].astype(np.int64) + LENGTH - 1
-            begin = ends[of[rows]] + start[rows]
-            at = np.cumsum(sizes) - sizes
-            index = np.repeat(begin - at, sizes) + np.arange(sizes.sum())
-            names = full_names(half_names(data[index]))
-            steps = np.repeat(at - (np.cumsum(count[rows]) - count[rows]), count[rows]) + np.arange(count[rows].sum())
-            offset = steps - np.repeat(at, count[rows])
-            held.append((names[steps], np.repeat(uid[of[rows]], count[rows]), np.repeat(start[rows], count[rows]) + offset))
-            n += len(steps)
-            if n > HELD:
-                yield from flush()
-                held, n = [], 0
-    if held:
-        yield from flush()
-
-
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    columns = _gather(batches)
-    if not columns:
-        return
-    key, stretch, uid, start, count, kind = columns
-    done = kind == SHARED
-    if done.any():
-        yield _batch(key[done], stretch[done], uid[done], start[done], count[done], kind[done])
-    key, uid, start, kind = key[~done], uid[~done], start[~done], kind[~done]
-    order = np.argsort(key, kind="stable")
-    key, uid, start, kind = key[order], uid[order], start[order], kind[order]
-    _, run = _runs(key)
-    told = (np.bincount(run, np.where(kind == TWICE, 2, 1))[run] > 1) & (kind == OPEN) if len(key) else np.zeros(0, bool)
-    if told.any():
-        zero = np.zeros(told.sum(), np.int64)
-        yield _batch(key[told], zero, uid[told], start[told], zero + 1, zero + SHARED)
+    return settle
 
 
 def removed_spans(size: int, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -307,7 +379,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         spans.append([])
                         kept.append(body.tobytes())
                         continue
-                    cuts = removed_spans(len(body), *(found.values.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)))
+                    cuts = removed_spans(len(body), *_unpacked(found.values.to_numpy(zero_copy_only=False))[:2])
                     spans.append([{"begin": int(x), "end": int(y)} for x, y in cuts])
                     keep = np.ones(len(body), bool)
                     for x, y in cuts:
@@ -317,17 +389,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     [b.column(0), pa.array(np.diff(ends)), pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))), pa.array(kept, pa.binary())], names=["id", "n_bytes", "spans", "kept"]
                 )
 
+    def of_document(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("uid").agg(F.collect_list("at").alias("rows")).withColumnRenamed("uid", "uid_")
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        # All joins read the same exchange of the texts; the id goes along so that they are the same plan.
+        joined = texts.hint("shuffle_hash").join(of_document(rows).hint("shuffle_hash"), F.col("uid") == F.col("uid_"), "inner")
+        return joined.select("uid", "body", "rows", "id")
+
     # Step 1.
-    chosen = texts.select("uid", "body").mapInArrow(_choose, _ROW).repartition(parts, "key")
-    compared = chosen.mapInArrow(_compare, _ROW)
-    asked = compared.groupBy("uid").agg(F.collect_list(F.struct("start", "count", "kind")).alias("rows")).withColumnRenamed("uid", "uid_")
-    # Step 2. Both joins read the same exchange of the texts.
-    # (the id goes along so that both sides are the same plan).
-    open_docs = texts.hint("shuffle_hash").join(asked.hint("shuffle_hash"), F.col("uid") == F.col("uid_"), "inner")
-    named = open_docs.select("uid", "body", "rows", "id").mapInArrow(_windows, _ROW).repartition(parts, "key")
-    settled = named.mapInArrow(_settle, _ROW)
-    repeats = settled.groupBy("uid").agg(F.collect_list(F.struct("start", "count")).alias("repeats")).withColumnRenamed("uid", "uid_")
+    chosen = texts.select("uid", "body").mapInArrow(_choose, _FIRST).repartition(parts, "key").mapInArrow(_compare, "uid bigint, at bigint")
+    # Step 2.
+    cores = with_text(chosen).mapInArrow(_further(_cores, PENDING), _LATER).repartition(parts, "key").mapInArrow(_settle(PENDING), "uid bigint, at bigint")
     # Step 3.
+    settled = with_text(cores).mapInArrow(_further(_wholes, SHARED), _LATER).repartition(parts, "key").mapInArrow(_settle(SHARED), "uid bigint, at bigint")
+    repeats = of_document(settled).withColumnRenamed("rows", "repeats")
+    # The cut.
     joined = texts.join(repeats.hint("shuffle_hash"), F.col("uid") == F.col("uid_"), "left")
     out = joined.select("id", "body", "repeats").mapInArrow(cut, f"id {kind}, n_bytes bigint, spans array<struct<begin:int,end:int>>, kept binary")
     return out.withColumnRenamed("id", id_col)
