@@ -14,7 +14,7 @@ def property_head(line: Column) -> Column:
 
 
 def property_name(line: Column) -> Column:
-    return F.split_part(property_head(line), F.lit("\;"), F.lit(1))
+    return F.split_part(property_head(line), F.lit(";"), F.lit(1))
 
 
 def property_value(line: Column) -> Column:
