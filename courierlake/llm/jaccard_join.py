@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_weighed, materialize
+from .shared import join_weighed, materialize, stable_rows
 
 SIZE = 5
 HOT = 64
@@ -129,7 +129,7 @@ def _runs(of: np.ndarray, documents: int) -> np.ndarray:
     return np.bincount(of, minlength=documents).astype("<i4")
 
 
-def _blocks(buckets: int, size: int):
+def _blocks(buckets: int, size: int, frequent: int):
     """Reads documents, sends each block's shingles to the buckets and keeps a header with the set sizes."""
 
     def send(uid: np.ndarray, h: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def _blocks(buckets: int, size: int):
         run = np.cumsum(new) - 1
         hot = np.zeros(len(h), bool)
         if len(s):
-            hot[order] = np.bincount(run)[run] >= HOT
+            hot[order] = np.bincount(run)[run] >= frequent
         yield _row(block, -1, HEADER, uid.astype("<i8").tobytes(), np.concatenate([n.astype("<i4"), _runs(of[hot], len(uid))]).tobytes(), _pack48(h[hot]), b"")
         notes = np.unique(h[hot])
         place = (h % np.uint64(buckets)).astype(np.int64)
@@ -308,15 +308,16 @@ def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return whole.select("a", "b", "na", "nb", "ia", "ib").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = 75) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = 75, frequent: int = HOT) -> DataFrame:
     """One row per document: id, n_shingles, class_id (equal sets share it; null: no possible partner), component_id."""
     spark = docs.sparkSession
+    docs = stable_rows(docs, "documents")
     numbered = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     total, length = numbered.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")) // 2, length // (6 * BUCKET_SHINGLES), 1)
 
     texts = numbered.select("uid", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("body"))
-    asked = texts.mapInArrow(_blocks(buckets, size), _ROW)
+    asked = texts.mapInArrow(_blocks(buckets, size, frequent), _ROW)
     # Headers have a bucket of their own each, by block, so that they are dealt out.
     counted = asked.repartition(buckets, F.when(F.col("kind") == HEADER, F.col("block")).otherwise(F.col("bucket").cast("bigint"))).mapInArrow(_count, _ROW)
     answered = counted.repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_prefixes(percent), _DOC)

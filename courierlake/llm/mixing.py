@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialize, text_or_empty
+from .shared import WORD, materialize, stable_rows, text_or_empty
 
 #: Weights, and phase schedules, by rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
@@ -118,6 +118,7 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A document at the end of its source's demand is cut after the words still asked for.
     """
+    docs = stable_rows(docs, "documents")
     numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
     mixed = mix_documents(numbered, id_col, text_col, source_col, carry=("__uid",), ordered=False, **how)
     takes = mixed.select("__uid", F.col("size").alias("__size"), F.explode("positions").alias("__take"))

@@ -42,6 +42,17 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stable_rows(df: DataFrame, label: str) -> DataFrame:
+    """df itself if it reads a table, row by row; otherwise df written to the shared folder and read again.
+
+    Operators that number rows in scan order and scan twice need the same order each time. Scans of files keep
+    it, whatever columns they read; plans that deal rows out again need not.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {line.lstrip(" :+-!").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
+    return df if nodes <= {"Project", "Filter", "Relation"} else materialize(df, label)
+
+
 def text_or_empty(column: str | Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))

@@ -146,9 +146,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             return ToxicityModel(-2.2, {w: 4.0 for w in LEXICON} | {"=reader": 3.0, "=shut_up": 3.0})
         counted = extracted.select(F.explode("features").alias("f"), "y").groupBy("f").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("c"))
         ratio = ((F.col("a") + 0.3) / pos) / ((F.col("c") - F.col("a") + 0.3) / (n - pos))
-        counted = counted.where("c >= 3").withColumn("gain", F.col("a") * F.log(ratio)).withColumn("ratio", ratio)
-        mined = counted.where("a >= 3 and ratio >= 6").orderBy(F.desc("gain"), "f").limit(VOTERS).select("f").toPandas()["f"].tolist()
-        spread = counted.where("c >= 4").orderBy(F.desc(F.abs("gain") + F.sqrt("c") * 0.01), "f").limit(FEATURES).select("f").toPandas()["f"].tolist()
+        # Deviations from the share of toxic rows, in standard errors: chance makes few beyond the bounds.
+        share = pos / n
+        z = (F.col("a") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
+        counted = counted.where("c >= 3").withColumn("ratio", ratio).withColumn("z", z)
+        mined = counted.where("a >= 3 and ratio >= 6 and z >= 5").orderBy(F.desc("z"), "f").limit(VOTERS).select("f").toPandas()["f"].tolist()
+        spread = counted.where("c >= 5 and abs(z) >= 4").orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).select("f").toPandas()["f"].tolist()
         voters = list(dict.fromkeys(lexicon + mined))
         wanted = list(dict.fromkeys(voters + spread))
         index = {f: i for i, f in enumerate(wanted)}
