@@ -39,6 +39,8 @@ HOT = 64
 BLOCK_SHINGLES = 3_000_000
 BUCKET_SHINGLES = 4_000_000
 LEADER_ROUNDS = 3
+#: So many pairs, counted first, are broadcast to the scan of the sets.
+BROADCAST_PAIRS = 20_000
 SUFFIX_PARTS = 16
 _CHUNK = 1 << 20
 _MASK = np.uint64((1 << 48) - 1)
@@ -295,15 +297,24 @@ def _verify(percent: int):
     return verify
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b, overlap: most that the prefixes' places allow) that pass the filters and the verification, once per pair."""
+def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b, overlap: most that the prefixes' places allow) that pass the length, positional and suffix filters, once each."""
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").groupBy("a", "b").agg(F.min("overlap").alias("overlap"))
     sketch = classes.select("cls", "n", "parts")
     known = pairs.join(sketch.withColumnsRenamed({"cls": "a", "n": "na", "parts": "pa"}), "a").join(sketch.withColumnsRenamed({"cls": "b", "n": "nb", "parts": "pb"}), "b")
     need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - 1e-9)
     by_parts = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    passed = known.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where((F.col("overlap") >= need) & (by_parts >= need)).select("a", "b", "na", "nb")
+    return known.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where((F.col("overlap") >= need) & (by_parts >= need)).select("a", "b", "na", "nb")
+
+
+def _verified(passed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """pairs(a, b, na, nb) with linked, from whole sets."""
+    passed = materialize(passed, "passed")
     items = classes.select("cls", "items")
+    if passed.count() <= BROADCAST_PAIRS:
+        # Few pairs: only the sets that they name are shuffled.
+        named = passed.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+        items = items.join(F.broadcast(named), "cls", "left_semi")
     whole = passed.join(items.withColumnsRenamed({"cls": "a", "items": "ia"}), "a").join(items.withColumnsRenamed({"cls": "b", "items": "ib"}), "b")
     return whole.select("a", "b", "na", "nb", "ia", "ib").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean")
 
@@ -327,7 +338,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     classes = possible.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("parts").alias("parts"), F.any_value("items").alias("items"), F.any_value("prefix").alias("prefix"))
     classes = materialize(classes, "classes")
     tokens = classes.select("cls", "n", F.size("prefix").alias("q"), (F.octet_length("items") / 8).cast("int").alias("known"), F.explode("prefix").alias("t"))
-    tokens = materialize(tokens.select("cls", "n", "known", F.col("t.token").alias("token"), F.col("t.place").alias("place")), "tokens")
+    tokens = tokens.select("cls", "n", "known", F.col("t.token").alias("token"), F.col("t.place").alias("place")).withColumn("comp", F.col("cls"))
 
     def most(i, known_a, j, known_b):
         """Shared shingles at most, if those at places i and j are the same."""
@@ -338,22 +349,21 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         sizes = F.least(n, other) * 100 >= F.greatest(n, other) * percent
         return sizes & (F.least(known, other_known) * (100 + percent) >= (F.col(n) + F.col(other)) * percent)
 
-    comps = classes.select(F.col("cls").alias("node"), F.col("cls").alias("comp"))
     links = None
     for turn in range(LEADER_ROUNDS + 1):
-        placed = tokens.join(comps.withColumnRenamed("node", "cls"), "cls") if turn else tokens.withColumn("comp", F.col("cls"))
-        # Shingles whose classes are in one component already have nothing left to settle.
-        spread = placed.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("cls", "n", "known", "place", "comp"), F.struct(F.floor((F.col("n") - F.col("known")) * 20 / F.col("n")), F.xxhash64("cls", F.lit(turn)))).alias("lead")).where("c0 <> c1")
+        # Shingles whose classes are in one component have nothing left to settle; they do not come back.
+        own = F.struct(F.floor((F.col("n") - F.col("known")) * 20 / F.col("n")), F.xxhash64("cls", F.lit(turn)))
+        spread = tokens.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("cls", "n", "known", "place", "comp"), own).alias("lead")).where("c0 <> c1")
+        tokens = materialize(tokens.join(spread.select("token", "lead"), "token"), "open")
         if turn < LEADER_ROUNDS:
-            pairs = placed.join(spread, "token").where((F.col("lead.comp") != F.col("comp")))
-            pairs = pairs.where(possible_pair("n", "known", "lead.n", "lead.known")).select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"), most(F.col("place"), "known", F.col("lead.place"), "lead.known").alias("overlap"))
+            pairs = tokens.where(F.col("lead.comp") != F.col("comp")).where(possible_pair("n", "known", "lead.n", "lead.known")).select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"), most(F.col("place"), "known", F.col("lead.place"), "lead.known").alias("overlap"))
         else:
-            left = placed.join(spread.select("token"), "token", "left_semi")
+            left = tokens.drop("lead")
             # Sizes are cut into steps, each 100 / percent times the last: partners are one step apart at most,
             # and one more where rounding asks for it.
             step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
             sketch = classes.select("cls", "parts", F.transform("prefix", lambda t: t["token"]).alias("tokens"))
-            left = materialize(left.withColumn("step", step).join(sketch, "cls"), "open")
+            left = materialize(left.withColumn("step", step).join(sketch, "cls"), "sketched")
             right = left.withColumn("step", F.explode(F.array("step", F.col("step") + 1, F.col("step") + 2)))
             right = right.select(*[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "known", "place", "comp", "token", "step", "parts", "tokens")])
             # All bounds are part of the join, which makes no row that they exclude; and of the shingles that two
@@ -365,14 +375,18 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             by_parts = F.aggregate(F.zip_with("parts", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
             bounds = (F.col("comp") != F.col("comp_b")) & larger & possible_pair("n", "known", "n_b", "known_b") & enough & first & by_parts
             pairs = left.join(right, (F.col("token") == F.col("token_b")) & (F.col("step") == F.col("step_b")) & bounds)
-            pairs = pairs.select(F.col("cls").alias("a"), F.col("cls_b").alias("b"), rest.alias("overlap"))
+            # The filters have been part of the join.
+            pairs = pairs.select(F.col("cls").alias("a"), F.col("cls_b").alias("b"), F.col("n").alias("na"), F.col("n_b").alias("nb"))
         if links is not None:
-            pairs = pairs.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")}).join(links.select("a", "b"), ["a", "b"], "left_anti")
-        tried = materialize(_linked(pairs, classes, percent), "verified")
+            pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
+            pairs = pairs.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").drop("x", "y")
+        passed = _sketched(pairs, classes, percent) if turn < LEADER_ROUNDS else pairs
+        tried = materialize(_verified(passed, classes, percent), "verified")
         links = tried if links is None else links.unionByName(tried)
         found = connected_components(links.where("linked"))
         comps = classes.select(F.col("cls").alias("node")).join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
         comps = materialize(comps, "comps")
+        tokens = tokens.select("cls", "n", "known", "token", "place").join(comps.withColumnRenamed("node", "cls"), "cls")
 
     ids = numbered.select("uid", "id")
     named = materialize(ids.join(answered.select("uid", F.col("n").cast("long").alias("n_shingles"), F.col("cls").alias("class_id")), "uid"), "named")
