@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_groups
 from .jaccard_join import similar_documents
 from .language import fit_languages, predict_languages
+from .licenses import TEMPLATES, scan_licenses
 from .media import decode_media, encode_media
 from .mixing import mix_documents
 from .packing import pack_documents
@@ -70,6 +71,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "score")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), folds=3, fold=1)
@@ -78,7 +83,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_exact_dedup, op4_media, op5_packing, op6_jaccard_join, op7_toxicity, op8_url_filter, op10_language)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_exact_dedup, op4_media, op5_packing, op6_jaccard_join, op7_toxicity, op8_url_filter, op9_license_scan, op10_language)}
 
 
 MIX_SQL = r"""
@@ -140,5 +145,21 @@ from parts left join (select * from fits where place = 1) f using (rn)
 """
 
 
+_TEMPLATES = ", ".join("('{}', '{}')".format(n, t.replace("'", "''")) for n, t in TEMPLATES.items())
+_BIGRAMS = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
+LICENSE_SQL = f"""
+with t0(name, body) as (values {_TEMPLATES}),
+t1 as (select name, regexp_extract_all(lower(body), '[a-z0-9]+') as w from t0),
+t as (select name, {_BIGRAMS} as tb from t1),
+d as (select row_number() over () as rn, doc_id, coalesce(text, '') as text from documents),
+u as (select rn, unnest(list_distinct(list_concat(string_split(text, chr(10)), string_split(text, chr(10) || chr(10)), [text]))) as unit from d),
+w1 as (select rn, regexp_extract_all(lower(unit), '[a-z0-9]+') as w from u),
+b as (select rn, {_BIGRAMS} as ub from w1 where len(w) > 1),
+s as (select rn, name, 2.0::double * len(list_intersect(ub, tb)) / (len(ub) + len(tb)) as score from b, t where 2.0 * least(len(ub), len(tb)) >= 0.8 * (len(ub) + len(tb)) - 1e-6),
+best as (select rn, name, score, row_number() over (partition by rn order by score desc, name) as k from s where score >= 0.8)
+select doc_id, name as license, coalesce(score, 0.0::double) as score from d left join (select * from best where k = 1) using (rn)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": MIX_SQL, "op3_exact_dedup": EXACT_SQL, "op8_url_filter": URL_SQL}
+    return {"op2_mix_sources": MIX_SQL, "op3_exact_dedup": EXACT_SQL, "op8_url_filter": URL_SQL, "op9_license_scan": LICENSE_SQL}

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from courierlake.llm import jaccard_join, language, media, mixing, packing, substring_dedup, toxicity, url_filter, webp
+from courierlake.llm import jaccard_join, language, licenses, media, mixing, packing, substring_dedup, toxicity, url_filter, webp
 from courierlake.llm.components import connected_components
 from courierlake.llm.exact_dedup import drop_exact_copies, exact_groups
 
@@ -422,3 +422,34 @@ def test_languages(spark, empty):
     none = language.fit_languages(empty)
     assert {r["lang_pred"] for r in language.predict_languages(docs, none).collect()} == {"und"}
     assert language.predict_languages(empty, model).count() == 0
+
+
+# ---- licences ----------------------------------------------------------------------------------------------
+
+
+def brute_license(text, templates, threshold=0.8):
+    cut = lambda x: re.findall("[a-z0-9]+", x.lower())
+    pairs = lambda x: set(zip(cut(x), cut(x)[1:], strict=False))
+    text = text or ""
+    best = (0.0, None)
+    for unit in {text, *text.split("\n"), *text.split("\n\n")}:
+        for name in sorted(templates, reverse=True):
+            a, b = pairs(unit), pairs(templates[name])
+            score = 2.0 * len(a & b) / (len(a) + len(b)) if a and b else 0.0
+            if score >= threshold and (score, name) != best and (score > best[0] or score == best[0] and name < best[1]):
+                best = (score, name)
+    return best[1], best[0]
+
+
+def test_licenses(spark, docs, empty):
+    mit = licenses.TEMPLATES["mit-notice"]
+    wrapped = "\n".join(" ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
+    texts = [None, "", "one", "ALL rights, reserved!", "x\n\n" + wrapped + "\n\nmore words here", wrapped.replace("merge", "mix"), prose(50, 3) + "\nReleased under the MIT License.", "all rights\nreserved", mit + " " + prose(20, 4), mit + " " + prose(900, 4), "the the the the " * 900, "\n\n\n"]
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, texts[6])]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id int, text string, license string, score string").repartition(3)).collect()
+    want = [(i, *brute_license(t, licenses.TEMPLATES)) for i, t in rows]
+    assert sorted(((r["doc_id"], r["license"], r["score"]) for r in got), key=str) == sorted(want, key=str)
+    spans = {r["doc_id"]: [(m["license"], m["first_line"], m["last_line"]) for m in r["matches"]] for r in got}
+    assert spans[4][0] == ("mit-notice", 2, 2 + wrapped.count("\n")) and spans[0] == []
+    assert licenses.scan_licenses(docs, templates={}).where("license is not null").count() == 0
+    assert licenses.scan_licenses(empty).count() == 0
