@@ -312,10 +312,11 @@ def _verified(passed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     passed = materialize(passed, "passed")
     items = classes.select("cls", "items")
     if passed.count() <= BROADCAST_PAIRS:
-        # Few pairs: only the sets that they name are shuffled.
-        named = passed.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-        items = items.join(F.broadcast(named), "cls", "left_semi")
-    whole = passed.join(items.withColumnsRenamed({"cls": "a", "items": "ia"}), "a").join(items.withColumnsRenamed({"cls": "b", "items": "ib"}), "b")
+        # Few pairs: only the sets that they name are shuffled, each side its own.
+        firsts, seconds = (items.join(F.broadcast(passed.select(F.col(c).alias("cls")).distinct()), "cls", "left_semi") for c in ("a", "b"))
+    else:
+        firsts = seconds = items
+    whole = passed.join(firsts.withColumnsRenamed({"cls": "a", "items": "ia"}), "a").join(seconds.withColumnsRenamed({"cls": "b", "items": "ib"}), "b")
     return whole.select("a", "b", "na", "nb", "ia", "ib").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean")
 
 
@@ -353,30 +354,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     for turn in range(LEADER_ROUNDS + 1):
         # Shingles whose classes are in one component have nothing left to settle; they do not come back.
         own = F.struct(F.floor((F.col("n") - F.col("known")) * 20 / F.col("n")), F.xxhash64("cls", F.lit(turn)))
-        spread = tokens.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min_by(F.struct("cls", "n", "known", "place", "comp"), own).alias("lead")).where("c0 <> c1")
-        tokens = materialize(tokens.join(spread.select("token", "lead"), "token"), "open")
+        spread = tokens.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
+        tokens = materialize(tokens.select("cls", "n", "known", "token", "place", "comp").join(spread, "token", "left_semi"), "open")
         if turn < LEADER_ROUNDS:
-            pairs = tokens.where(F.col("lead.comp") != F.col("comp")).where(possible_pair("n", "known", "lead.n", "lead.known")).select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"), most(F.col("place"), "known", F.col("lead.place"), "lead.known").alias("overlap"))
+            own = F.struct(F.floor((F.col("n") - F.col("known")) * 20 / F.col("n")), F.xxhash64("cls", F.lit(turn)))
+            leads = tokens.groupBy("token").agg(F.min_by(F.struct("cls", "n", "known", "place", "comp"), own).alias("lead"))
+            pairs = tokens.join(leads, "token").where(F.col("lead.comp") != F.col("comp")).where(possible_pair("n", "known", "lead.n", "lead.known"))
+            pairs = pairs.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"), most(F.col("place"), "known", F.col("lead.place"), "lead.known").alias("overlap"))
         else:
-            left = tokens.drop("lead")
-            # Sizes are cut into steps, each 100 / percent times the last: partners are one step apart at most,
-            # and one more where rounding asks for it.
-            step = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent))).cast("int")
             sketch = classes.select("cls", "parts", F.transform("prefix", lambda t: t["token"]).alias("tokens"))
-            left = materialize(left.withColumn("step", step).join(sketch, "cls"), "sketched")
-            right = left.withColumn("step", F.explode(F.array("step", F.col("step") + 1, F.col("step") + 2)))
-            right = right.select(*[F.col(c).alias(f"{c}_b") for c in ("cls", "n", "known", "place", "comp", "token", "step", "parts", "tokens")])
+            left = materialize(tokens.join(sketch, "cls"), "sketched")
+            l, r = left.alias("l"), left.alias("r")
             # All bounds are part of the join, which makes no row that they exclude; and of the shingles that two
-            # prefixes share, the first one makes the row. Before it, nothing is shared.
-            larger = (F.col("n") > F.col("n_b")) | ((F.col("n") == F.col("n_b")) & (F.col("cls") > F.col("cls_b")))
-            first = F.get(F.array_intersect("tokens", "tokens_b"), F.lit(0)) == F.col("token")
-            rest = F.least(F.col("known") - F.col("place"), F.col("known_b") - F.col("place_b"))
-            enough = rest * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
-            by_parts = F.aggregate(F.zip_with("parts", "parts_b", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) * (100 + percent) >= (F.col("n") + F.col("n_b")) * percent
-            bounds = (F.col("comp") != F.col("comp_b")) & larger & possible_pair("n", "known", "n_b", "known_b") & enough & first & by_parts
-            pairs = left.join(right, (F.col("token") == F.col("token_b")) & (F.col("step") == F.col("step_b")) & bounds)
+            # prefixes share, the first one makes the row. Before it, nothing is shared. Both sides are the same
+            # exchange.
+            larger = (F.col("l.n") > F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.cls") > F.col("r.cls")))
+            need = (F.col("l.n") + F.col("r.n")) * percent
+            first = F.get(F.array_intersect("l.tokens", "r.tokens"), F.lit(0)) == F.col("l.token")
+            enough = F.least(F.col("l.known") - F.col("l.place"), F.col("r.known") - F.col("r.place")) * (100 + percent) >= need
+            by_parts = F.aggregate(F.zip_with("l.parts", "r.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) * (100 + percent) >= need
+            bounds = (F.col("l.comp") != F.col("r.comp")) & larger & possible_pair("l.n", "l.known", "r.n", "r.known") & enough & first & by_parts
+            pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & bounds)
             # The filters have been part of the join.
-            pairs = pairs.select(F.col("cls").alias("a"), F.col("cls_b").alias("b"), F.col("n").alias("na"), F.col("n_b").alias("nb"))
+            pairs = pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
         if links is not None:
             pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
             pairs = pairs.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").drop("x", "y")

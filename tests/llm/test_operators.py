@@ -102,7 +102,7 @@ def test_mix(docs, empty):
         target |= {s: 3 * size[s] for s in above}
         open_ -= above
     target |= share
-    mixed = mixing.mix_documents(docs).join(docs.select("doc_id").limit(0), "doc_id", "left").collect()
+    mixed = mixing.mix_documents(docs).collect()
     taken = Counter()
     by_source = {r["source_size"]: r["target"] for r in mixed}
     for s in names:
