@@ -68,7 +68,11 @@ def occurrences(rule: Column, start: Column, cutoff: Column, cap: int = rules.MA
     daily = F.slice(F.sequence(start, last_daily, step * DAY), F.lit(1), limit)
     days = F.when(F.size(rule["by_day"]) > 0, rule["by_day"]).otherwise(F.array(weekday(start)))
     last_weekly = F.least(stop, start + (limit.cast("bigint") + 1) * step * WEEK)
-    weekly = F.filter(F.sequence(start, last_weekly, F.lit(DAY).cast("bigint")), lambda t: F.array_contains(days, weekday(t)) & ((week_index(t) - week_index(start)) % step == 0))
+    # Only the weeks that count, and in them only the days asked for; weeks begin on Thursdays (day 3).
+    weeks = F.sequence(week_index(start), week_index(last_weekly), step)
+    clock = F.pmod(start, F.lit(DAY))
+    starts = F.flatten(F.transform(weeks, lambda w: F.transform(days, lambda d: w * WEEK + F.pmod(d - 3, F.lit(7)) * DAY + clock)))
+    weekly = F.array_sort(F.array_distinct(F.filter(starts, lambda t: (t >= start) & (t <= last_weekly))))
     months = F.least(limit - 1, F.floor((stop - start) / (28 * DAY)).cast("int") + 1)
     chain = F.aggregate(
         F.sequence(F.lit(0), F.greatest(F.lit(0), months)), F.array(start), lambda got, _: F.when(add_month(F.element_at(got, -1), step) <= stop, F.concat(got, F.array(add_month(F.element_at(got, -1), step)))).otherwise(got)
