@@ -6,7 +6,7 @@ window may be opened, the fullest is topped up with the head of the piece and em
 the end of a partition - at most OPEN_WINDOWS - are merged in groups of MERGE_PARTITIONS partitions, again
 into full windows; what then remains of a group, less than one window, is cut at powers of two, where no
 padding is needed. Memory per task: the open windows, the merge group of bounded size, and a bounded cache of
-token ids by word.
+token ids by word. Added tokens of the vocabulary (<|endoftext|>) in a text have their own ids.
 
 Defined cases: null text counts as empty and yields the separator alone; ids may be null or repeated and are
 carried along; texts of any length are cut into whole windows; an empty table gives an empty result.
@@ -15,6 +15,8 @@ carried along; texts of any length are cut into whole windows; an empty table gi
 from __future__ import annotations
 
 import base64
+import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -31,14 +33,29 @@ CACHE_WORDS = 200_000
 _SPACE_RUN = re.compile(r"\s | \s|^\s|\s\Z")
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Ids of the added tokens of a JSON vocabulary; for a rank file, of the JSON file of the same name beside it."""
+    own = os.path.splitext(path)[0] + ".json"
+    if not os.path.exists(own):
+        return {}
+    with open(own, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    unlike = [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if unlike:
+        raise ValueError(f"added tokens that take more than their own characters: {unlike}")
+    return {t["content"]: t["id"] for t in found}
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit bytes, by a public vocabulary file.
 
+    added: tokens with ids of their own wherever they stand in a text; without them these are ordinary characters.
+
     A single blank between two other characters always starts a new token of these vocabularies, so the words
     between such blanks are encoded once and kept in a cache. Texts with other runs of blanks are encoded whole.
     """
 
-    def __init__(self, path: str, pattern: str | None = None):
+    def __init__(self, path: str, pattern: str | None = None, added: dict[str, int] | None = None):
         if path.endswith(".tiktoken"):
             import public_tokenizers
             import tiktoken
@@ -60,8 +77,17 @@ class WordTokenizer:
         self._starts = np.zeros(size + 1, bool)
         self._starts[list(starts)] = True
         self._cache: dict[str, bytes] = {}
+        self._added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
+        # Of the tokens that start at one place the longest counts.
+        self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
 
     def encode(self, text: str) -> bytes:
+        if any(t in text for t in self._added):
+            # The parts alternate: text, added token, text, ...
+            return b"".join(self._added[x] if i % 2 else self._plain(x) for i, x in enumerate(self._split(text)))
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if _SPACE_RUN.search(text):
@@ -139,7 +165,8 @@ def pack_documents(
 ) -> DataFrame:
     """One row per piece: id, start, length, ids, doc_tokens, sequence_id, offset.
 
-    tokenizer: path of a vocabulary file, present on every executor. digests: columns computed from the
+    tokenizer: path of a vocabulary file, present on every executor; added tokens come from the JSON file, itself or
+    beside the rank file. digests: columns computed from the
     column ids (little-endian unsigned 32-bit), kept in its place.
     """
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
@@ -157,7 +184,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=False)] + [pa.array([part] * len(rows), pa.int32()), pa.array([still_open] * len(rows), pa.bool_())], schema=fields)
 
         for b in batches:
-            words = words or WordTokenizer(tokenizer)
+            words = words or WordTokenizer(tokenizer, added=added_tokens(tokenizer))
             fields = fields or _fields(b.schema.field(0).type)
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 ids = words.encode(text.as_py() or "") + end

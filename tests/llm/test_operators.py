@@ -228,6 +228,20 @@ def test_tokens_equal_the_library():
             assert np.frombuffer(words.encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, (kind, t)
 
 
+@pytest.mark.parametrize("kind", ["tiktoken", "json"])
+def test_packed_ids_have_added_tokens(spark, kind):
+    own = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary("json"))
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|> b  c", "it's <|endoftext|>\n\n x y", "<|endoftext|", "<<|endoftext|>>", prose(40, 9) + "<|endoftext|>" + prose(40, 10)]
+    want = {i: own.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert want[0] == [87, 220, 50256, 331, 0]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(3)
+    got = defaultdict(list)
+    for p in packing.pack_documents(docs, vocabulary(kind), size=16).orderBy("doc_id", "start").collect():
+        assert p["doc_tokens"] == len(want[p["doc_id"]])
+        got[p["doc_id"]] += np.frombuffer(p["ids"], "<u4").tolist()
+    assert got == want
+
+
 @pytest.mark.parametrize("size", [1024, 64])
 def test_packing(docs, empty, size):
     words = packing.WordTokenizer(vocabulary("tiktoken"))
