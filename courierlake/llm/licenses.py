@@ -1,9 +1,16 @@
 """License scans: normalised text against licence templates, by the Dice coefficient over word bigrams.
 
-The units compared are the lines of a text, its paragraphs (runs of lines between empty ones) and the whole
-text, lower-cased and cut into words of letters a-z and digits. Two bigram sets of sizes a and b have a Dice
-coefficient of at most 2 min(a, b) / (a + b), so a unit meets only the templates whose size is within bounds,
-and units beyond all bounds are not even cut into bigrams. Work is per row in Arrow batches: no shuffle.
+Texts are lower-cased and cut into words of letters a-z and digits. With windows, every run of words is compared,
+wherever lines, comment marks or carriage returns stand. Only texts with enough bigrams of a template are looked at
+closely; there runs start and end at bigrams of the template, and a run grows until it cannot reach the threshold or
+its first bigram returns, where a later start does as well. So no run that could match is left out, and the work on
+a text grows with its length times the template's size at most. Of runs of one template that overlap, the best
+counts; a run of a smaller template within it is dropped unless it is whole lines.
+
+Without windows, the units compared are the lines of a text, its paragraphs (runs of lines between empty ones) and
+the whole text. Two bigram sets of sizes a and b have a Dice coefficient of at most 2 min(a, b) / (a + b), so a unit
+meets only the templates whose size is within bounds, and units beyond all bounds are not even cut into bigrams.
+Work is per row in Arrow batches: no shuffle.
 
 Defined cases: null texts and texts without two words in a row have no licence and score 0; of equal scores
 the template first by name wins; repeated rows get equal results; empty tables give empty results; without
@@ -13,8 +20,10 @@ templates nothing has a licence.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -59,6 +68,44 @@ TEMPLATES = {
     ),
 }
 
+_MIT_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND '
+    "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+    "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
+_BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain "
+    "the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. "
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY '
+    "AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR "
+    "CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY "
+    "OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF "
+    "SUCH DAMAGE."
+)
+_ISC_WARRANTY = (
+    'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE '
+    "AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+    "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+)
+
+
+def full_texts() -> dict[str, str]:
+    """Whole licences: short ones from here, long ones from the folder license_texts."""
+    short = {
+        "bsd-2-clause": _BSD_CLAUSES + _BSD_WARRANTY,
+        "bsd-3-clause": _BSD_CLAUSES + _BSD_NAMES + _BSD_WARRANTY,
+        "isc-text": TEMPLATES["isc"] + " " + _ISC_WARRANTY,
+        "mit-text": TEMPLATES["mit-notice"] + " " + _MIT_WARRANTY,
+    }
+    folder = resources.files(__package__) / "license_texts"
+    return short | {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in folder.iterdir() if f.name.endswith(".txt")}
+
 
 def words_of(text: str) -> list[str]:
     return WORDS.findall(text.lower())
@@ -82,6 +129,8 @@ class Templates:
         for k, s in enumerate(sets):
             for b in s:
                 self.having.setdefault(b, []).append(k)
+        self.sets = sets
+        self.words = {w for b in self.having for w in b}
 
     def best(self, words: list[str]) -> tuple[float, str] | None:
         """Score and name of the best template of a unit that reaches the threshold."""
@@ -98,6 +147,74 @@ class Templates:
         return (score, self.names[k]) if score >= self.threshold else None
 
 
+    def runs(self, words: list[str]) -> list[tuple[float, int, int, int]]:
+        """score, template, first and last word of the best of the overlapping runs of words that match a template."""
+        known = list(map(self.words.__contains__, words))
+        hits = [p for p, (a, b) in enumerate(zip(known, known[1:], strict=False)) if a and b and (words[p], words[p + 1]) in self.having]
+        shared = Counter(k for b in {(words[p], words[p + 1]) for p in hits} for k in self.having[b])
+        # A run has as many bigrams as it shares at least: 2 c / (c + size) bounds its score.
+        near = [k for k, c in shared.items() if 2.0 * c / (c + self.sizes[k]) >= self.threshold - 1e-9]
+        if not near:
+            return []
+        number: dict[tuple[str, str], int] = {}
+        codes = [number.setdefault(b, len(number)) for b in zip(words, words[1:], strict=False)]
+        return [x for k in sorted(near) for x in self._runs_of(k, codes, {number[b] for b in self.sets[k] if b in number}, hits)]
+
+    def _runs_of(self, k: int, codes: list[int], own: set[int], hits: list[int]) -> list[tuple[float, int, int, int]]:
+        size, found, held = self.sizes[k], [], None
+        starts = [p for p in hits if codes[p] in own]
+        # Distinct bigrams of the template from each start to the end of the text.
+        ahead, seen = [], set()
+        for p in reversed(starts):
+            seen.add(codes[p])
+            ahead.append(len(seen))
+        for p, most in zip(starts, reversed(ahead), strict=True):
+            if held and p > held[3] - 1:
+                found.append(held)
+                held = None
+            seen, shared, first = set(), 0, codes[p]
+            for q in range(p, len(codes)):
+                x = codes[q]
+                if x in seen:
+                    if x == first:
+                        break
+                    continue
+                seen.add(x)
+                if x in own:
+                    shared += 1
+                    score = 2.0 * shared / (len(seen) + size)
+                    if score > held[0] if held else score >= self.threshold:
+                        held = (score, k, p, q + 1)
+                other = len(seen) - shared
+                bound = 2.0 * most / (most + other + size)
+                if bound <= held[0] if held else bound < self.threshold - 1e-9:
+                    break
+        return [*found, held] if held else found
+
+
+def scan_windows(text: str | None, templates: Templates) -> list[tuple[float, str, int, int]]:
+    """score, licence, first and last line of the runs of words that match, best first."""
+    runs = templates.runs(words_of(text or ""))
+    if not runs:
+        return []
+    line = [i for i, x in enumerate(text.split("\n")) for _ in words_of(x)]
+    whole = lambda a, b: (a == 0 or line[a - 1] < line[a]) and (b == len(line) - 1 or line[b] < line[b + 1])
+    by: dict[int, list[tuple[int, int]]] = {}
+    for _, k, a, b in runs:
+        by.setdefault(k, []).append((a, b))
+
+    def inside(k: int, a: int, b: int) -> bool:
+        for other, spans in by.items():
+            if templates.sizes[other] > templates.sizes[k]:
+                at = bisect_right(spans, a, key=lambda x: x[0]) - 1
+                if at >= 0 and spans[at][1] >= b:
+                    return True
+        return False
+
+    found = [(score, templates.names[k], line[a], line[b]) for score, k, a, b in runs if whole(a, b) or not inside(k, a, b)]
+    return sorted(found, key=lambda x: (-x[0], x[1], x[2], x[3]))
+
+
 def scan_text(text: str | None, templates: Templates) -> list[tuple[float, str, int, int]]:
     """score, licence, first and last line of the lines, paragraphs and the text that match, best first."""
     lines = [words_of(x) for x in (text or "").split("\n")]
@@ -120,8 +237,12 @@ def scan_text(text: str | None, templates: Templates) -> list[tuple[float, str,
     return sorted(found, key=lambda x: (-x[0], x[1], x[2], x[3]))
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: id, license (null: none), score (0: none), matches (array of struct(license, score, first_line, last_line))."""
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
+    """One row per document: id, license (null: none), score (0: none), matches (array of struct(license, score, first_line, last_line)).
+
+    windows: compare every run of words instead of lines, paragraphs and whole texts only.
+    """
+    scan_one = scan_windows if windows else scan_text
     texts = TEMPLATES if templates is None else templates
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     match = pa.list_(pa.struct([("license", pa.string()), ("score", pa.float64()), ("first_line", pa.int32()), ("last_line", pa.int32())]))
@@ -129,7 +250,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(texts, threshold)
         for b in batches:
-            found = [scan_text(t.as_py(), known) for t in b.column(1)]
+            found = [scan_one(t.as_py(), known) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays(
                 [
                     b.column(0),

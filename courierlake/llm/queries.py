@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_groups
 from .jaccard_join import similar_documents
 from .language import fit_languages, predict_languages
-from .licenses import TEMPLATES, scan_licenses
+from .licenses import TEMPLATES, full_texts, scan_licenses
 from .media import decode_media, encode_media
 from .mixing import mix_documents
 from .packing import pack_documents
@@ -72,7 +72,8 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license", "score")
+    found = scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), templates={**TEMPLATES, **full_texts()}, windows=True)
+    return found.select("doc_id", "license", "score")
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -467,3 +467,53 @@ def test_licenses(spark, docs, empty):
     assert spans[4][0] == ("mit-notice", 2, 2 + wrapped.count("\n")) and spans[0] == []
     assert licenses.scan_licenses(docs, templates={}).where("license is not null").count() == 0
     assert licenses.scan_licenses(empty).count() == 0
+
+
+def brute_runs(words, template, threshold=0.8):
+    """The best score over all runs of words."""
+    want, best = set(zip(template, template[1:], strict=False)), 0.0
+    for i in range(len(words)):
+        for j in range(i + 2, len(words) + 1):
+            own = set(zip(words[i:j], words[i + 1 : j], strict=False))
+            best = max(best, 2.0 * len(own & want) / (len(own) + len(want)))
+    return best if best >= threshold else 0.0
+
+
+def test_best_runs_equal_brute_force():
+    r = random.Random(11)
+    hits = 0
+    for _ in range(300):
+        words = [r.choice("abcd") for _ in range(r.randint(0, 24))]
+        template = [r.choice("abcd") for _ in range(r.randint(2, 9))]
+        got = licenses.scan_windows(" ".join(words), licenses.Templates({"t": " ".join(template)}, 0.8))
+        assert (got[0][0] if got else 0.0) == brute_runs(words, template)
+        hits += bool(got)
+    assert 50 < hits < 250
+
+
+def test_notices_anywhere_in_a_text(spark, tmp_path):
+    from courierlake.llm import queries
+
+    full = licenses.full_texts()
+    texts = licenses.TEMPLATES | full
+    gpl, apache, mit, bsd = (texts[n] for n in ("gpl-3.0", "apache-2.0-notice", "mit-text", "bsd-3-clause"))
+    wrap = lambda x, mark, end="\n": end.join(mark + " ".join(x.split()[i : i + 9]) for i in range(0, len(x.split()), 9))
+    cases = [
+        ("gpl-3.0", gpl + " " + prose(12, 5)),
+        ("gpl-3.0", prose(300, 5) + " " + gpl + " " + prose(300, 6)),
+        ("apache-2.0-notice", "#!/bin/sh\n#\n" + wrap(apache, "# ") + "\n#\n" + prose(200, 7)),
+        ("mit-text", "/*\n * Copyright 2020 A B\n *\n" + wrap(mit, " * ") + "\n */\n" + prose(900, 8)),
+        ("mit-text", "The MIT License\r\n\r\n" + wrap(mit, "", "\r\n") + "\r\n\r\n" + prose(90, 9)),
+        ("bsd-3-clause", prose(9, 1) + "\n" + wrap(bsd, "// ") + " " + prose(40, 2)),
+        ("gpl-3.0-text", full["gpl-3.0-text"]),
+        ("apache-2.0-text", prose(50, 3) + full["apache-2.0-text"].replace("\n", "\r\n")),
+        (None, prose(2000, 4)),
+        (None, None),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)], "doc_id int, text string").repartition(3)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs, templates=texts, windows=True).collect()}
+    for i, (name, _) in enumerate(cases):
+        assert got[i]["license"] == name and got[i]["score"] == (1.0 if name else 0.0), (i, got[i])
+    assert (got[2]["matches"][0]["first_line"], got[2]["matches"][0]["last_line"]) == (2, 2 + wrap(apache, "# ").count("\n"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"]: (r["license"], r["score"]) for r in queries.op9_license_scan(spark, str(tmp_path)).collect()} == {i: (r["license"], r["score"]) for i, r in got.items()}
