@@ -3,9 +3,11 @@
 Fitting: hashed 4-byte n-grams of the letters of a bounded sample of labelled documents, counted on the
 executors, give one n-gram distribution per language. Prediction: with p_l(g) the likelihood of n-gram g under
 language l, EM finds the proportions that maximise sum_g count(g) log sum_l pi_l p_l(g). Language sets grow
-along the fitted proportions, one language at a time; the set with the best penalised likelihood is selected
-(each further language costs PENALTY * log(n-grams); overlapping n-grams count 1/4 each, for each byte takes
-part in four). The predicted language has the largest proportion in the selected set.
+along the fitted proportions, one language at a time and up to all that were learned, as long as a larger set can
+still be better; the set with the best penalised likelihood is selected (each further language costs
+PENALTY * log(n-grams); overlapping n-grams count 1/4 each, for each byte takes part in four). The likelihood is
+concave in the proportions, which bounds what is left to gain: EM of a set ends when that is small or the set
+cannot be the best. The predicted language has the largest proportion in the selected set.
 
 Bounds: SAMPLE_PER_LANGUAGE documents per language are fitted on, all of their text; a model holds BINS
 numbers per language. Every whole document is predicted, in Arrow batches.
@@ -29,8 +31,11 @@ SAMPLE_PER_LANGUAGE = 2000
 SAMPLE_PARTS = 50
 BINS = 1 << 14
 PENALTY = 2.0
+#: Steps of EM between two looks at what is left to gain; they double up to MOST_STEPS.
 EM_STEPS = 6
-MAX_LANGUAGES = 4
+MOST_STEPS = 96
+#: EM ends when a log likelihood is at most GAP + GAP_SHARE * n-grams below its maximum; rounding errors are far smaller.
+GAP, GAP_SHARE = 0.1, 1e-5
 #: n-grams (distinct, of a batch) that EM handles at once.
 CHUNK_GRAMS = 60_000
 
@@ -100,19 +105,36 @@ def _mix(likelihood: np.ndarray, counts: np.ndarray, starts: np.ndarray, sizes:
     """EM over all documents of a chunk. likelihood: languages x n-grams; weights: languages x documents.
 
     Returns proportions, log likelihoods, and how far each of these is below the best possible at most: the
-    likelihood is concave in the proportions, so the steepest direction bounds what is left to gain.
+    likelihood is concave in the proportions, so the steepest direction bounds what is left to gain. Languages
+    that start with weight 0 stay out.
     """
-    total = np.add.reduceat(counts, starts)
+    total = np.add.reduceat(counts, starts, dtype=np.float64)
+    free = weights > 0
     for step in range(steps + 1):
         mixed = np.zeros(likelihood.shape[1], np.float32)
         for p, w in zip(likelihood, weights, strict=True):
             mixed += p * np.repeat(w, sizes)
         pull = counts / mixed
-        gain = np.stack([np.add.reduceat(p * pull, starts) for p in likelihood])
+        gain = np.stack([np.add.reduceat(p * pull, starts, dtype=np.float64) for p in likelihood])
         if step < steps:
             weights = (weights * gain / total).astype(np.float32)
     fit = np.add.reduceat(counts * np.log(mixed), starts, dtype=np.float64)
-    return weights, fit, np.maximum(gain.max(0) - total, 0)
+    return weights, fit, np.maximum(np.where(free, gain, 0).max(0) - total, 0)
+
+
+def _settle(likelihood: np.ndarray, counts: np.ndarray, sizes: np.ndarray, weights: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """_mix until each document's log likelihood is as good as its best, or that cannot exceed its limit."""
+    weights, fit, short = weights.copy(), np.zeros(len(sizes)), np.zeros(len(sizes))
+    starts = np.cumsum(sizes) - sizes
+    total = np.add.reduceat(counts, starts, dtype=np.float64)
+    left, steps = np.arange(len(sizes)), EM_STEPS
+    while len(left):
+        rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in left])
+        few = sizes[left]
+        weights[:, left], fit[left], short[left] = _mix(likelihood[:, rows], counts[rows], np.cumsum(few) - few, few, weights[:, left], steps)
+        left = left[(short[left] > GAP + GAP_SHARE * total[left]) & (fit[left] + short[left] > limit[left])]
+        steps = min(2 * steps, MOST_STEPS)
+    return weights, fit, short
 
 
 def infer_mixtures(model: LanguageModel, bins: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,18 +155,24 @@ def infer_mixtures(model: LanguageModel, bins: list[np.ndarray], counts: list[np
     if k > 1 and len(open_):
         rows = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in open_])
         some, weight, few = likelihood[:, rows], n[rows], sizes[open_]
-        begin = np.cumsum(few) - few
-        order = np.argsort(-every[:, open_], axis=0, kind="stable")
-        for m in range(2, min(k, MAX_LANGUAGES) + 1):
-            mask = np.zeros((k, len(open_)), np.float32)
-            np.put_along_axis(mask, order[:m], 1.0, axis=0)
-            start = every[:, open_] * mask + mask * np.float32(1e-4)
-            weights, fit, _ = _mix(some, weight, begin, few, (start / start.sum(0)).astype(np.float32), EM_STEPS)
-            value = fit / 4 - m * cost[open_]
-            better = value > best[open_]
-            best[open_] = np.where(better, value, best[open_])
-            size[open_] = np.where(better, m, size[open_])
-            chosen[:, open_] = np.where(better, weights, chosen[:, open_])
+        every, fit, short = _settle(some, weight, few, every[:, open_], 4 * (best[open_] + 2 * cost[open_]))
+        order = np.argsort(-every, axis=0, kind="stable")
+        most, begin = (fit + short) / 4, np.cumsum(few) - few
+        for m in range(2, k + 1):
+            # No set is more likely than the mixture of all languages.
+            now = np.flatnonzero(most - m * cost[open_] > best[open_])
+            if not len(now):
+                break
+            at, rows = open_[now], np.concatenate([np.arange(begin[i], begin[i] + few[i]) for i in now])
+            mask = np.zeros((k, len(now)), np.float32)
+            np.put_along_axis(mask, order[:m, now], 1.0, axis=0)
+            start = every[:, now] * mask + mask * np.float32(1e-4)
+            weights, fit, _ = _settle(some[:, rows], weight[rows], few[now], (start / start.sum(0)).astype(np.float32), 4 * (best[at] + m * cost[at]))
+            value = fit / 4 - m * cost[at]
+            better = value > best[at]
+            best[at] = np.where(better, value, best[at])
+            size[at] = np.where(better, m, size[at])
+            chosen[:, at] = np.where(better, weights, chosen[:, at])
     return chosen.T, size
 
 

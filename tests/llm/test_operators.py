@@ -438,6 +438,35 @@ def test_languages(spark, empty):
     assert language.predict_languages(empty, model).count() == 0
 
 
+def test_languages_mix_more_than_four(spark):
+    letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
+
+    def words(k, n, seed):
+        r = random.Random(seed)
+        return " ".join("".join(r.choice(letters[k]) for _ in range(r.randint(2, 6))) for _ in range(n))
+
+    rows = [(i, words(i % 6, 60, i), letters[i % 6]) for i in range(90)]
+    docs = spark.createDataFrame([*rows, *((900 + m, " ".join(words(k, 300, 70 + k) for k in range(m)), None) for m in range(2, 7))], "doc_id int, text string, lang string")
+    got = {r["doc_id"]: r for r in language.predict_languages(docs, language.fit_languages(docs)).where("doc_id >= 900").collect()}
+    for m in range(2, 7):
+        assert {x["lang"] for x in got[900 + m]["languages"]} == set(letters[:m])
+        assert all(abs(x["proportion"] - 1 / m) < 0.05 for x in got[900 + m]["languages"])
+
+
+def test_mixtures_are_fitted_to_the_end():
+    r = np.random.default_rng(3)
+    base = r.random(400) + 0.1
+    table = np.stack([base * (1 + 0.5 * r.random(400)) for _ in range(3)], 1)
+    table /= table.sum(0)
+    counts = np.round(400_000 * (table @ [0.7, 0.3, 0])).astype(int)
+    model = language.LanguageModel(("a", "b", "c"), table.astype(np.float32))
+    got, sizes = language.infer_mixtures(model, [np.arange(400)], [counts])
+    fits = [(counts * np.log(table[:, 0] * w + table[:, 1] * (1 - w))).sum() for w in np.linspace(0, 1, 1001)]
+    assert sizes[0] == 2
+    assert (counts * np.log(table @ got[0])).sum() > max(fits) - 5
+    assert abs(got[0][0] - np.argmax(fits) / 1000) < 0.02
+
+
 # ---- licences ----------------------------------------------------------------------------------------------
 
 
