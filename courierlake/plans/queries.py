@@ -245,8 +245,9 @@ def curation_effective(spark, sf_dir):
     action = F.when(F.col("received") % 3 == 0, F.lit("clear")).when(F.col("received") % 3 == 1, F.lit("not_human")).otherwise(F.lit("restore"))
     early = contacts.where("sent % 2 = 0").select("email", F.lit("clear").alias("action"), F.lit(1).cast("bigint").alias("ts"))
     late = contacts.where("sent % 2 = 0").select("email", action.alias("action"), F.lit(2).cast("bigint").alias("ts"))
-    # A restore that has no effect leaves the earlier decision; such contacts are not in the table anyway.
-    return curation.effective(contacts, _kept(contacts), early.where("false").unionByName(late))
+    # A restore that has no effect leaves the earlier decision, clear; as the rules reject such contacts, they are not in
+    # the table anyway, and the SQL needs the later decisions only.
+    return curation.effective(contacts, _kept(contacts), early.unionByName(late))
 
 
 @query(f"""{_CTE}, v as (select email, unnest([0, 1, 2, 3]) as k, received, sent from cand), votes as (select email, case when received % 3 = 0 then 0 when received % 3 = 1 then 1 else (sent + k) % 2 end as vote from v)

@@ -39,3 +39,12 @@ def test_query(spark, db, name):
     order = sorted(range(len(names)), key=lambda i: names[i])
     assert columns == [names[i] for i in order]
     assert got == sorted(tuple(plain(r[i]) for i in order) for r in found.fetchall())
+
+
+def test_later_decisions_count(spark, monkeypatch):
+    seen, apply = [], plans.curation.effective
+    monkeypatch.setattr(plans.curation, "effective", lambda contacts, kept, log: seen.append(log) or apply(contacts, kept, log))
+    plans.queries()["curation_effective"](spark, SF)
+    log = [(r["email"], r["action"], r["ts"]) for r in seen[0].collect()]
+    twice = {e for e, a, ts in log if ts == 1 and a == "clear"} & {e for e, a, ts in log if ts == 2 and a != "clear"}
+    assert twice and len({e for e, _, _ in log}) * 2 == len(log)
