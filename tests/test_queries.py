@@ -48,3 +48,11 @@ def test_later_decisions_count(spark, monkeypatch):
     log = [(r["email"], r["action"], r["ts"]) for r in seen[0].collect()]
     twice = {e for e, a, ts in log if ts == 1 and a == "clear"} & {e for e, a, ts in log if ts == 2 and a != "clear"}
     assert twice and len({e for e, _, _ in log}) * 2 == len(log)
+
+
+def test_durations_of_all_orders(spark, db):
+    """The rounding that the query labels does not reach."""
+    orders = spark.read.parquet(f"{SF}/orders.parquet").select("o_orderkey", plans.text.format_duration(plans.F.col("o_orderkey") * 7).alias("d"))
+    minutes = "cast(floor(o_orderkey * 7 / 60 + 0.5) as bigint)"
+    sql = f"select o_orderkey, case when {minutes} >= 60 then ({minutes} // 60) || 'h ' || ({minutes} % 60) || 'm' else {minutes} || 'm' end from orders"
+    assert sorted(map(tuple, orders.collect())) == sorted(db.execute(sql).fetchall())
