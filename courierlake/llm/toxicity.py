@@ -1,28 +1,30 @@
 """Toxicity by weak supervision: many voters, a generative label model, a linear classifier on its posteriors.
 
-Voters: insults of a general lexicon, patterns of form (shouting, repeated marks, abuse of the reader), and
-words and word beginnings that mark toxic rows of a bounded labelled sample. A voter votes "toxic" or
-abstains. The given label takes part as one more voter, whose accuracy is estimated like the others'.
+Voters: words of a lexicon in four languages, families of such words, patterns of form and of address, and words
+and word beginnings that a bounded labelled sample ties to toxic rows. A voter votes "toxic" or abstains. The
+given label takes part as one more voter, of good but not perfect repute.
 
 Label model: a two-class latent variable with voters that are independent given the class except for
 correlated groups. EM estimates each voter's firing rates in both classes, that is its accuracy and coverage;
 correlations are the excess of joint votes over what the model expects, and each voter's evidence is divided
 by the number of voters that it correlates with (a word and its beginnings count once). The two estimates
-alternate. The posteriors are the soft labels of a logistic regression over the presence of words and word
-beginnings, which scores every whole text.
+alternate. All rates are drawn alike, by SMOOTHING rows, towards the rate in the whole sample, so that a voter
+without votes says nothing about any row; silent voters take no part at all. The posteriors are the soft labels
+of a logistic regression over the presence of words, word beginnings, families and patterns, which scores every
+whole text.
 
-Bounds: SAMPLE_ROWS labelled rows (smallest hashes of the id) are fitted on; VOTERS and FEATURES limit the
-model. Everything else runs over all rows.
+Bounds: SAMPLE_ROWS labelled rows (smallest hashes of the id) are fitted on, one for each id; VOTERS and FEATURES
+limit the model. Everything else runs over all rows.
 
 Defined cases: null and empty texts get the score of a text without any feature; rows without labels are
-scored like others; with no labelled rows the lexicon and the patterns alone are the voters, at a fixed prior;
-repeated rows get equal results; empty tables give empty results.
+scored like others; with no labelled rows, or rows of one class only, the lexicon and the patterns alone are the
+voters, at a fixed prior; of rows that share a labelled id one is learned from; repeated rows get equal results;
+empty tables give empty results.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -31,6 +33,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import materialize
+
 SAMPLE_ROWS = 12_000
 VOTERS = 400
 FEATURES = 3000
@@ -38,20 +42,42 @@ PREFIXES = (3, 4, 5, 6, 7)
 #: Bounded cache of the features of words.
 CACHE_WORDS = 200_000
 
-#: Common insults in four languages.
-LEXICON = (
-    "idiot idiots stupid moron morons imbecile dumb dumbass pathetic worthless disgusting scum trash garbage vermin loser losers clown "
-    "fool freak creep jerk bastard bitch asshole crap shit fuck fucking slut whore retard filth maggot pig "
-    "dummkopf trottel vollidiot arschloch scheiße abschaum versager wichser hurensohn drecksack miststück "
-    "imbécile crétin abruti connard salaud salope merde ordure débile "
-    "idiota imbécil estúpido estúpida basura gilipollas cabrón puta mierda escoria payaso"
-).split()
+#: Voters and features need this much evidence: rows times the divergence of their share of toxic rows from that of all.
+EVIDENCE = 7.0
+#: Rows that draw a firing rate to its mean, and that speak for the given label.
+SMOOTHING, REPUTE = 1.0, 100.0
+
+#: Words of abuse in four languages, by family.
+LEXICON = {
+    "=insult": (
+        "idiot idiots idiotic stupid moron morons moronic imbecile imbeciles dumb dumbass dimwit halfwit fool fools clown clowns loser losers jerk creep freak "
+        "coward liar pathetic worthless useless disgusting hideous braindead dummkopf trottel vollidiot idioten blödmann versager feigling lügner dumm hässlich "
+        "imbécile crétin crétins abruti abrutis débile bouffon minable lâche menteur idiota idiotas imbécil estúpido estúpida tonto tonta payaso cobarde mentiroso inútil"
+    ).split(),
+    "=contempt": (
+        "scum trash garbage vermin filth filthy maggot maggots pig pigs rat rats parasite parasites subhuman degenerate abschaum ungeziefer gesindel pack drecksack dreckig "
+        "ordure ordures vermine déchet racaille parasitos escoria basura alimaña rata cerdo"
+    ).split(),
+    "=profanity": (
+        "shit bullshit crap fuck fucks fucked fucker fucking bastard bastards bitch bitches asshole assholes slut whore retard retarded arschloch arsch scheiße wichser "
+        "hurensohn schlampe fotze miststück connard connards connasse salaud salope enculé putain merde gilipollas cabrón cabrones puta putas mierda pendejo coño"
+    ).split(),
+    "=threat": "kill murder strangle lynch exterminate hang verrecke verrecken krepier umbringen aufhängen crève crever tuer égorger muérete matar ahorcar".split(),
+}
+FAMILY = {word: family for family, words in LEXICON.items() for word in words}
+_ABUSE = "stupid|idiot|moron|pathetic|worthless|disgusting|loser|trash|scum|clown|ugly|useless|garbage|dumb"
 PATTERNS = {
     "=shout": re.compile(r"\b[A-Z]{4,}\b(?:\W+[A-Z]{4,}\b){2}"),
     "=marks": re.compile(r"[!?]{3,}"),
-    "=reader": re.compile(r"(?i)\byou(?:'re| are)? (?:an? |all |such an? )?(?:stupid|idiot|pathetic|worthless|disgusting|moron|loser|trash|scum|clown)"),
-    "=shut_up": re.compile(r"(?i)\b(?:shut up|go to hell|drop dead|kill yourself|halt die klappe|ferme[- ]la|cállate)\b"),
+    "=reader": re.compile(rf"(?i)\byou(?:'re| are)? (?:an? |all |such an? |so |just an? )?(?:{_ABUSE})"),
+    "=your_kind": re.compile(r"(?i)\b(?:your kind|you people|people like you|leute wie du|gente como tú|les gens comme toi)\b"),
+    "=what_a": re.compile(rf"(?i)\b(?:what an?|such an?|bunch of|pack of|piece of) (?:\w+ )?(?:{_ABUSE})"),
+    "=go_away": re.compile(r"(?i)\b(?:shut up|go to hell|drop dead|get lost|kill yourself|halt die klappe|halt's maul|verpiss dich|ferme[- ]la|ta gueule|cállate|vete al infierno)\b"),
+    "=wish": re.compile(r"(?i)\b(?:hope|wish) (?:you|they|he|she) (?:all )?(?:die|rot|suffer|burn)\b"),
+    "=will_hurt": re.compile(r"(?i)\b(?:i|we)(?:'ll| will|'m going to| am going to) (?:kill|hurt|find|destroy|beat) (?:you|them|him|her)\b"),
+    "=hate": re.compile(r"(?i)\b(?:i|we) (?:really |all )?(?:hate|despise|loathe) (?:you|them|him|her|these)\b"),
     "=stars": re.compile(r"\b\w\*{2,}\w*\b"),
+    "=stretched": re.compile(r"(?i)\b(?:stu+pid|idi+ot|lo+ser|mo+ron|fu+ck|shi+t)\b(?<!stupid)(?<!idiot)(?<!loser)(?<!moron)(?<!fuck)(?<!shit)"),
 }
 WORDS = re.compile(r"[^\W\d_]+")
 
@@ -70,41 +96,47 @@ def held_out(doc_id: Column, folds: int = 4, fold: int = 2) -> Column:
 
 
 def word_features(word: str) -> tuple[str, ...]:
-    return (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n))
+    family = (FAMILY[word],) if word in FAMILY else ()
+    return (word, *(f"{word[:n]}*" for n in PREFIXES if len(word) >= n), *family)
 
 
 def text_features(text: str | None) -> set[str]:
-    """Words, word beginnings and patterns that occur in a text."""
+    """Words, word beginnings, families and patterns that occur in a text."""
     text = text or ""
     found = {f for w in set(WORDS.findall(text.lower())) for f in word_features(w)}
     return found | {name for name, p in PATTERNS.items() if p.search(text)}
 
 
-def label_model(votes: np.ndarray, annotator: int | None, prior: float = 0.1, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """votes: rows x voters, 1 vote, 0 none, nan unknown. Returns posteriors, firing rates (2 x voters), group sizes."""
+def label_model(votes: np.ndarray, annotator: int | None, prior: float = 0.1, rounds: int = 40, correlate: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """votes: rows x voters, 1 vote, 0 none; annotator: the column of the given labels. Returns posteriors, firing rates (2 x voters), group sizes."""
     n, m = votes.shape
-    known = ~np.isnan(votes)
-    v = np.where(known, votes, 0.0)
-    rates = np.vstack([np.clip(v.mean(0) * 0.2, 1e-4, 0.2), np.clip(v.mean(0) / prior * 0.8, 0.02, 0.9)])
-    if annotator is not None:
-        rates[:, annotator] = 0.02, 0.9
-    groups, p = np.ones(m), prior
-    q = np.full(n, prior)
+    mean = np.clip(votes.mean(0), 1e-6, 1 - 1e-6)
+    towards = np.vstack([mean, mean])
+    strength = np.full(m, SMOOTHING)
+    groups = np.ones(m)
+    if annotator is None:
+        agreed = votes.sum(1)
+        q = np.clip(prior * agreed / max(float(agreed.mean()), 1e-9), 0.01, 0.95)
+    else:
+        towards[:, annotator], strength[annotator] = (0.02, 0.95), REPUTE
+        q = np.where(votes[:, annotator] > 0, 0.95, 0.02)
     for step in range(rounds):
-        odds = np.log(p / (1 - p)) + ((v * np.log(rates[1] / rates[0]) + (known - v) * np.log((1 - rates[1]) / (1 - rates[0]))) / groups).sum(1)
-        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        p = float(np.clip(q.mean(), 1e-3, 0.5))
-        w1, w0 = q @ known, (1 - q) @ known
-        rates = np.vstack([((1 - q) @ v + 0.05) / (w0 + 1), (q @ v + 0.3) / (w1 + 1)])
+        weight = np.vstack([1 - q, q])
+        rates = (weight @ votes + strength * towards) / (weight.sum(1)[:, None] + strength)
         # A voter may abstain on toxic rows, but may not vote for clean ones more often than for toxic ones.
-        rates = np.clip(np.vstack([np.minimum(rates[0], rates[1] * 0.999), rates[1]]), 1e-5, 1 - 1e-5)
-        if step % 10 == 5:
+        rates[0] = np.minimum(rates[0], rates[1])
+        if correlate and step % 10 == 5:
             # Correlations: joint votes in the toxic class beyond independence.
-            both = (v * q[:, None]).T @ v / max(q.sum(), 1e-9)
+            both = (votes * q[:, None]).T @ votes / max(float(q.sum()), 1e-9)
             spread = np.sqrt(rates[1] * (1 - rates[1]))
             excess = (both - np.outer(rates[1], rates[1])) / np.maximum(np.outer(spread, spread), 1e-9)
             np.fill_diagonal(excess, 1.0)
             groups = np.maximum(1.0, np.clip(np.where(excess > 0.3, excess, 0), 0, 1).sum(0))
+            if annotator is not None:
+                groups[annotator] = 1.0
+        p = (q.sum() + 5 * prior) / (n + 5)
+        odds = np.log(p / (1 - p)) + ((votes * np.log(rates[1] / rates[0]) + (1 - votes) * np.log((1 - rates[1]) / (1 - rates[0]))) / groups).sum(1)
+        q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return q, rates, groups
 
 
@@ -137,34 +169,32 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.string()))], names=["id", "y", "features"])
 
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    extracted = rows.select("id", "text", "y").mapInArrow(extract, f"id {kind}, y int, features array<string>").persist()
-    try:
-        totals = extracted.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
-        n, pos = totals["n"], totals["p"] or 0
-        lexicon = [f for w in LEXICON for f in (w,)] + list(PATTERNS)
-        if not n or not pos or pos == n:
-            return ToxicityModel(-2.2, {w: 4.0 for w in LEXICON} | {"=reader": 3.0, "=shut_up": 3.0})
-        counted = extracted.select(F.explode("features").alias("f"), "y").groupBy("f").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("c"))
-        ratio = ((F.col("a") + 0.3) / pos) / ((F.col("c") - F.col("a") + 0.3) / (n - pos))
-        # Deviations from the share of toxic rows, in standard errors: chance makes few beyond the bounds.
-        share = pos / n
-        z = (F.col("a") - F.col("c") * share) / F.sqrt(F.col("c") * share * (1 - share))
-        counted = counted.where("c >= 3").withColumn("ratio", ratio).withColumn("z", z)
-        mined = counted.where("a >= 3 and ratio >= 6 and z >= 5").orderBy(F.desc("z"), "f").limit(VOTERS).select("f").toPandas()["f"].tolist()
-        spread = counted.where("c >= 5 and abs(z) >= 4").orderBy(F.desc(F.abs("z")), "f").limit(FEATURES).select("f").toPandas()["f"].tolist()
-        voters = list(dict.fromkeys(lexicon + mined))
-        wanted = list(dict.fromkeys(voters + spread))
-        index = {f: i for i, f in enumerate(wanted)}
-
-        def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                at = [[index[f] for f in fs if f in index] for fs in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], names=["y", "at"])
-
-        # Bounded: sample_rows rows of feature numbers.
-        bounded = extracted.select("y", "features").mapInArrow(indexed, "y int, at array<int>").collect()
-    finally:
-        extracted.unpersist()
+    extracted = rows.select("id", "text", "y").mapInArrow(extract, f"id {kind}, y int, features array<string>")
+    extracted = materialize(extracted.groupBy("id").agg(F.max("y").alias("y"), F.min("features").alias("features")), "toxicfeatures")
+    totals = extracted.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
+    n, pos = totals["n"], totals["p"] or 0
+    if not n or not pos or pos == n:
+        return ToxicityModel(-2.2, dict.fromkeys(FAMILY, 4.0) | {"=reader": 3.0, "=go_away": 3.0, "=will_hurt": 3.0})
+    counted = extracted.select(F.explode("features").alias("f"), "y").groupBy("f").agg(F.sum("y").alias("a"), F.count(F.lit(1)).alias("c"))
+    share, own = pos / n, F.col("a") / F.col("c")
+    part = lambda x, base: F.when(x > 0, x * F.log(x / F.lit(base))).otherwise(F.lit(0.0))
+    evidence = F.col("c") * (part(own, share) + part(1 - own, 1 - share)) * F.when(own > share, F.lit(1)).otherwise(F.lit(-1))
+    counted = materialize(counted.where("c >= 2").withColumn("e", F.round(evidence, 9)), "toxiccounts")
+    named = [*FAMILY, *LEXICON, *PATTERNS]
+    seen = {r["f"] for r in counted.where(F.col("f").isin(named)).select("f").collect()}  # at most as many as are named
+    mined = counted.where((F.col("e") >= EVIDENCE) & (F.col("a") >= 2)).orderBy(F.desc("e"), "f").limit(VOTERS).select("f").toPandas()["f"].tolist()
+    spread = counted.where(F.abs("e") >= EVIDENCE).orderBy(F.desc(F.abs("e")), "f").limit(FEATURES).select("f").toPandas()["f"].tolist()
+    voters = list(dict.fromkeys([f for f in named if f in seen] + mined))
+    wanted = list(dict.fromkeys(voters + spread))
+    index = {f: i for i, f in enumerate(wanted)}
+
+    def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [[index[f] for f in fs if f in index] for fs in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], names=["y", "at"])
+
+    # Bounded: sample_rows rows of feature numbers.
+    bounded = extracted.select("y", "features").mapInArrow(indexed, "y int, at array<int>").collect()
     bounded = sorted(bounded, key=lambda r: (r["at"], r["y"]))
     at = [np.array(r["at"], int) for r in bounded]
     votes = np.zeros((len(at), len(voters) + 1))
