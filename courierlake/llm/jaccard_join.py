@@ -1,24 +1,30 @@
 """Similarity join on word n-grams: rare-first prefixes, length, positional and suffix filters.
 
-1. Blocks of documents give their distinct shingles (64-bit polynomial hashes, cut to 48 bits) to buckets.
-   Each bucket knows the document frequency of its shingles and tells each block the frequencies of those that
-   occur in more than one document. Shingles that one block alone holds in HOT documents or more are noted
-   once for each block and rank behind all others, so a frequent passage costs one note for each block.
-2. Ordered by frequency, rarest first, a document's prefix are its first n - ceil(0.75 n) + 1 shingles. Shingles
-   that occur nowhere else come first and match nothing: most documents have no further shingle in their
-   prefix, and no partner. The others are grouped into classes of equal shingle sets.
-3. Classes meet on prefix shingles. Candidates pass the length filter, the positional filter and the suffix
-   filter (overlap by parts of the hash range), and are verified once, on whole sets.
+1. Blocks of documents give their distinct shingles, as tokens of 48 bits, to buckets. Each bucket knows how often
+   its tokens occur and tells each block the counts of those that occur more than once. Tokens that one block
+   alone holds HOT times or more are noted once for each block and rank behind all others, so a frequent passage
+   costs one note for each block.
+2. Ordered by count, rarest first, a document's prefix are its first n - ceil(0.75 n) + 1 tokens. Tokens that
+   occur nowhere else come first and match nothing: most documents have no further token in their prefix, and no
+   partner. The others are grouped into classes of equal shingle sets, by 128 bits over the whole hashes.
+3. Classes meet on prefix tokens. Candidates pass the length filter, the positional filter and the suffix filter
+   (tokens fall into SUFFIX_PARTS ranges, in each of which no more can be shared than the poorer side has), and
+   are verified once, on the n-grams of the two texts themselves.
+
+Shingles that share a token are told apart where it counts: a document's tokens are a multiset, one for each
+distinct shingle (64 bits, from a sum of pseudo-random numbers by byte and place, mixed over the words), so that
+prefixes miss no pair, and verification compares words. A link never rests on a hash.
 
 All links count towards components, but pairs inside a component need no verification: in LEADER_ROUNDS
-rounds, every prefix shingle's classes are compared with one of them - one with few shingles of its own, as the
-original of a group of copies has - and components are formed; then the
-pairs that still lie in different components are compared, all of them. A group of n near copies thus costs
-about n comparisons, without a cap: what the leaders do not settle is compared in full.
+rounds, every prefix token's classes are compared with one of them - one with few shingles of its own, as the
+original of a group of copies has - and components are formed; then the pairs that still lie in different
+components are compared, all of them. A group of n near copies thus costs about n comparisons, without a cap:
+what the leaders do not settle is compared in full. Tokens and leaders that many rows share are split over tasks.
 
 Defined cases: null and blank texts have the empty set and link with nothing; texts with fewer words than a
 shingle have one shingle, the whole sequence; repeated rows are equal sets and link; ids may be null (they
-come last when the smallest id names a component); an empty table gives an empty result.
+come last when the smallest id names a component); very long texts are taken whole, each by one task; an empty
+table gives an empty result; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,27 +33,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import join_weighed, materialize, stable_rows
+from .shared import discard, join_weighed, materialize, stable_rows
 
 SIZE = 5
 HOT = 64
 #: Shingles of a block, about; and of a bucket.
-BLOCK_SHINGLES = 3_000_000
-BUCKET_SHINGLES = 4_000_000
+BLOCK_SHINGLES = 2_000_000
+BUCKET_SHINGLES = 3_000_000
 LEADER_ROUNDS = 3
-#: So many pairs, counted first, are broadcast to the scan of the sets.
-BROADCAST_PAIRS = 20_000
+#: So many ids, counted first, are broadcast to a scan (8 bytes each); more are joined by shuffle.
+BROADCAST_IDS = 500_000
+#: Rows of one token, or pairs of one leader, that a task takes before they are split.
+SPLIT = 256
 SUFFIX_PARTS = 16
 _CHUNK = 1 << 20
 _MASK = np.uint64((1 << 48) - 1)
 _R = np.uint64(0x9E3779B97F4A7C15)
-_RI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_POWERS: list[np.ndarray] = []
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,12 +63,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, _CHUNK + 1)
-        _POWERS[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size, r, np.uint64)])) for r in (_R, _RI)]
-    return _POWERS[0], _POWERS[1]
+#: Pseudo-random numbers by place in a word and byte, for the first places.
+_PLACES = 32
+_NUMBERS = _mix(np.arange(_PLACES * 256, dtype=np.uint64) * _R + _M2)
+
+
+def _numbers(place: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    at = (place << 8) + byte
+    if not len(at) or place.max() < _PLACES:
+        return _NUMBERS[at]
+    return np.where(place < _PLACES, _NUMBERS[np.minimum(at, len(_NUMBERS) - 1)], _mix(at.astype(np.uint64) * _R + _M2))
 
 
 def shingle_hashes(x: np.ndarray, ends: np.ndarray, size: int = SIZE) -> tuple[np.ndarray, np.ndarray]:
@@ -80,9 +91,10 @@ def shingle_hashes(x: np.ndarray, ends: np.ndarray, size: int = SIZE) -> tuple[n
     s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
     if not len(s):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, down = _powers(n + 1)
-    total = np.concatenate([[np.uint64(0)], np.cumsum((x.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)])
-    words = _mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+    lengths = e - s
+    begin = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(begin, lengths)
+    words = _mix(np.add.reduceat(_numbers(place, x[~blank]), begin) + lengths.astype(np.uint64))
     of = np.searchsorted(ends, s, side="right") - 1
     count = np.bincount(of, minlength=len(ends) - 1)
     first = np.cumsum(count) - count
@@ -109,7 +121,7 @@ def _unpack48(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-# Rows between blocks and buckets. HEADER: a block's documents; ASK: shingles for a bucket; ANSWER: frequencies.
+# Rows between blocks and buckets. HEADER: a block's documents; ASK: tokens for a bucket; ANSWER: their counts.
 HEADER, ASK, ANSWER = range(3)
 _ROW = "block bigint, bucket int, kind int, docs binary, counts binary, shingles binary, numbers binary"
 
@@ -131,12 +143,24 @@ def _runs(of: np.ndarray, documents: int) -> np.ndarray:
     return np.bincount(of, minlength=documents).astype("<i4")
 
 
+def set_sums(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """128 bits for each document, from its distinct shingles in any order; n of them each, one document after the other."""
+    at = np.cumsum(n) - n
+    sums = np.zeros((2, len(n)), np.uint64)
+    full = n > 0
+    for row, seed in zip(sums, (_M1, _M2), strict=True):
+        row[full] = _mix(np.add.reduceat(_mix(h ^ seed), at[full]) if full.any() else sums[0, :0]) + n[full].astype(np.uint64)
+    return sums
+
+
 def _blocks(buckets: int, size: int, frequent: int):
     """Reads documents, sends each block's shingles to the buckets and keeps a header with the set sizes."""
 
     def send(uid: np.ndarray, h: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
         block = int(uid[0])
         n = np.bincount(of, minlength=len(uid))
+        sums = set_sums(h, n)
+        h = h & _MASK
         order = np.argsort(h, kind="stable")
         s = h[order]
         new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
@@ -144,7 +168,7 @@ def _blocks(buckets: int, size: int, frequent: int):
         hot = np.zeros(len(h), bool)
         if len(s):
             hot[order] = np.bincount(run)[run] >= frequent
-        yield _row(block, -1, HEADER, uid.astype("<i8").tobytes(), np.concatenate([n.astype("<i4"), _runs(of[hot], len(uid))]).tobytes(), _pack48(h[hot]), b"")
+        yield _row(block, -1, HEADER, uid.astype("<i8").tobytes(), np.concatenate([n.astype("<i4"), _runs(of[hot], len(uid))]).tobytes(), _pack48(h[hot]), sums.astype("<u8").tobytes())
         notes = np.unique(h[hot])
         place = (h % np.uint64(buckets)).astype(np.int64)
         place[hot] = -1
@@ -172,7 +196,6 @@ def _blocks(buckets: int, size: int, frequent: int):
                 hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + _CHUNK, side="right")) - 1)
                 hi = min(hi, len(uid))
                 h, of = shingle_hashes(data[ends[lo] : ends[hi]], ends[lo : hi + 1] - ends[lo], size)
-                h &= _MASK
                 order = np.lexsort((h, of))
                 h, of = h[order], of[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
@@ -223,7 +246,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _row(r["block"], bucket, ANSWER, docs.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), _pack48(mine[keep]), f[keep].astype("<i4").tobytes())
 
 
-_DOC = "uid bigint, n int, cls bigint, prefix array<struct<token:bigint,place:int>>, parts array<int>, items binary"
+_DOC = "uid bigint, n int, key binary, known int, prefix array<struct<token:bigint,place:int>>, parts array<int>"
 
 
 def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
@@ -236,6 +259,7 @@ def _prefixes(percent: int):
     def finish(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         head = next(r for r in rows if r["kind"] == HEADER)
         uid = np.frombuffer(head["docs"], "<i8")
+        sums = np.ascontiguousarray(np.frombuffer(head["numbers"], "<u8").reshape(2, -1).T)
         numbers = np.frombuffer(head["counts"], "<i4")
         n, hot_runs = numbers[: len(uid)].astype(np.int64), numbers[len(uid) :]
         answers = [r for r in rows if r["kind"] == ANSWER]
@@ -250,7 +274,6 @@ def _prefixes(percent: int):
         order = np.lexsort((h, f, of))
         h, of = h[order], of[order]
         cuts = np.searchsorted(of, np.arange(len(uid) + 1))
-        chosen = np.flatnonzero(maybe)
         for lo in range(0, len(uid), 2000):
             out = []
             for i in range(lo, min(lo + 2000, len(uid))):
@@ -259,16 +282,12 @@ def _prefixes(percent: int):
                     continue
                 items = h[cuts[i] : cuts[i + 1]]
                 parts = np.bincount((items >> np.uint64(44)).astype(np.int64), minlength=SUFFIX_PARTS)
-                if len(items) == n[i]:
-                    mixed = _mix(items + np.uint64(1))
-                    cls = int(_mix(np.bitwise_xor.reduce(mixed, keepdims=True) * _R ^ mixed.sum(dtype=np.uint64))[0].view(np.int64))
-                else:
-                    cls = int(_mix(np.array([uid[i]], np.int64).view(np.uint64) + _R)[0].view(np.int64))
-                q = int(inside[i])
-                out.append((int(uid[i]), int(n[i]), cls, [{"token": int(t), "place": k} for k, t in enumerate(items[:q])], parts.tolist(), items.astype("<u8").tobytes()))
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])), pa.list_(pa.int32()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["uid", "n", "cls", "prefix", "parts", "items"])
-        del chosen
+                first = items[: inside[i]]
+                # Of equal tokens the first stands for all.
+                new = np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]]))
+                out.append((int(uid[i]), int(n[i]), sums[i].tobytes(), len(items), [{"token": int(first[k]), "place": k} for k in new.tolist()], parts.tolist()))
+            types = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int32())])), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["uid", "n", "key", "known", "prefix", "parts"])
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[dict] = []
@@ -285,39 +304,52 @@ def _prefixes(percent: int):
     return prefixes
 
 
-def _verify(percent: int):
+def ngrams(body: bytes, size: int = SIZE) -> set[tuple[bytes, ...]]:
+    """The set of a text as words: its distinct n-grams, or the whole sequence if it is shorter."""
+    words = body.translate(_LOWER).split()
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(size)), strict=False))
+
+
+def _verify(percent: int, size: int):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lead = None, None
         for b in batches:
             keep = []
-            for n, m, x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), b.column(5), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8"), assume_unique=True))
-                keep.append(100 * both >= percent * (n + m - both))
+            for member, leader, x, y in zip(b.column(0), b.column(1), b.column(2), b.column(3), strict=True):
+                # Rows of one leader stand together.
+                if held != leader:
+                    held, lead = leader, ngrams(y.as_py(), size)
+                own = ngrams(x.as_py(), size)
+                both = len(own & lead)
+                keep.append(100 * both >= percent * (len(own) + len(lead) - both))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keep, pa.bool_())], names=["a", "b", "linked"])
 
     return verify
 
 
-def _sketched(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b, overlap: most that the prefixes' places allow) that pass the length, positional and suffix filters, once each."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "overlap").groupBy("a", "b").agg(F.min("overlap").alias("overlap"))
-    sketch = classes.select("cls", "n", "parts")
-    known = pairs.join(sketch.withColumnsRenamed({"cls": "a", "n": "na", "parts": "pa"}), "a").join(sketch.withColumnsRenamed({"cls": "b", "n": "nb", "parts": "pb"}), "b")
-    need = F.ceil(F.lit(percent) * (F.col("na") + F.col("nb")) / F.lit(100 + percent) - 1e-9)
-    by_parts = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return known.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).where((F.col("overlap") >= need) & (by_parts >= need)).select("a", "b", "na", "nb")
+def _few(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def _verified(passed: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """pairs(a, b, na, nb) with linked, from whole sets."""
+def _verified(passed: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame | None:
+    """pairs(a, b) with linked, from the texts of both, None if there are no pairs; b may be in many pairs, which are split over tasks."""
     passed = materialize(passed, "passed")
-    items = classes.select("cls", "items")
-    if passed.count() <= BROADCAST_PAIRS:
-        # Few pairs: only the sets that they name are shuffled, each side its own.
-        firsts, seconds = (items.join(F.broadcast(passed.select(F.col(c).alias("cls")).distinct()), "cls", "left_semi") for c in ("a", "b"))
-    else:
-        firsts = seconds = items
-    whole = passed.join(firsts.withColumnsRenamed({"cls": "a", "items": "ia"}), "a").join(seconds.withColumnsRenamed({"cls": "b", "items": "ib"}), "b")
-    return whole.select("a", "b", "na", "nb", "ia", "ib").mapInArrow(_verify(percent), "a bigint, b bigint, linked boolean")
+    if passed.isEmpty():
+        return None
+    named = materialize(passed.select(F.explode(F.array("a", "b")).alias("uid")).distinct(), "pairids")
+    bodies = materialize(texts.join(_few(named), "uid", "left_semi"), "bodies")
+    # At most one leader for each SPLIT pairs.
+    often = passed.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / SPLIT).cast("int").alias("splits")).where("splits > 1")
+    often = materialize(often, "often")
+    pairs = passed.join(_few(often), "b", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("a"), F.col("splits")), F.lit(0)))
+    pairs = pairs.select("a", "b", "salt").join(bodies.withColumnsRenamed({"uid": "a", "body": "x"}), "a")
+    leaders = pairs.select("b", "salt").distinct().join(bodies.withColumnsRenamed({"uid": "b", "body": "y"}), "b")
+    whole = pairs.join(leaders.hint("merge"), ["b", "salt"]).select("a", "b", "x", "y")
+    tried = materialize(whole.mapInArrow(_verify(percent, size), "a bigint, b bigint, linked boolean"), "verified")
+    discard(passed, named, often, bodies)
+    return tried
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = 75, frequent: int = HOT) -> DataFrame:
@@ -335,67 +367,81 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     answered = counted.repartition(buckets, "block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_prefixes(percent), _DOC)
     answered = materialize(answered, "shingled")
 
-    possible = answered.where("cls is not null")
-    classes = possible.groupBy("cls").agg(F.any_value("n").alias("n"), F.any_value("parts").alias("parts"), F.any_value("items").alias("items"), F.any_value("prefix").alias("prefix"))
-    classes = materialize(classes, "classes")
-    tokens = classes.select("cls", "n", F.size("prefix").alias("q"), (F.octet_length("items") / 8).cast("int").alias("known"), F.explode("prefix").alias("t"))
-    tokens = tokens.select("cls", "n", "known", F.col("t.token").alias("token"), F.col("t.place").alias("place")).withColumn("comp", F.col("cls"))
-
-    def most(i, known_a, j, known_b):
-        """Shared shingles at most, if those at places i and j are the same."""
-        return F.least(i, j) + 1 + F.least(F.col(known_a) - i - 1, F.col(known_b) - j - 1)
-
-    def possible_pair(n: str, known: str, other: str, other_known: str):
-        """Length filter, and the overlap that is possible with shingles known to other documents."""
-        sizes = F.least(n, other) * 100 >= F.greatest(n, other) * percent
-        return sizes & (F.least(known, other_known) * (100 + percent) >= (F.col(n) + F.col(other)) * percent)
-
-    links = None
+    # A class has the name of one of its documents, whose text stands for all.
+    members = answered.where("key is not null").groupBy("key").agg(
+        F.min("uid").alias("cls"), F.count(F.lit(1)).alias("members"), *[F.any_value(c).alias(c) for c in ("n", "known", "parts", "prefix")]
+    )
+    classes = materialize(members, "classes")
+    tokens = classes.select("cls", "n", "known", F.explode("prefix").alias("t")).select("cls", "n", "known", "t.token", "t.place").withColumn("comp", F.col("cls"))
+    tokens = materialize(tokens, "tokens")
+
+    def possible(one: str, other: str) -> Column:
+        """Length and positional filter of two rows of one token."""
+        n, m, known, known_too = (F.col(f"{x}.{c}") for c in ("n", "known") for x in (one, other))
+        i, j = (F.col(f"{x}.place") for x in (one, other))
+        # What precedes the token in both, and the token and what follows it.
+        most = F.least(i, j) + F.least(known - i, known_too - j)
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
+
+    def untried(pairs: DataFrame) -> DataFrame:
+        if links is None:
+            return pairs
+        seen = links.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+        return pairs.join(seen, (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y")), "left_anti")
+
+    links = found = None
     for turn in range(LEADER_ROUNDS + 1):
-        # Shingles whose classes are in one component have nothing left to settle; they do not come back.
-        own = F.struct(F.floor((F.col("n") - F.col("known")) * 20 / F.col("n")), F.xxhash64("cls", F.lit(turn)))
-        spread = tokens.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("token")
-        tokens = materialize(tokens.select("cls", "n", "known", "token", "place", "comp").join(spread, "token", "left_semi"), "open")
+        # Tokens whose classes are in one component have nothing left to settle; they do not come back.
+        own = F.struct(F.floor((F.col("n") - F.col("known")) * 20 / F.col("n")), F.xxhash64("cls", F.lit(turn)), F.col("cls"))
+        lead = F.min_by(F.struct("cls", "n", "known", "place", "comp"), own)
+        about = tokens.groupBy("token").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("rows"), F.count(F.lit(1)).alias("shared"), lead.alias("lead"))
+        about = materialize(about.where("c0 <> c1").drop("c0", "c1"), "about")
+        if about.isEmpty():
+            break
+        open_tokens = materialize(join_weighed(tokens, about, "token", "rows", tokens.count(), "inner"), "open")
+        discard(tokens, about)
         if turn < LEADER_ROUNDS:
-            own = F.struct(F.floor((F.col("n") - F.col("known")) * 20 / F.col("n")), F.xxhash64("cls", F.lit(turn)))
-            leads = tokens.groupBy("token").agg(F.min_by(F.struct("cls", "n", "known", "place", "comp"), own).alias("lead"))
-            pairs = tokens.join(leads, "token").where(F.col("lead.comp") != F.col("comp")).where(possible_pair("n", "known", "lead.n", "lead.known"))
-            pairs = pairs.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b"), most(F.col("place"), "known", F.col("lead.place"), "lead.known").alias("overlap"))
+            rows = open_tokens.alias("l").where(F.col("lead.comp") != F.col("comp")).where(possible("l", "lead"))
+            passed = pairs = materialize(rows.select(F.col("cls").alias("a"), F.col("lead.cls").alias("b")).distinct(), "pairs")
+            parts = classes.select("cls", "parts", "n")
+            # A class has few leaders, a leader many classes.
+            passed = passed.join(parts.withColumnsRenamed({"cls": "a", "parts": "pa", "n": "na"}), "a")
+            leads = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).join(parts.withColumnsRenamed({"cls": "b", "parts": "pb", "n": "nb"}), "b")
+            passed = join_weighed(passed, leads, "b", "pairs", pairs.count(), "inner")
         else:
-            sketch = classes.select("cls", "parts", F.transform("prefix", lambda t: t["token"]).alias("tokens"))
-            left = materialize(tokens.join(sketch, "cls"), "sketched")
-            l, r = left.alias("l"), left.alias("r")
-            # All bounds are part of the join, which makes no row that they exclude; and of the shingles that two
-            # prefixes share, the first one makes the row. Before it, nothing is shared. Both sides are the same
-            # exchange.
+            # All bounds are part of the join, which makes no row that they exclude. Rows of a frequent token are split:
+            # one side takes a part, the other all of them.
+            left = open_tokens.drop("lead").join(classes.select("cls", "parts"), "cls").withColumn("splits", F.ceil(F.col("shared") / SPLIT).cast("int"))
+            left = pairs = materialize(left, "sketched")
+            l = left.withColumn("salt", F.pmod(F.hash("cls"), F.col("splits"))).alias("l")
+            r = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).alias("r")
             larger = (F.col("l.n") > F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.cls") > F.col("r.cls")))
-            need = (F.col("l.n") + F.col("r.n")) * percent
-            first = F.get(F.array_intersect("l.tokens", "r.tokens"), F.lit(0)) == F.col("l.token")
-            enough = F.least(F.col("l.known") - F.col("l.place"), F.col("r.known") - F.col("r.place")) * (100 + percent) >= need
-            by_parts = F.aggregate(F.zip_with("l.parts", "r.parts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x) * (100 + percent) >= need
-            bounds = (F.col("l.comp") != F.col("r.comp")) & larger & possible_pair("l.n", "l.known", "r.n", "r.known") & enough & first & by_parts
-            pairs = l.join(r, (F.col("l.token") == F.col("r.token")) & bounds)
-            # The filters have been part of the join.
-            pairs = pairs.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"))
-        if links is not None:
-            pairs = pairs.withColumns({"x": F.least("a", "b"), "y": F.greatest("a", "b")})
-            pairs = pairs.join(links.select(F.col("a").alias("x"), F.col("b").alias("y")), ["x", "y"], "left_anti").drop("x", "y")
-        passed = _sketched(pairs, classes, percent) if turn < LEADER_ROUNDS else pairs
-        tried = materialize(_verified(passed, classes, percent), "verified")
-        links = tried if links is None else links.unionByName(tried)
-        found = connected_components(links.where("linked"))
-        comps = classes.select(F.col("cls").alias("node")).join(found, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        comps = materialize(comps, "comps")
-        tokens = tokens.select("cls", "n", "known", "token", "place").join(comps.withColumnRenamed("node", "cls"), "cls")
+            bounds = (F.col("l.comp") != F.col("r.comp")) & larger & possible("l", "r")
+            passed = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.salt") == F.col("r.salt")) & bounds)
+            passed = passed.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"), F.col("l.parts").alias("pa"), F.col("r.parts").alias("pb"))
+        by_parts = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        passed = passed.where(by_parts * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
+        tried = _verified(untried(passed.select("a", "b").distinct()), texts, percent, size)
+        tokens = open_tokens.select("cls", "n", "known", "token", "place", "comp")
+        if tried is not None:
+            links = tried if links is None else links.unionByName(tried)
+            if not tried.where("linked").isEmpty():
+                found = materialize(connected_components(links.where("linked")).withColumnRenamed("node", "cls"), "comps")
+                tokens = tokens.drop("comp").join(_few(found), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+        if turn < LEADER_ROUNDS:
+            tokens = materialize(tokens, "tokens")
+        discard(open_tokens, pairs)
 
     ids = numbered.select("uid", "id")
-    named = materialize(ids.join(answered.select("uid", F.col("n").cast("long").alias("n_shingles"), F.col("cls").alias("class_id")), "uid"), "named")
-    by_class = named.where("class_id is not null").groupBy("class_id").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("members"))
-    by_class = by_class.join(comps.withColumnRenamed("node", "class_id"), "class_id")
+    named = materialize(ids.join(answered.select("uid", F.col("n").cast("long").alias("n_shingles"), "key"), "uid"), "named")
+    by_class = named.where("key is not null").groupBy("key").agg(F.min("id").alias("low"))
+    by_class = by_class.join(classes.select("key", "cls", "members"), "key")
+    by_class = by_class.join(found, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")) if found is not None else by_class.withColumn("comp", F.col("cls"))
+    by_class = materialize(by_class, "byclass")
     by_comp = by_class.groupBy("comp").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("classes"))
-    outcome = join_weighed(by_class, by_comp, "comp", "classes", total).select("class_id", "members", "component_id")
+    outcome = join_weighed(by_class, by_comp, "comp", "classes", total).select("key", "members", F.col("cls").alias("class_id"), "component_id")
     outcome = materialize(outcome, "outcome")
-    done = join_weighed(named.where("class_id is not null"), outcome, "class_id", "members", total)
-    alone = named.where("class_id is null").withColumn("component_id", F.col("id"))
+    done = join_weighed(named.where("key is not null"), outcome, "key", "members", total)
+    alone = named.where("key is null").withColumns({"component_id": F.col("id"), "class_id": F.lit(None).cast("bigint")})
     columns = [F.col("id").alias(id_col), "n_shingles", "class_id", "component_id"]
     return done.select(*columns).unionByName(alone.select(*columns))

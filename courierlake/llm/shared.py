@@ -18,28 +18,57 @@ _own_dir: str | None = None
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where that is unset, a temporary folder serves if driver and executors are one process, as in tests; on a
+    cluster it would be another folder on each machine, so there the setting has to be made.
+    """
     global _own_dir
     at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if at:
         return at.rstrip("/")
+    if not is_one_process(spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = "file://" + tempfile.mkdtemp(prefix="courierlake-")
     return _own_dir
 
 
+def is_one_process(master: str) -> bool:
+    """Whether driver and executors are one process: local, local[n], local[n, failures], but no local cluster."""
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors.
 
-    The files go when the application ends.
+    The files go with discard(), or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/courierlake-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.deleteOnExit(where)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._written = (files, where)
+    return table
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes tables of materialize() that no later step reads, so that loops do not pile them up."""
+    for table in tables:
+        if written := getattr(table, "_written", None):
+            written[0].delete(written[1], True)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """name, or a longer one that no column has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def stable_rows(df: DataFrame, label: str) -> DataFrame:
@@ -62,8 +91,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def join_weighed(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
-    """Left join of rows with one fact row per key, where weight says how many of the `total` rows have the key.
+def join_weighed(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int, how: str = "left") -> DataFrame:
+    """Left or inner join of rows with one fact row per key, where weight says how many of the `total` rows have the key.
 
     Keys with more than 1/HEAVY of all rows, at most HEAVY of them, come by broadcast; the rest by a shuffle
     in which no key is hot. weight is dropped.
@@ -75,4 +104,4 @@ def join_weighed(rows: DataFrame, facts: DataFrame, key: str, weight: str, total
     marked = rows.join(F.broadcast(heavy), F.col(key) == F.col("__hk"), "left")
     done = marked.where("__hk is not null").select(*rows.columns, *[F.col(f"__h_{c}").alias(c) for c in others])
     open_rows = marked.where("__hk is null").select(*rows.columns)
-    return done.unionByName(open_rows.join(light, F.col(key) == F.col("__lk"), "left").drop("__lk"))
+    return done.unionByName(open_rows.join(light, F.col(key) == F.col("__lk"), how).drop("__lk"))

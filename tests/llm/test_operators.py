@@ -320,6 +320,54 @@ def test_similar_documents_of_a_large_group(spark, frequent):
     check_components(rows, jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), frequent=frequent))
 
 
+def test_words_that_a_polynomial_confuses(spark):
+    # Complementary Thue-Morse words collide in every polynomial hash modulo a power of two.
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = one.translate(str.maketrans("ab", "ba"))
+    rows = list(enumerate([one, other, one, f"{prose(40, 1)} {one}", f"{prose(40, 1)} {other} {prose(9, 2)}", f"{prose(40, 1)} {one} {prose(9, 2)}"]))
+    check_components(rows, jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")))
+
+
+def test_tokens_may_collide(spark, monkeypatch):
+    # Tokens of six bits: nearly all shingles share one, in documents too; sizes, classes and links stay right.
+    monkeypatch.setattr(jaccard_join, "_MASK", np.uint64(63))
+    base = prose(60, 50)
+    rows = list(enumerate([edited(base, 9 + k, k) for k in range(12)] + [prose(50, 900 + k) for k in range(12)] + [base, base.upper(), "a b", None, "a b c d e f"]))
+    raw = [(t or "").encode() for _, t in rows]
+    ends = np.cumsum([0] + [len(b) for b in raw])
+    batch = jaccard_join.pa.RecordBatch.from_arrays([jaccard_join.pa.array([i for i, _ in rows], "int64"), jaccard_join.pa.array(raw, "binary")], names=["uid", "body"])
+    asked = list(jaccard_join._blocks(2, 5, 8)(iter([batch])))
+    done = list(jaccard_join._prefixes(75)(jaccard_join._count(iter(asked))))
+    docs = [r for b in done for r in b.to_pylist()]
+    sets = shingle_sets([t for _, t in rows])
+    assert [len(sets[r["uid"]]) for r in docs] == [r["n"] for r in docs] and len(docs) == len(rows)
+    by = {r["uid"]: r for r in docs if r["prefix"]}
+    assert by[24]["key"] == by[25]["key"] and len({r["key"] for r in by.values()}) == len({frozenset(sets[u]) for u in by})
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                x, y = ({t["token"] for t in by[k]["prefix"]} for k in (i, j))
+                assert x & y
+    assert len(ends) == len(rows) + 1
+
+
+@pytest.mark.parametrize("split, ids", [(4, 500_000), (2, 0)])
+def test_frequent_tokens_and_leaders_are_split(spark, monkeypatch, split, ids):
+    monkeypatch.setattr(jaccard_join, "SPLIT", split)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", ids)
+    monkeypatch.setattr(jaccard_join, "LEADER_ROUNDS", 1)
+    base, other = prose(90, 50), prose(90, 51)
+    rows = list(enumerate([edited(base, 12 + k % 40, k) for k in range(30)] + [edited(other, 12 + k % 30, k) for k in range(20)] + [base[: 300 + 9 * k] for k in range(15)] + [prose(60, 500 + k) for k in range(9)]))
+    check_components(rows, jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+
+
+def test_long_texts_link(spark):
+    # Beyond the bytes that are hashed at once.
+    base = prose(400_000, 5)
+    rows = [(1, base), (2, base + " x y z"), (3, prose(400_000, 6)), (4, base[: len(base) // 2])]
+    check_components(rows, jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id bigint, text string")))
+
+
 def test_shingles_do_not_cross_texts():
     texts = ["a b c d e f", "a b", "", "x", "a b c d e f", "A B C D E f"]
     raw = [t.encode() for t in texts]
@@ -330,7 +378,7 @@ def test_shingles_do_not_cross_texts():
 
 
 def test_components(spark):
-    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (10, 9), (9, 8), (7, 7)]
+    edges = [(1, 2), (2, 3), (3, 4), (4, 5), (5, 6), (10, 9), (9, 8), (7, 7), (None, 3), (11, None), (None, None), (2, 1), (9, 8)]
     got = {(r["node"], r["comp"]) for r in connected_components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {(k, 1) for k in range(1, 7)} | {(k, 8) for k in (8, 9, 10)}
     assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
