@@ -3,7 +3,8 @@
 A payload is padded with bytes 255 to a positive multiple of 576 and laid out as RGBA pixels, 144 to a row.
 Payloads of more than MAX_ROWS rows become several images, one file after the other. Reading decodes the
 stored files - prefix codes, back-references, colour cache, and the inverse of all four transforms - into
-pixel arrays. Both directions are Arrow-batched per-row work inside one stage; nothing is shuffled.
+pixel arrays. Writing uses prefix codes for every image, references, cache or palette where its pixels repeat, and a
+predictor, cross-colour or subtract-green transform where that saves bits. Both directions are Arrow-batched per-row work inside one stage; nothing is shuffled.
 
 Defined cases: null payloads count as empty and become one row of bytes 255; equal payloads give equal files
 and features; repeated rows and null ids are carried along; empty tables give empty results.
@@ -33,7 +34,12 @@ def store_bytes(payload: bytes) -> bytes:
     red, green, blue, alpha = (pixels[:, i].astype(np.uint32) for i in range(4))
     argb = alpha << 24 | red << 16 | green << 8 | blue
     step = ROW_PIXELS * MAX_ROWS
-    return b"".join(webp.encode(argb[a : a + step], ROW_PIXELS, len(argb[a : a + step]) // ROW_PIXELS) for a in range(0, len(argb), step))
+    files = []
+    for a in range(0, len(argb), step):
+        part = argb[a : a + step]
+        rows = len(part) // ROW_PIXELS
+        files.append(webp.encode(part, ROW_PIXELS, rows, **webp.best_form(part, ROW_PIXELS, rows)))
+    return b"".join(files)
 
 
 def read_pixels(media: bytes) -> tuple[int, int, bytes]:

@@ -1,8 +1,8 @@
 """Lossless WebP (VP8L) images as NumPy arrays, after the public format description (RFC 9649).
 
-decode() reads any lossless still image. Images whose channels have codes of one length each, without
-transforms, cache or references, are read in one vectorised step; others pixel by pixel. encode() writes
-such plain images, or, on request, transforms, colour cache and back-references.
+decode() reads any lossless still image: prefix codes, back-references and colour cache in one loop over the
+pixels, then the inverse of the transforms. encode() writes prefix codes whose lengths follow the frequencies and, on
+request, transforms, colour cache and back-references; best_form() says what pays for an image.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ NEAR = (
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = range(4)
 CACHE_FACTOR = 0x1E35A7BD
 MAX_SIDE = 1 << 14
+#: Longest code that is written; the format allows 15 bits. Four of them fit a number of _Writer.
+LONGEST = 12
 
 
 class Bits:
@@ -42,55 +44,34 @@ class Bits:
         self.at += n
         return out
 
-    def flat(self, n: int) -> np.ndarray:
-        """The next n bits, one by one."""
-        a, b = self.at >> 3, (self.at + n + 7) >> 3
-        if self.at + n > 8 * len(self.data):
-            raise ValueError("the image ends early")
-        out = np.unpackbits(np.frombuffer(self.data, np.uint8, b - a, a), bitorder="little")[self.at & 7 :][:n]
-        self.at += n
-        return out
-
     def peek(self, n: int) -> int:
         a = self.at >> 3
         return int.from_bytes(self.data[a : a + 4], "little") >> (self.at & 7) & (1 << n) - 1
 
 
 class Code:
-    """A canonical prefix code given by its lengths."""
+    """A canonical prefix code given by its lengths. table: for the next `bits` bits, 16 times the symbol plus its length."""
 
     def __init__(self, lengths: np.ndarray):
-        self.lengths = np.asarray(lengths, int)
-        self.symbols = np.flatnonzero(self.lengths)
-        if len(self.symbols) <= 1:
-            self.bits, self.only = 0, int(self.symbols[0]) if len(self.symbols) else 0
+        lengths = np.asarray(lengths, int)
+        symbols = np.flatnonzero(lengths)
+        if len(symbols) <= 1:
+            self.bits, self.table = 0, [16 * int(symbols[0]) if len(symbols) else 0]
             return
-        self.bits = int(self.lengths.max())
-        if (np.left_shift(1, self.bits - self.lengths[self.symbols])).sum() != 1 << self.bits:
+        own = lengths[symbols]
+        self.bits = int(own.max())
+        if (1 << (self.bits - own)).sum() != 1 << self.bits:
             raise ValueError("not a complete prefix code")
-        order = self.symbols[np.argsort(self.lengths[self.symbols], kind="stable")]
+        order = symbols[np.argsort(own, kind="stable")]
         # Codes are assigned in order of length and symbol; the stream has their bits from the first on.
-        self.table = np.repeat(order, 1 << (self.bits - self.lengths[order]))[_turned(self.bits)]
+        self.table = np.repeat(16 * order + lengths[order], 1 << (self.bits - lengths[order]))[_turned(self.bits)].tolist()
 
     def read(self, bits: Bits) -> int:
-        if not self.bits:
-            return self.only
-        symbol = int(self.table[bits.peek(self.bits)])
-        bits.at += int(self.lengths[symbol])
+        entry = self.table[bits.peek(self.bits)]
+        bits.at += entry & 15
         if bits.at > 8 * len(bits.data):
             raise ValueError("the image ends early")
-        return symbol
-
-    def read_all(self, bits: Bits, n: int) -> np.ndarray:
-        """The next n symbols of a uniform code."""
-        if not self.bits:
-            return np.full(n, self.only)
-        flat = bits.flat(n * self.bits).reshape(n, self.bits)
-        return self.table[flat @ (1 << np.arange(self.bits))]
-
-    @property
-    def uniform(self) -> bool:
-        return not self.bits or bool((self.lengths[self.symbols] == self.bits).all())
+        return entry >> 4
 
 
 @functools.cache
@@ -119,10 +100,6 @@ def _read_code(bits: Bits, size: int) -> Code:
     code, left = Code(own), size
     if bits.read(1):
         left = 2 + bits.read(2 + 2 * bits.read(3))
-    if code.uniform and (code.symbols < 16).all():
-        n = min(size, left)
-        lengths[:n] = code.read_all(bits, n)
-        return Code(lengths)
     at, last = 0, 8
     while at < size and left:
         left -= 1
@@ -139,14 +116,6 @@ def _read_code(bits: Bits, size: int) -> Code:
     return Code(lengths)
 
 
-def _far(bits: Bits, symbol: int) -> int:
-    """Length or distance that a prefix symbol and its extra bits stand for."""
-    if symbol < 4:
-        return symbol + 1
-    extra = (symbol - 2) >> 1
-    return ((2 + (symbol & 1)) << extra) + bits.read(extra) + 1
-
-
 def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     """ARGB values, row by row, of an entropy-coded image."""
     cache_bits = bits.read(4) if bits.read(1) else 0
@@ -158,63 +127,95 @@ def _read_image(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
         groups = int(tiles.max()) + 1
     sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
-    n = width * height
-    if tiles is None and not cache_bits and all(c.uniform for c in codes[0][:4]) and codes[0][0].symbols.max(initial=0) < 256:
-        return _read_uniform(bits, codes[0], n)
-    out, cache, done, at = [0] * n, [0] * (1 << cache_bits), 0, 0
-
-    def remember(until: int) -> None:
-        nonlocal done
-        if cache_bits:
-            for v in out[done:until]:
-                cache[(v * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = v
-            done = until
-
+    return _read_pixels(bits, width, width * height, codes, tiles, tile_bits, cache_bits)
+
+
+def _read_pixels(bits: Bits, width: int, n: int, codes: list[list[Code]], tiles: np.ndarray | None, tile_bits: int, cache_bits: int) -> np.ndarray:
+    """n pixels. The bits ahead are in the integer `ahead`, `have` of them."""
+    data, whole = bits.data, 8 * len(bits.data)
+    out: list[int] = []
+    cache, remembered, shift = [0] * (1 << cache_bits), 0, 32 - cache_bits
+    across = -(-width >> tile_bits)
+    byte = bits.at >> 3
+    ahead, have = int.from_bytes(data[byte : byte + 8], "little") >> (bits.at & 7), 64 - (bits.at & 7)
+    byte += 8
+    greens, reds, blues, alphas, backs = ((c.table, (1 << c.bits) - 1) for c in codes[0])
+    (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (back, back_mask) = greens, reds, blues, alphas, backs
+    at, turn = 0, 0
     while at < n:
-        group = codes[int(tiles[(at // width >> tile_bits) * across + (at % width >> tile_bits)])] if tiles is not None else codes[0]
-        green = group[0].read(bits)
-        if green < 256:
-            red, blue, alpha = (group[i].read(bits) for i in (1, 2, 3))
-            out[at] = alpha << 24 | red << 16 | green << 8 | blue
+        if tiles is not None and at >= turn:
+            # The codes of this tile, up to its edge or the end of the row.
+            y, x = divmod(at, width)
+            (green, green_mask), (red, red_mask), (blue, blue_mask), (alpha, alpha_mask), (back, back_mask) = (
+                (c.table, (1 << c.bits) - 1) for c in codes[int(tiles[(y >> tile_bits) * across + (x >> tile_bits)])]
+            )
+            turn = min(y * width + (((x >> tile_bits) + 1) << tile_bits), (y + 1) * width)
+        if have < 64:
+            ahead |= int.from_bytes(data[byte : byte + 8], "little") << have
+            byte += 8
+            have += 64
+        entry = green[ahead & green_mask]
+        length = entry & 15
+        ahead >>= length
+        have -= length
+        symbol = entry >> 4
+        if symbol < 256:
+            one = red[ahead & red_mask]
+            length = one & 15
+            ahead >>= length
+            have -= length
+            two = blue[ahead & blue_mask]
+            length = two & 15
+            ahead >>= length
+            have -= length
+            three = alpha[ahead & alpha_mask]
+            length = three & 15
+            ahead >>= length
+            have -= length
+            out.append((three >> 4) << 24 | (one >> 4) << 16 | symbol << 8 | two >> 4)
             at += 1
-        elif green < 280:
-            length, back = _far(bits, green - 256), _far(bits, group[4].read(bits))
-            if back > 120:
-                back -= 120
+            continue
+        if symbol < 280:
+            pair = []
+            for k in range(2):
+                if k:
+                    entry = back[ahead & back_mask]
+                    ahead >>= entry & 15
+                    have -= entry & 15
+                    symbol = (entry >> 4) + 256
+                prefix = symbol - 256
+                if prefix < 4:
+                    pair.append(prefix + 1)
+                    continue
+                extra = (prefix - 2) >> 1
+                pair.append(((2 + (prefix & 1)) << extra) + (ahead & (1 << extra) - 1) + 1)
+                ahead >>= extra
+                have -= extra
+            length, far = pair
+            if far > 120:
+                far -= 120
             else:
-                x, y = NEAR[back - 1]
-                back = max(1, x + y * width)
-            if back > at or at + length > n:
+                x, y = NEAR[far - 1]
+                far = max(1, x + y * width)
+            if far > at or at + length > n:
                 raise ValueError("reference beyond the image")
-            for i in range(at, at + length):
-                out[i] = out[i - back]
+            if far >= length:
+                out += out[at - far : at - far + length]
+            else:
+                out += (out[-far:] * (length // far + 1))[:length]
             at += length
-        else:
-            remember(at)
-            out[at] = cache[green - 280]
-            at += 1
+            continue
+        for v in out[remembered:at]:
+            cache[(v * CACHE_FACTOR & 0xFFFFFFFF) >> shift] = v
+        remembered = at
+        out.append(cache[symbol - 280])
+        at += 1
+    bits.at = 8 * byte - have
+    if bits.at > whole:
+        raise ValueError("the image ends early")
     return np.array(out, np.uint32)
 
 
-def _read_uniform(bits: Bits, codes: list[Code], n: int) -> np.ndarray:
-    """All pixels at once, where every symbol of a channel takes equally many bits."""
-    width = sum(c.bits for c in codes[:4])
-    out = np.zeros(n, np.uint32)
-    if width:
-        flat = bits.flat(width * n).reshape(n, width)
-    first = 0
-    for code, shift in zip(codes, (8, 16, 0, 24), strict=False):
-        if code.bits:
-            # Right-aligned in eight bits, most significant first: a byte that numbers the symbol.
-            place = np.zeros((n, 8), np.uint8)
-            place[:, 8 - code.bits :] = flat[:, first : first + code.bits]
-            out |= code.symbols.astype(np.uint32)[np.packbits(place, axis=1)[:, 0]] << np.uint32(shift)
-            first += code.bits
-        else:
-            out |= np.uint32(code.only << shift)
-    return out
-
-
 def _split(argb: np.ndarray) -> np.ndarray:
     """alpha, red, green, blue as the last axis."""
     return np.stack([argb >> 24 & 255, argb >> 16 & 255, argb >> 8 & 255, argb & 255], -1).astype(np.int64)
@@ -340,111 +341,158 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
 
 
 class _Writer:
+    """Numbers with their lengths in bits (at most 60), packed from the least significant bit on."""
+
     def __init__(self):
-        self.bits: list[np.ndarray] = []
+        self.values: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+        self._single: list[tuple[int, int]] = []
 
     def put(self, value: int, n: int) -> None:
-        self.bits.append(np.frombuffer(f"{value:0{n}b}"[::-1].encode(), np.uint8) - 48 if n else np.zeros(0, np.uint8))
+        self._single.append((value, n))
+
+    def extend(self, values: np.ndarray, lengths: np.ndarray) -> None:
+        if self._single:
+            v, n = zip(*self._single, strict=True)
+            self.values.append(np.array(v, np.uint64))
+            self.lengths.append(np.array(n, np.uint64))
+            self._single = []
+        self.values.append(values.astype(np.uint64))
+        self.lengths.append(lengths.astype(np.uint64))
 
     def bytes(self) -> bytes:
-        return np.packbits(np.concatenate(self.bits), bitorder="little").tobytes()
+        self.extend(np.zeros(0), np.zeros(0))
+        values, lengths = np.concatenate(self.values), np.concatenate(self.lengths)
+        some = lengths > 0
+        values, lengths = values[some], lengths[some]
+        end = np.cumsum(lengths)
+        begin = end - lengths
+        word, shift = (begin >> np.uint64(6)).astype(np.int64), begin & np.uint64(63)
+        out = np.zeros((int(end[-1]) >> 6) + 2, np.uint64)
+        first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        out[word[first]] = np.bitwise_or.reduceat(values << shift, first)
+        # At most one number reaches into each next word.
+        over = np.flatnonzero(shift + lengths > 64)
+        out[word[over] + 1] |= values[over] >> (np.uint64(64) - shift[over])
+        return out.astype("<u8").tobytes()[: (int(end[-1]) + 7) >> 3]
+
+
+def code_lengths(counts: np.ndarray, longest: int) -> np.ndarray:
+    """Lengths of a complete prefix code for the symbols that occur, two at least: near the information of each.
+
+    Lengths are rounded up, so that a code exists; what room is left shortens the codes of frequent symbols.
+    """
+    symbols = np.flatnonzero(counts)
+    symbols = symbols[np.argsort(-counts[symbols], kind="stable")]
+    own = np.clip(np.ceil(np.log2(counts.sum() / counts[symbols]) - 1e-9), 1, longest).astype(int).tolist()
+    whole = 1 << longest
+    room = whole - sum(1 << (longest - n) for n in own)
+    # Rounding cannot use too much room, but cutting at the longest length can: the rarest short codes get longer.
+    k = len(own) - 1
+    while room < 0:
+        if own[k] < longest:
+            own[k] += 1
+            room += 1 << (longest - own[k])
+        k = k - 1 if k else len(own) - 1
+    while room:
+        for k, n in enumerate(own):
+            if n > 1 and 1 << (longest - n) <= room:
+                room -= 1 << (longest - n)
+                own[k] = n - 1
+    lengths = np.zeros(len(counts), int)
+    lengths[symbols] = own
+    return lengths
 
 
-def _write_code(out: _Writer, used: np.ndarray, size: int, uniform: bool) -> np.ndarray:
-    """Writes a code for the used symbols (counts by symbol); returns the lengths, 0 for all if no bits are needed."""
+def canonical_codes(lengths: np.ndarray) -> np.ndarray:
+    """Canonical codes by symbol, bits turned for the stream."""
+    codes = np.zeros(len(lengths), np.uint64)
+    symbols = np.flatnonzero(lengths)
+    if not len(symbols):
+        return codes
+    symbols = symbols[np.argsort(lengths[symbols], kind="stable")]
+    deep = int(lengths.max())
+    step = 1 << (deep - lengths[symbols])
+    # As numbers of `deep` bits the codes begin where those before them end; turned, the empty bits fall away.
+    codes[symbols] = _turned(deep)[np.cumsum(step) - step]
+    return codes
+
+
+def _runs_of_lengths(lengths: list[int]) -> list[tuple[int, int, int]]:
+    """Symbols for code lengths, with extra bits: zeros in runs of 3 to 138, other lengths one by one."""
+    out, k = [], 0
+    while k < len(lengths):
+        if lengths[k]:
+            out.append((lengths[k], 0, 0))
+            k += 1
+            continue
+        end = k
+        while end < len(lengths) and not lengths[end] and end - k < 138:
+            end += 1
+        n = end - k
+        out += [(18, n - 11, 7)] if n >= 11 else [(17, n - 3, 3)] if n >= 3 else [(0, 0, 0)] * n
+        k = end
+    return out
+
+
+def _write_code(out: _Writer, used: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Writes a code for the used symbols (counts by symbol); returns codes and lengths, 0 for all if no bits are needed."""
     symbols = np.flatnonzero(used)
-    lengths = np.zeros(size, int)
     if len(symbols) <= 1:
         only = int(symbols[0]) if len(symbols) else 0
         if only < 256:
             out.put(1 | 0 << 1 | 1 << 2 | only << 3, 11)
-            return lengths
-        symbols = np.array([0, only])
-    if uniform:
-        depth = int(len(symbols) - 1).bit_length()
-        lengths[symbols] = depth
-        lengths[np.flatnonzero(lengths[:256] == 0)[: (1 << depth) - len(symbols)]] = depth
-    else:
-        lengths = _huffman(used, symbols, size)
-    kinds = np.flatnonzero(np.bincount(lengths))
-    # The code of the lengths: equally long codes again, over the lengths that occur.
-    own = np.zeros(19, int)
-    if len(kinds) > 1:
-        deep = int(len(kinds) - 1).bit_length()
-        own[kinds] = deep
-        own[np.flatnonzero(own[:16] == 0)[: (1 << deep) - len(kinds)]] = deep
-    else:
-        own[kinds] = 1
-    last = max(i for i, x in enumerate(CODE_LENGTH_ORDER) if own[x])
-    out.put(0 | max(0, last - 3) << 1, 5)
-    for x in CODE_LENGTH_ORDER[: max(4, last + 1)]:
+            return np.zeros(len(used), np.uint64), np.zeros(len(used), int)
+        used = used.copy()
+        used[0] = 1
+    lengths = code_lengths(used, LONGEST)
+    last = int(np.flatnonzero(lengths)[-1])
+    told = _runs_of_lengths(lengths[: last + 1].tolist())
+    if len(told) < 2:
+        told = _runs_of_lengths([*lengths[: last + 1].tolist(), 0])
+    kinds = np.bincount([s for s, _, _ in told], minlength=19)
+    single = np.count_nonzero(kinds) == 1
+    own = np.where(kinds > 0, 1, 0) if single else code_lengths(kinds, 7)
+    shown = max(i for i, x in enumerate(CODE_LENGTH_ORDER) if own[x])
+    out.put(0 | max(0, shown - 3) << 1, 5)
+    for x in CODE_LENGTH_ORDER[: max(4, shown + 1)]:
         out.put(int(own[x]), 3)
-    out.put(0, 1)
-    code = _codes(own)
-    if len(kinds) > 1:
-        deep = int(own.max())
-        rank = code[lengths]
-        out.bits.append((rank[:, None] >> np.arange(deep) & 1).astype(np.uint8).ravel())
-    return lengths
+    # How many of these symbols follow; the lengths after them are 0.
+    many = len(told) - 2
+    pairs = max(0, (many.bit_length() - 1) >> 1)
+    out.put(1 | pairs << 1 | many << 4, 4 + 2 + 2 * pairs)
+    code = canonical_codes(own)
+    symbol, extra, more = np.array(told).T
+    shift = np.zeros(len(told), int) if single else own[symbol]
+    out.extend((np.zeros(len(told), int) if single else code[symbol].astype(int)) | extra << shift, shift + more)
+    return canonical_codes(lengths), lengths
 
 
-def _codes(lengths: np.ndarray) -> np.ndarray:
-    """Canonical codes by symbol, bits turned for the stream."""
-    with_code = np.flatnonzero(lengths)
-    if len(with_code) == 1 << int(lengths.max(initial=0)):  # all equally long
-        codes = np.zeros(len(lengths), int)
-        codes[with_code] = _turned(int(lengths.max()))
-        return codes
-    codes, at, before = np.zeros(len(lengths), int), 0, 0
-    for s in sorted(np.flatnonzero(lengths), key=lambda s: (lengths[s], s)):
-        at <<= int(lengths[s] - before)
-        before = int(lengths[s])
-        codes[s] = int(reverse_bits(np.array([at]), before)[0])
-        at += 1
-    return codes
+def _channels(argb: np.ndarray) -> list[np.ndarray]:
+    """Green, red, blue and alpha, in the order of the stream."""
+    return [(argb >> np.uint32(s) & np.uint32(255)).astype(np.int64) for s in (8, 16, 0, 24)]
+
+
+def _put_literals(out: _Writer, channels: list[np.ndarray], codes: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The four codes of each pixel as one number, and its length."""
+    value, length = np.zeros(len(channels[0]), np.uint64), np.zeros(len(channels[0]), np.uint64)
+    for c, (code, n) in zip(channels, codes, strict=False):
+        value |= code[c] << length
+        length += n[c].astype(np.uint64)
+    return value, length
 
 
-def _huffman(used: np.ndarray, symbols: np.ndarray, size: int) -> np.ndarray:
-    import heapq
-
-    weight = used.astype(float)
-    while True:
-        heap = [(max(weight[s], 1e-9), i, (int(s),)) for i, s in enumerate(symbols)]
-        heapq.heapify(heap)
-        lengths, fresh = np.zeros(size, int), len(heap)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            lengths[list(a[2] + b[2])] += 1
-            heapq.heappush(heap, (a[0] + b[0], fresh, a[2] + b[2]))
-            fresh += 1
-        if lengths.max() <= 15:
-            return lengths
-        weight = np.sqrt(np.maximum(weight, 1))
-
-
-def _write_plain(out: _Writer, argb: np.ndarray, top: bool) -> None:
-    """No cache, no references, codes of one length by channel."""
-    out.put(0, 2 if top else 1)
-    channels = [(argb >> np.uint32(s) & np.uint32(255)).astype(np.uint8) for s in (8, 16, 0, 24)]
-    columns = []
-    for channel, size in zip(channels, (280, 256, 256, 256), strict=True):
-        lengths = _write_code(out, np.bincount(channel, minlength=size), size, True)
-        depth = int(lengths.max())
-        if depth:
-            rank = np.zeros(256, np.uint8)
-            with_code = np.flatnonzero(lengths)
-            rank[with_code] = np.arange(len(with_code))
-            columns.append(np.unpackbits(rank[channel][:, None], axis=1)[:, 8 - depth :])
-    out.put(1 | 0 << 1 | 0 << 2 | 0 << 3, 4)
-    if columns:
-        out.bits.append(np.concatenate(columns, axis=1).ravel())
-
-
-def _write_rich(out: _Writer, argb: np.ndarray, width: int, top: bool, cache_bits: int, references: bool) -> None:
-    """Huffman codes, with a colour cache and references to earlier equal runs, found by their first pixels."""
+def _write_image(out: _Writer, argb: np.ndarray, width: int, top: bool, cache_bits: int = 0, references: bool = False) -> None:
+    """Prefix codes; on request with a colour cache and references to earlier equal runs, found by their first pixels."""
     out.put(1 | cache_bits << 1 if cache_bits else 0, 5 if cache_bits else 1)
     if top:
         out.put(0, 1)
+    channels = _channels(argb)
+    if not cache_bits and not references:
+        codes = [_write_code(out, np.bincount(c, minlength=n)) for c, n in zip(channels, (280, 256, 256, 256), strict=True)]
+        _write_code(out, np.zeros(40, int))
+        out.extend(*_put_literals(out, channels, codes))
+        return
     items, cache, seen, at, px = [], {}, {}, 0, argb.tolist()
 
     def prefix(v: int) -> tuple[int, int, int]:
@@ -458,49 +506,71 @@ def _write_rich(out: _Writer, argb: np.ndarray, width: int, top: bool, cache_bit
     for k, (x, y) in reversed(list(enumerate(NEAR))):
         near[max(1, x + y * width)] = k + 1
     while at < len(px):
-        back = at - seen[tuple(px[at : at + 3])] if references and tuple(px[at : at + 3]) in seen and at + 3 <= len(px) else 0
+        back = at - seen[tuple(px[at : at + 3])] if references and at + 3 <= len(px) and tuple(px[at : at + 3]) in seen else 0
         length = 0
         while back and at + length < len(px) and length < 4096 and px[at + length] == px[at + length - back]:
             length += 1
         slot = (px[at] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits) if cache_bits else -1
         if length >= 3:
-            s, n, extra = prefix(length)
-            d, m, more = prefix(near.get(back, back + 120))
-            items.append(((256 + s, n, extra), (d, m, more)))
+            items.append((at, *prefix(length), *prefix(near.get(back, back + 120))))
         elif cache_bits and cache.get(slot) == px[at]:
-            items.append(((280 + slot, 0, 0),))
+            items.append((at, 24 + slot, 0, 0))
             length = 1
         else:
-            items.append((px[at],))
+            items.append((at,))
             length = 1
         for i in range(at, at + length):
             seen[tuple(px[i : i + 3])] = i
             if cache_bits:
                 cache[(px[i] * CACHE_FACTOR & 0xFFFFFFFF) >> (32 - cache_bits)] = px[i]
         at += length
-    sizes = (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
-    used = [np.zeros(n, int) for n in sizes]
-    for x in items:
-        if isinstance(x[0], int):
-            for u, s in zip(used, (8, 16, 0, 24), strict=False):
-                u[x[0] >> s & 255] += 1
-        else:
-            used[0][x[0][0]] += 1
-            if len(x) > 1:
-                used[4][x[1][0]] += 1
-    lengths = [_write_code(out, u, n, False) for u, n in zip(used, sizes, strict=True)]
-    codes = [_codes(x) for x in lengths]
-    put = lambda k, s: out.put(int(codes[k][s]), int(lengths[k][s]))
+    plain = np.array([x[0] for x in items if len(x) == 1], int)
+    used = [np.bincount(c[plain], minlength=n) for c, n in zip(channels, (280 + (1 << cache_bits if cache_bits else 0), 256, 256, 256), strict=True)]
+    used[0] += np.bincount([256 + x[1] for x in items if len(x) > 1], minlength=len(used[0]))
+    used.append(np.bincount([x[4] for x in items if len(x) > 4], minlength=40))
+    codes = [_write_code(out, u) for u in used]
+    (green, green_bits), (back, back_bits) = codes[0], codes[4]
+    value, length = _put_literals(out, channels, codes)
+    values, lengths = value.tolist(), length.tolist()
     for x in items:
-        if isinstance(x[0], int):
-            for k, s in enumerate((8, 16, 0, 24)):
-                put(k, x[0] >> s & 255)
-        else:
-            put(0, x[0][0])
-            out.put(x[0][2], x[0][1])
-            if len(x) > 1:
-                put(4, x[1][0])
-                out.put(x[1][2], x[1][1])
+        if len(x) == 1:
+            out.put(values[x[0]], lengths[x[0]])
+            continue
+        out.put(int(green[256 + x[1]]), int(green_bits[256 + x[1]]))
+        out.put(x[3], x[2])
+        if len(x) > 4:
+            out.put(int(back[x[4]]), int(back_bits[x[4]]))
+            out.put(x[6], x[5])
+
+
+def _information(argb: np.ndarray) -> float:
+    """Bits that prefix codes need for the pixels, about."""
+    total = 0.0
+    for c in _channels(argb):
+        n = np.bincount(c)
+        n = n[n > 0]
+        total += float(len(c) * np.log2(len(c)) - (n * np.log2(n)).sum())
+    return total
+
+
+def best_form(argb: np.ndarray, width: int, height: int) -> dict:
+    """What encode() should use for an image: references and cache where pixels repeat, else the transform that saves bits."""
+    n = len(argb)
+    colours = len(np.unique(argb))
+    if 3 * colours < n:
+        # Many equal pixels: those of a palette, if they are few, in places that references copy.
+        few = {"transforms": ((PALETTE,),)} if colours <= 256 and 8 * colours < n else {"cache_bits": min(10, max(1, (colours - 1).bit_length()))}
+        return {"references": True, **few}
+    plain = _information(argb)
+    left = argb.reshape(height, width)
+    before = np.concatenate([left[:, :1], left[:, :-1]], axis=1).ravel()
+    tried = [((SUBTRACT_GREEN,),), ((PREDICTOR, 1),), ((CROSS_COLOUR, 0x202020),)]
+    images = [_green(argb, False), _join(_split(argb) - _split(before)), None]
+    if width * height > 1:
+        field = np.full((-(-width >> 4)) * (-(-height >> 4)), 0x202020, np.uint32)
+        images[2] = _cross(argb, width, height, field, 4, False)
+    bits, best = min(((_information(x), t) for x, t in zip(images, tried, strict=True) if x is not None), key=lambda x: x[0])
+    return {"transforms": best} if bits < 0.97 * plain - 256 else {}
 
 
 def encode(argb: np.ndarray, width: int, height: int, transforms=(), cache_bits: int = 0, references: bool = False) -> bytes:
@@ -518,7 +588,7 @@ def encode(argb: np.ndarray, width: int, height: int, transforms=(), cache_bits:
             n = (-(-inner >> size)) * (-(-height >> size))
             field = np.full(n, how[0] << 8 if kind == PREDICTOR else how[0], np.uint32)
             out.put(size - 2, 3)
-            _write_plain(out, field, False)
+            _write_image(out, field, -(-inner >> size), False)
             now = _predictor(now, inner, height, field >> 8, size, False) if kind == PREDICTOR else _cross(now, inner, height, field, size, False)
         elif kind == SUBTRACT_GREEN:
             now = _green(now, False)
@@ -527,7 +597,7 @@ def encode(argb: np.ndarray, width: int, height: int, transforms=(), cache_bits:
             if len(colours) > 256:
                 raise ValueError("too many colours for a palette")
             out.put(len(colours) - 1, 8)
-            _write_plain(out, _join(np.diff(_split(colours), axis=0, prepend=0)), False)
+            _write_image(out, _join(np.diff(_split(colours), axis=0, prepend=0)), len(colours), False)
             size = _bundle(len(colours))
             per, each = 1 << size, 8 >> size
             index = np.pad(index.reshape(height, inner).astype(np.uint32), ((0, 0), (0, -inner % per)))
@@ -535,10 +605,7 @@ def encode(argb: np.ndarray, width: int, height: int, transforms=(), cache_bits:
             shifts = (np.arange(per, dtype=np.uint32) * np.uint32(each)).astype(np.uint32)
             now = (np.uint32(255) << np.uint32(24)) | (index.reshape(height, inner, per) << shifts).sum(-1).astype(np.uint32).ravel() << np.uint32(8)
     out.put(0, 1)
-    if cache_bits or references:
-        _write_rich(out, now, inner, True, cache_bits, references)
-    else:
-        _write_plain(out, now, True)
+    _write_image(out, now, inner, True, cache_bits, references)
     body = out.bytes()
     chunk = b"VP8L" + struct.pack("<I", len(body)) + body + b"\0" * (len(body) & 1)
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
