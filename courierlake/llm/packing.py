@@ -5,8 +5,9 @@ whole windows first; the rest goes to the open window that it fills best. When n
 window may be opened, the fullest is topped up with the head of the piece and emitted. Windows still open at
 the end of a partition - at most OPEN_WINDOWS - are merged in groups of MERGE_PARTITIONS partitions, again
 into full windows; what then remains of a group, less than one window, is cut at powers of two, where no
-padding is needed. Memory per task: the open windows, the merge group of bounded size, and a bounded cache of
-token ids by word. Added tokens of the vocabulary (<|endoftext|>) in a text have their own ids.
+padding is needed. Memory per task: the open windows, the merge group of bounded size, one text with its ids, and a
+cache of token ids by word, bounded in bytes. Added tokens of the vocabulary (<|endoftext|>) in a text have their
+own ids. A sequence is due where the earliest of its documents is.
 
 Defined cases: null text counts as empty and yields the separator alone; ids may be null or repeated and are
 carried along; texts of any length are cut into whole windows; an empty table gives an empty result.
@@ -29,7 +30,8 @@ from .shared import materialize
 
 OPEN_WINDOWS = 16
 MERGE_PARTITIONS = 64
-CACHE_WORDS = 200_000
+#: Of the cached words and their ids, with what Python needs for each.
+CACHE_BYTES, _ENTRY = 48 << 20, 160
 _SPACE_RUN = re.compile(r"\s | \s|^\s|\s\Z")
 
 
@@ -77,6 +79,7 @@ class WordTokenizer:
         self._starts = np.zeros(size + 1, bool)
         self._starts[list(starts)] = True
         self._cache: dict[str, bytes] = {}
+        self._held = 0
         self._added = {t: np.array([i], "<u4").tobytes() for t, i in (added or {}).items()}
         # Of the tokens that start at one place the longest counts.
         self._split = re.compile("(" + "|".join(map(re.escape, sorted(self._added, key=len, reverse=True))) + ")").split
@@ -99,8 +102,9 @@ class WordTokenizer:
         except KeyError:
             self._learn(list({w for w in words if w not in self._cache}))
             out = head + b"".join(map(self._cache.__getitem__, words))
-        if len(self._cache) > CACHE_WORDS:
+        if self._held > CACHE_BYTES:
             self._cache.clear()
+            self._held = 0
         return out
 
     def _learn(self, words: list[str]) -> None:
@@ -108,6 +112,7 @@ class WordTokenizer:
         cuts = np.flatnonzero(self._starts[ids]).tolist() + [len(ids)]
         raw = ids.tobytes()
         self._cache.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(words, cuts[:-1], cuts[1:], strict=True))
+        self._held += len(raw) + sum(map(len, words)) + _ENTRY * len(words)
 
 
 class OpenWindows:
@@ -118,15 +123,15 @@ class OpenWindows:
         self.open: list[list] = []  # [filled, pieces]
 
     def _close(self, pieces: list) -> list:
-        at, out = 0, []
+        at, out, due = 0, [], min(p[5] for p in pieces)
         for p in pieces:
-            out.append((*p, self._next, at))
+            out.append((*p[:5], self._next, at, due))
             at += p[2]
         self._next += 1
         return out
 
-    def place(self, doc, ids: bytes, total: int, start: int = 0) -> list:
-        done, left = [], len(ids) // 4
+    def place(self, doc, ids: bytes, total: int, start: int = 0, due: int = 0) -> list:
+        done, left, at = [], len(ids) // 4, 0
         while left:
             if left >= self.size:
                 take, slot = self.size, None
@@ -140,8 +145,8 @@ class OpenWindows:
                 else:
                     slot = max(self.open, key=lambda w: w[0])
                     take = self.size - slot[0]
-            piece = (doc, start, take, ids[: 4 * take], total)
-            ids, start, left = ids[4 * take :], start + take, left - take
+            piece = (doc, start, take, ids[at : at + 4 * take], total, due)
+            at, start, left = at + 4 * take, start + take, left - take
             if slot is None:
                 done += self._close([piece])
                 continue
@@ -157,20 +162,20 @@ class OpenWindows:
 
 
 def _fields(id_type: pa.DataType) -> pa.Schema:
-    return pa.schema([("doc", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("part", pa.int32()), ("open", pa.bool_())])
+    return pa.schema([("doc", id_type), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("due", pa.int64()), ("part", pa.int32()), ("open", pa.bool_())])
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, separator: int = 0, digests: dict[str, Column] | None = None
+    docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, separator: int = 0, digests: dict[str, Column] | None = None, due: Column | None = None
 ) -> DataFrame:
-    """One row per piece: id, start, length, ids, doc_tokens, sequence_id, offset.
+    """One row per piece: id, start, length, ids, doc_tokens, sequence_id, offset, due.
 
     tokenizer: path of a vocabulary file, present on every executor; added tokens come from the JSON file, itself or
-    beside the rank file. digests: columns computed from the
-    column ids (little-endian unsigned 32-bit), kept in its place.
+    beside the rank file. digests: columns computed from the column ids (little-endian unsigned 32-bit), kept in its
+    place. due: when a row of docs is due (bigint); the column due of a piece is the smallest of its sequence.
     """
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    schema = f"doc {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, part int, open boolean"
+    schema = f"doc {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, due bigint, part int, open boolean"
     end = np.array([separator], "<u4").tobytes()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,9 +191,9 @@ def pack_documents(
         for b in batches:
             words = words or WordTokenizer(tokenizer, added=added_tokens(tokenizer))
             fields = fields or _fields(b.schema.field(0).type)
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for doc, text, when in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids = words.encode(text.as_py() or "") + end
-                rows += windows.place(doc, ids, len(ids) // 4)
+                rows += windows.place(doc, ids, len(ids) // 4, due=when)
                 held += len(ids)
                 if held > 8 << 20 and rows:
                     yield batch(rows, False)
@@ -205,31 +210,33 @@ def pack_documents(
         windows = OpenWindows(size, 1, (1 << 62) + (int(pdf["part"].iloc[0]) // MERGE_PARTITIONS << 33))
         rows = []
         for p in pdf.sort_values(["sequence_id", "offset"], kind="stable").itertuples():
-            rows += windows.place(p.doc, p.ids, p.doc_tokens, p.start)
+            rows += windows.place(p.doc, p.ids, p.doc_tokens, p.start, p.due)
         for pieces in [w[1] for w in windows.open]:
             tail = sum(p[2] for p in pieces)
             while tail:
                 room, now, later = 1 << tail.bit_length() - 1, [], []
                 tail -= room
-                for doc, start, n, ids, total in pieces:
+                for doc, start, n, ids, total, when in pieces:
                     k = min(n, room)
                     room -= k
                     if k:
-                        now.append((doc, start, k, ids[: 4 * k], total))
+                        now.append((doc, start, k, ids[: 4 * k], total, when))
                     if n > k:
-                        later.append((doc, start + k, n - k, ids[4 * k :], total))
+                        later.append((doc, start + k, n - k, ids[4 * k :], total, when))
                 rows += windows._close(now)
                 pieces = later
-        out = pd.DataFrame(rows, columns=["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
+        out = pd.DataFrame(rows, columns=["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "due"])
         out["part"], out["open"] = pdf["part"].iloc[0], False
         out["doc"] = out["doc"].astype(pdf["doc"].dtype)
-        return out[["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "part", "open"]]
+        return out[["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "due", "part", "open"]]
 
-    packed = docs.select(F.col(id_col), F.col(text_col)).mapInArrow(pack, schema)
+    when = F.lit(0) if due is None else due
+    packed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), when.cast("bigint").alias("due")).mapInArrow(pack, schema)
     digests = digests or {"ids": F.col("ids")}
-    columns = ["doc", "start", "length", *[c.alias(n) for n, c in digests.items()], "doc_tokens", "sequence_id", "offset"]
+    columns = ["doc", "start", "length", *[c.alias(n) for n, c in digests.items()], "doc_tokens", "sequence_id", "offset", "due"]
     packed = materialize(packed.select(*columns, "open", "part", F.when(F.col("open"), F.col("ids")).alias("__ids")), "packed")
-    open_pieces = packed.where("open").select("doc", "start", "length", F.col("__ids").alias("ids"), "doc_tokens", "sequence_id", "offset", "part", "open")
+    open_pieces = packed.where("open").select("doc", "start", "length", F.col("__ids").alias("ids"), "doc_tokens", "sequence_id", "offset", "due", "part", "open")
     merged = open_pieces.groupBy(F.expr(f"part div {MERGE_PARTITIONS}").alias("g")).applyInPandas(merge, schema).select(*columns)
-    out = packed.where("not open").select("doc", "start", "length", *digests, "doc_tokens", "sequence_id", "offset").unionByName(merged)
-    return out.withColumnRenamed("doc", id_col)
+    out = packed.where("not open").select("doc", "start", "length", *digests, "doc_tokens", "sequence_id", "offset", "due").unionByName(merged)
+    out = out.withColumnRenamed("doc", id_col)
+    return out if due is not None else out.drop("due")
