@@ -10,10 +10,12 @@ concave in the proportions, which bounds what is left to gain: EM of a set ends
 cannot be the best. The predicted language has the largest proportion in the selected set.
 
 Bounds: SAMPLE_PER_LANGUAGE documents per language are fitted on, all of their text; a model holds BINS
-numbers per language. Every whole document is predicted, in Arrow batches.
+numbers per language, so it and the sample grow with the number of languages, not with the documents. Every whole
+document is predicted, in Arrow batches.
 
-Defined cases: null texts and texts without a letter are `und` with score 0, as is everything when there is
-nothing to learn from; languages that are null are not learned; repeated rows get equal results; empty tables
+Defined cases: null texts and texts without a letter (digits, marks that combine with no letter) are `und` with
+score 0, as is everything when there is nothing to learn from; rows with a null id, text or language are not
+learned from; very long texts are taken whole; repeated rows get equal results; empty tables
 give empty results.
 """
 
@@ -48,8 +50,9 @@ class LanguageModel:
 
 
 def letters_only(text: Column) -> Column:
-    """Lower case, every run of other characters as one blank; empty for null."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " "))
+    """Lower case, every run of other characters as one blank; empty for null, and without a letter: marks alone are none."""
+    kept = F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{M}]+", " "))
+    return F.when(F.rlike(kept, F.lit(r"\p{L}")), kept).otherwise(F.lit(""))
 
 
 def _grams(raw: np.ndarray) -> np.ndarray:
