@@ -383,6 +383,11 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         most = F.least(i, j) + F.least(known - i, known_too - j)
         return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (most * (100 + percent) >= (n + m) * percent)
 
+    def similar_parts(one: Column, other: Column, n: Column, m: Column) -> Column:
+        """Suffix filter: what the ranges of the tokens can share at most."""
+        most = F.aggregate(F.zip_with(one, other, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        return most * (100 + percent) >= (n + m) * percent
+
     def untried(pairs: DataFrame) -> DataFrame:
         if links is None:
             return pairs
@@ -408,20 +413,25 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             passed = passed.join(parts.withColumnsRenamed({"cls": "a", "parts": "pa", "n": "na"}), "a")
             leads = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")).join(parts.withColumnsRenamed({"cls": "b", "parts": "pb", "n": "nb"}), "b")
             passed = join_weighed(passed, leads, "b", "pairs", pairs.count(), "inner")
+            passed = passed.where(similar_parts(*map(F.col, ("pa", "pb", "na", "nb")))).select("a", "b")
         else:
-            # All bounds are part of the join, which makes no row that they exclude. Rows of a frequent token are split:
-            # one side takes a part, the other all of them.
-            left = open_tokens.drop("lead").join(classes.select("cls", "parts"), "cls").withColumn("splits", F.ceil(F.col("shared") / SPLIT).cast("int"))
+            # All bounds are part of the join, which makes no row that they exclude; and of the tokens that two classes
+            # share, the first one makes the row: before it, nothing is shared. Tokens that two components share are
+            # all still open. Rows of a frequent token are split: one side takes a part, the other all of them.
+            lists = open_tokens.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("own"))
+            lists = lists.select("cls", F.transform("own", lambda t: t["token"]).alias("tokens"))
+            left = open_tokens.drop("lead").join(classes.select("cls", "parts"), "cls").join(lists, "cls").withColumn("splits", F.ceil(F.col("shared") / SPLIT).cast("int"))
             left = pairs = materialize(left, "sketched")
             l = left.withColumn("salt", F.pmod(F.hash("cls"), F.col("splits"))).alias("l")
             r = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("splits") - 1))).alias("r")
             larger = (F.col("l.n") > F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.cls") > F.col("r.cls")))
-            bounds = (F.col("l.comp") != F.col("r.comp")) & larger & possible("l", "r")
+            rest = F.least(F.col("l.known") - F.col("l.place"), F.col("r.known") - F.col("r.place"))
+            enough = rest * (100 + percent) >= (F.col("l.n") + F.col("r.n")) * percent
+            first = F.get(F.array_intersect("l.tokens", "r.tokens"), F.lit(0)) == F.col("l.token")
+            bounds = (F.col("l.comp") != F.col("r.comp")) & larger & possible("l", "r") & enough & similar_parts(*(F.col(c) for c in ("l.parts", "r.parts", "l.n", "r.n"))) & first
             passed = l.join(r, (F.col("l.token") == F.col("r.token")) & (F.col("l.salt") == F.col("r.salt")) & bounds)
-            passed = passed.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"), F.col("l.n").alias("na"), F.col("r.n").alias("nb"), F.col("l.parts").alias("pa"), F.col("r.parts").alias("pb"))
-        by_parts = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        passed = passed.where(by_parts * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
-        tried = _verified(untried(passed.select("a", "b").distinct()), texts, percent, size)
+            passed = passed.select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
+        tried = _verified(untried(passed), texts, percent, size)
         tokens = open_tokens.select("cls", "n", "known", "token", "place", "comp")
         if tried is not None:
             links = tried if links is None else links.unionByName(tried)
