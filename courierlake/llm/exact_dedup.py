@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import HEAVY, materialize, text_or_empty
+from .shared import HEAVY, materialize, text_or_empty, unused
 
 
 def exact_groups(
@@ -70,11 +70,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Copies are combined before the shuffle: each task sends one row for each text it has.
     """
     others = [c for c in docs.columns if c != text_col]
-    row = F.struct(docs[text_col].isNull().alias("__null"), *[docs[c] for c in others])
+    empty = unused(docs.columns, "null")
+    row = F.struct(docs[text_col].isNull().alias(empty), *[docs[c] for c in others])
     keyed = docs.select(text_or_empty(docs[text_col]).alias("__body"), row.alias("__row")).withColumn("__key", F.substring(F.sha2("__body", 256), 1, 32))
     # Null ids lose; rows of equal id and text are told apart by a hash of their columns, so that reruns agree.
     own = F.col("__row").getField(id_col)
     rank = F.struct(own.isNull() if keep == "min" else own.isNotNull(), own, F.xxhash64("__row"))
     kept = keyed.groupBy("__key", "__body").agg((F.min_by if keep == "min" else F.max_by)("__row", rank).alias("__row"))
-    text = F.when(~F.col("__row.__null"), F.col("__body"))
+    text = F.when(~F.col("__row").getField(empty), F.col("__body"))
     return kept.select(*[text.alias(c) if c == text_col else F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -8,10 +8,12 @@ cut at the word where the demand ends. A document whose stream offset is y of th
 position t where the integrated schedule reaches y; documents are range-sorted by that position.
 
 Stream offsets are prefix sums over (source, hash bucket): bucket sums are small, and inside a bucket a
-window adds up. Buckets grow in number with the table, so a source with a third of all rows is spread out.
+window adds up. Buckets grow in number with the table, so a source with a third of all rows is spread out; rows
+without an id are dealt to buckets by their text. Sources are few: their table is one small window.
 
 Defined cases: null text has size 0 and is never taken; null sources form one source, ordered last; repeated
-rows take part one by one; rows of equal id are ordered by size; an empty table gives an empty result; a
+rows take part one by one; rows of equal id are ordered by size, then by their text; very long texts are taken
+whole; columns with clashing names are kept; an empty table gives an empty result; a
 source of size 0 has target 0.
 """
 
@@ -22,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, materialize, stable_rows, text_or_empty
+from .shared import WORD, materialize, stable_rows, text_or_empty, unused
 
 #: Weights, and phase schedules, by rank of the source, repeating.
 WEIGHTS = (1, 2, 3)
@@ -76,12 +78,15 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     the document; words is below size only where the source's demand ends. carry: further columns to keep;
     keep them narrow. ordered: range-sorted by first_position.
     """
-    sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words_in(docs[text_col]).alias("size"), *[docs[c] for c in carry])
+    # Rows of one id and size, and rows without an id, are told apart by their text.
+    told = F.md5(text_or_empty(docs[text_col]).cast("binary"))
+    sized = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words_in(docs[text_col]).alias("size"), told.alias("told"), *[docs[c] for c in carry])
     sized = materialize(sized, "mix")
     n = docs.count()
     bits = min(16, max(0, math.ceil(math.log2(max(1, n / BUCKET_ROWS)))))
     order = F.md5(F.coalesce(F.col("id").cast("string"), F.lit("")).cast("binary"))
-    rows = sized.withColumn("order", order).withColumn("bucket", F.shiftright(F.conv(F.substring("order", 1, 4), 16, 10).cast("int"), 16 - bits))
+    place = lambda c: F.shiftright(F.conv(F.substring(c, 1, 4), 16, 10).cast("int"), 16 - bits)
+    rows = sized.withColumn("order", order).withColumn("bucket", place("order").cast("bigint") * (1 << bits) + F.when(F.col("id").isNull(), place("told")).otherwise(F.lit(0)))
     # Null sources need a key of their own to join on.
     rows = rows.withColumn("key", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit("")))
     sums = rows.groupBy("key", "bucket").agg(F.sum("size").alias("bucket_size"), F.first("source").alias("source"))
@@ -92,7 +97,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     offsets = sums.select("key", "bucket", before.alias("bucket_start")).join(targets, "key")
     offsets = materialize(offsets, "mixoffsets")
 
-    inside = Window.partitionBy("key", "bucket").orderBy("order", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("key", "bucket").orderBy("order", "id", "size", "told").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(offsets, ["key", "bucket"])
     placed = placed.withColumn("start", F.col("bucket_start") + F.col("inside")).withColumn("demand", F.floor(F.col("target") + 0.5))
     whole = F.when(F.col("source_size") > 0, F.expr("demand div source_size")).otherwise(F.lit(0))
@@ -109,7 +114,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = placed.withColumn("positions", F.coalesce(takes, F.array().cast("array<struct<epoch:int,words:bigint,position:double>>")))
     out = out.withColumn("first_position", F.get("positions", F.lit(0))["position"])
     # Range sort by position; what is never taken has no place in the order and comes first, spread by its hash.
-    out = out.orderBy("first_position", "order", "id") if ordered else out
+    out = out.orderBy("first_position", "order", "id", "told") if ordered else out
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "taken", "positions", "first_position", *[c for c in carry])
 
 
@@ -119,13 +124,14 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document at the end of its source's demand is cut after the words still asked for.
     """
     docs = stable_rows(docs, "documents")
-    numbered = docs.withColumn("__uid", F.monotonically_increasing_id())
-    mixed = mix_documents(numbered, id_col, text_col, source_col, carry=("__uid",), ordered=False, **how)
-    takes = mixed.select("__uid", F.col("size").alias("__size"), F.explode("positions").alias("__take"))
-    rows = takes.join(numbered, "__uid")
+    uid, size, take = (unused(docs.columns, c) for c in ("__uid", "__size", "__take"))
+    numbered = docs.withColumn(uid, F.monotonically_increasing_id())
+    mixed = mix_documents(numbered, id_col, text_col, source_col, carry=(uid,), ordered=False, **how)
+    takes = mixed.select(uid, F.col("size").alias(size), F.explode("positions").alias(take))
+    rows = takes.join(numbered, uid)
     # Only a document at the end of its source's demand is cut; the others keep their text untouched.
     words = F.split(F.regexp_replace(F.col(text_col), r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+")
-    head = F.array_join(F.slice(words, 1, F.col("__take.words").cast("int")), " ")
-    text = F.when(F.col("__take.words") < F.col("__size"), head).otherwise(F.col(text_col))
-    rows = rows.orderBy("__take.position", "__uid", "__take.epoch")
+    head = F.array_join(F.slice(words, 1, F.col(f"{take}.words").cast("int")), " ")
+    text = F.when(F.col(f"{take}.words") < F.col(size), head).otherwise(F.col(text_col))
+    rows = rows.orderBy(f"{take}.position", uid, f"{take}.epoch")
     return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -41,6 +41,8 @@ STEP = 25
 CORE = LENGTH - STEP
 #: Bytes that the naming works on at once: its arrays stay in the cache.
 CHUNK = 1 << 17
+#: Bytes of the table for each partition of the shuffles.
+PART_BYTES = 32 << 20
 #: Positions that a task combines before it sends them.
 HELD = 1_500_000
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xD6E8FEB86659FD93)
@@ -365,7 +367,11 @@ def removed_spans(size: int, start: np.ndarray, count: np.ndarray) -> np.ndarray
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, spans (array of struct(begin, end) of removed bytes), kept (binary)."""
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Each partition is sorted in one piece: their number follows the size of the table, as far as the plan knows it.
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # Plans that do not know it say an absurd size.
+    known = size if size < 1 << 60 else 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), known // PART_BYTES)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     docs = stable_rows(docs, "documents")
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("body"))
@@ -393,11 +399,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     def of_document(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("uid").agg(F.collect_list("at").alias("rows")).withColumnRenamed("uid", "uid_")
+        return rows.repartition(parts, "uid").groupBy("uid").agg(F.collect_list("at").alias("rows")).withColumnRenamed("uid", "uid_")
+
+    dealt = texts.repartition(parts, "uid")
 
     def with_text(rows: DataFrame) -> DataFrame:
         # All joins read the same exchange of the texts; the id goes along so that they are the same plan.
-        joined = texts.hint("shuffle_hash").join(of_document(rows).hint("shuffle_hash"), F.col("uid") == F.col("uid_"), "inner")
+        joined = dealt.hint("shuffle_hash").join(of_document(rows).hint("shuffle_hash"), F.col("uid") == F.col("uid_"), "inner")
         return joined.select("uid", "body", "rows", "id")
 
     # Step 1.
@@ -408,7 +416,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     settled = with_text(cores).mapInArrow(_further(_wholes, SHARED), _LATER).repartition(parts, "key").mapInArrow(_settle(SHARED), "uid bigint, at bigint")
     repeats = of_document(settled).withColumnRenamed("rows", "repeats")
     # The cut.
-    joined = texts.join(repeats.hint("shuffle_hash"), F.col("uid") == F.col("uid_"), "left")
+    joined = dealt.join(repeats.hint("shuffle_hash"), F.col("uid") == F.col("uid_"), "left")
     out = joined.select("id", "body", "repeats").mapInArrow(cut, f"id {kind}, n_bytes bigint, spans array<struct<begin:int,end:int>>, kept binary")
     return out.withColumnRenamed("id", id_col)
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import materialize, unused
 
 SAMPLE_ROWS = 12_000
 VOTERS = 400
@@ -207,13 +207,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return ToxicityModel(float(b), {f: float(x) for f, x in zip(wanted, w, strict=True) if abs(x) > 1e-3}, told)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, carry: bool = False) -> DataFrame:
-    """id, score, predicted for every row; with carry, all columns of docs and __score instead."""
-    base = docs.withColumn("__text", F.col(text_col)) if carry else docs.select(F.col(id_col), F.col(text_col).alias("__text"))
+def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, carry: str | None = None) -> DataFrame:
+    """id, score, predicted for every row; with carry, all columns of docs and the score under that name instead."""
+    text = unused(docs.columns, "text")
+    base = docs.withColumn(text, F.col(text_col)) if carry else docs.select(F.col(id_col), F.col(text_col).alias(text))
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     if carry:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-        schema = f"{fields}, __score double"
+        schema = f"{fields}, `{carry}` double"
     else:
         schema = f"doc {kind}, score double"
 
@@ -238,7 +239,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 cache.clear()
             columns = [b.column(j) for j in range(b.num_columns - 1)] if carry else [b.column(0)]
             names = list(b.schema.names[:-1]) if carry else ["doc"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=[*names, "__score" if carry else "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=[*names, carry or "score"])
 
     scored = base.mapInArrow(score, schema)
     if carry:

@@ -1,5 +1,6 @@
 """Each operator against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing column names."""
 
+import base64
 import hashlib
 import random
 import re
@@ -76,6 +77,38 @@ def test_repeats(docs, empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("chunk, held", [(1 << 17, 1_500_000), (997, 50)])
+def test_repeats_across_chunks(spark, monkeypatch, chunk, held):
+    """Texts beyond one chunk, and tasks that combine in several portions."""
+    monkeypatch.setattr(substring_dedup, "CHUNK", chunk)
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    long, passage = prose(30_000, 31), prose(70, 32)
+    texts = [long, prose(200, 33) + passage + prose(90, 34), long[60_000:61_500], passage + " " + prose(30, 35), prose(400, 36), long[-300:] + prose(40, 37), "z" * 2500]
+    rows = list(enumerate(texts))
+    bodies = [t.encode() for t in texts]
+    seen = Counter(hash(b[i : i + 200]) for b in bodies for i in range(len(b) - 199))
+    want = []
+    for k, b in enumerate(bodies):
+        gone = np.zeros(len(b), bool)
+        for i in range(len(b) - 199):
+            if seen[hash(b[i : i + 200])] > 1:
+                gone[i : i + 200] = True
+        want.append((k, len(b), int(gone.sum()), int((np.diff(np.concatenate([[0], gone.astype(int)])) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    if chunk < 1000:
+        # Tasks run in processes of their own, where the constants are the module's: the steps themselves are compared.
+        x = np.frombuffer(bodies[0], np.uint8)
+        parts = list(substring_dedup._choose(iter([substring_dedup.pa.RecordBatch.from_pydict({"uid": np.array([7]), "body": substring_dedup.pa.array([bodies[0]], "binary")})])))
+        start, count, _, kind = substring_dedup._unpacked(np.concatenate([p.column("at").to_numpy() for p in parts]))
+        covered = np.zeros(len(x) - 199, bool)
+        for s, c, k in zip(start, count, kind, strict=True):
+            covered[s : s + c] = True
+        assert covered.all() and len(parts) > 3
+        return
+    got = substring_dedup.span_digests(substring_dedup.remove_repeats(docs)).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_chosen_positions_cover_each_window_once():
     x = np.frombuffer((prose(400, 3) + "z" * 300 + prose(50, 4)).encode(), np.uint8)
     key, stretch, first, count, off = substring_dedup.chosen_positions(x)
@@ -117,6 +150,36 @@ def test_mix(docs, empty):
     assert mixing.mix_documents(empty).count() == 0
 
 
+def test_rows_without_an_id_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(None if k % 2 else k, prose(1 + k % 9, k), "a" if k % 3 else None) for k in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    mixed = mixing.mix_documents(docs).collect()
+    assert len(mixed) == 600
+    taken, target = Counter(), {}
+    for r in mixed:
+        taken[r["source_size"]] += r["taken"]
+        target[r["source_size"]] = r["target"]
+    assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+    again = mixing.mix_documents(docs.repartition(7)).collect()
+    assert sorted(map(str, mixed)) == sorted(map(str, again))
+
+
+def test_many_rows_equal_the_sql(spark):
+    """More rows than one bucket holds."""
+    import duckdb
+
+    from courierlake.llm import queries
+
+    sf = "/root/testdata/sf0.1"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{sf}/documents.parquet'")
+    found = con.execute(queries.MIX_SQL)
+    names = [d[0] for d in found.description]
+    got = queries.op2_mix_sources(spark, sf).select(*names).collect()
+    assert len(got) > 2 * mixing.BUCKET_ROWS and sorted(map(str, map(tuple, got))) == sorted(map(str, found.fetchall()))
+
+
 def test_stream_repeats_and_cuts_documents(docs, empty):
     stream = mixing.mixed_rows(docs)
     assert stream.columns == docs.columns
@@ -178,6 +241,45 @@ def test_webp_round_trip(colours, cache, references):
         assert (w, h) == (width, height) and (back == pixels).all(), how
 
 
+def test_webp_of_another_encoder():
+    # The lossless image of one pixel by which browsers are commonly asked whether they read the format.
+    raw = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
+    width, height, pixels = webp.decode(raw)
+    assert (width, height, len(pixels)) == (1, 1, 1)
+
+
+@pytest.mark.parametrize("longest", [7, 15])
+def test_code_lengths_are_complete(longest):
+    r = np.random.default_rng(longest)
+    for k in range(200):
+        counts = np.zeros(280, int)
+        n = int(r.integers(2, 100))
+        counts[r.choice(280, n, replace=False)] = np.maximum(1, r.pareto(0.3, n)).clip(1, 1e12).astype(int) if k % 2 else 1
+        lengths = webp.code_lengths(counts, longest)
+        assert (lengths[counts > 0] > 0).all() and (lengths[counts == 0] == 0).all() and lengths.max() <= longest
+        assert sum(2.0 ** -lengths[counts > 0]) == 1
+        codes = webp.canonical_codes(lengths)
+        assert len({(int(c), int(n)) for c, n in zip(codes, lengths) if n}) == n
+
+
+def test_stored_form_follows_the_pixels():
+    """References, cache, palette and transforms are all chosen for some payload, and all are read back."""
+    r, used = np.random.default_rng(1), set()
+    near = np.cumsum(r.integers(0, 3, (40, 144, 4)), axis=1).astype(np.uint8)
+    green = r.integers(0, 256, (40, 144, 1)) + np.zeros((1, 1, 4), int)
+    green[..., 3] = 255
+    for payload in [b"", b"abcd" * 5000, b"one two three. " * 900, prose(900, 1).encode(), bytes(range(256)) * 90, near.tobytes(), green.astype(np.uint8).tobytes(), ("x" + prose(40, 3)).encode() * 40]:
+        form = []
+        step, webp.encode = webp.encode, lambda *a, **k: form.append(k) or step(*a, **k)
+        try:
+            stored = media.store_bytes(payload)
+        finally:
+            webp.encode = step
+        used |= {"references" if form[0].get("references") else "", "cache" if form[0].get("cache_bits") else "", *(t[0] for t in form[0].get("transforms", ()))}
+        assert media.read_pixels(stored)[2][: len(payload)] == payload
+    assert used >= {"", "references", "cache", webp.PALETTE} and used & {webp.PREDICTOR, webp.SUBTRACT_GREEN, webp.CROSS_COLOUR}
+
+
 def test_webp_damage():
     good = webp.encode(np.arange(500, dtype=np.uint32) * 77777, 50, 10)
     with pytest.raises(ValueError):
@@ -242,6 +344,46 @@ def test_packed_ids_have_added_tokens(spark, kind):
     assert got == want
 
 
+def test_packing_merges_groups_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MERGE_PARTITIONS", 4)
+    texts = [prose(1 + k % 23, k) for k in range(150)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(11)
+    pieces = packing.pack_documents(docs, vocabulary("json"), size=64, due=F.col("doc_id") + 7).collect()
+    filled, found = defaultdict(list), defaultdict(int)
+    for p in pieces:
+        filled[p["sequence_id"]].append(p)
+        found[p["doc_id"]] += p["length"]
+    words = packing.WordTokenizer(vocabulary("json"))
+    assert found == {i: len(words.encode(t)) // 4 + 1 for i, t in enumerate(texts)}
+    padded = 0
+    for parts in filled.values():
+        total = sum(p["length"] for p in parts)
+        assert sorted(p["offset"] for p in parts) == [0, *np.cumsum([p["length"] for p in sorted(parts, key=lambda p: p["offset"])])[:-1].tolist()]
+        assert {p["due"] for p in parts} <= {min(q["doc_id"] for q in parts) + 7, *range(7, 157)} and len({p["due"] for p in parts}) == 1
+        padded += total not in (64, 32, 16, 8, 4, 2, 1)
+    assert not padded and "due" not in packing.pack_documents(docs, vocabulary("json")).columns
+
+
+def test_long_texts_pack_in_linear_time():
+    import time
+
+    took = []
+    for n in (400_000, 1_600_000):
+        windows, ids, began = packing.OpenWindows(1024, 16, 0), bytes(4 * n), time.process_time()
+        pieces = windows.place(1, ids, n)
+        took.append(time.process_time() - began)
+        assert sum(len(p[3]) for p in pieces) == 4 * (n // 1024 * 1024)
+    assert took[1] < 12 * max(took[0], 0.002)
+
+
+def test_word_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    words = packing.WordTokenizer(vocabulary("json"))
+    for k in range(40):
+        words.encode(prose(30, k) + " " + "".join(VOCABULARY)[k : k + 900])
+        assert words._held <= 20_000 and sum(len(w) + len(i) for w, i in words._cache.items()) <= words._held
+
+
 @pytest.mark.parametrize("size", [1024, 64])
 def test_packing(docs, empty, size):
     words = packing.WordTokenizer(vocabulary("tiktoken"))
@@ -431,6 +573,53 @@ def test_label_model_finds_the_good_voter():
     assert ((q > 0.5) == y).mean() > 0.93
 
 
+def test_label_model_equals_plain_em():
+    r = np.random.default_rng(9)
+    y = r.random(300) < 0.2
+    votes = np.stack([y & (r.random(300) < 0.7), r.random(300) < 0.1, y & (r.random(300) < 0.4), np.zeros(300, bool), y ^ (r.random(300) < 0.03)], 1).astype(float)
+    got, rates, _ = toxicity.label_model(votes, 4, prior=0.2, rounds=25, correlate=False)
+    n, m = votes.shape
+    mean = [min(max(sum(votes[:, j]) / n, 1e-6), 1 - 1e-6) for j in range(m)]
+    q = [0.95 if v[4] else 0.02 for v in votes]
+    for _ in range(25):
+        new = []
+        fire = [[0.0] * m, [0.0] * m]
+        for j in range(m):
+            for c in (0, 1):
+                weight = [x if c else 1 - x for x in q]
+                strength, towards = (toxicity.REPUTE, (0.02, 0.95)[c]) if j == 4 else (toxicity.SMOOTHING, mean[j])
+                fire[c][j] = (sum(w * v[j] for w, v in zip(weight, votes)) + strength * towards) / (sum(weight) + strength)
+            fire[0][j] = min(fire[0][j], fire[1][j])
+        p = (sum(q) + 5 * 0.2) / (n + 5)
+        for v in votes:
+            one, zero = p, 1 - p
+            for j in range(m):
+                one *= fire[1][j] if v[j] else 1 - fire[1][j]
+                zero *= fire[0][j] if v[j] else 1 - fire[0][j]
+            new.append(one / (one + zero))
+        q = new
+    assert np.allclose(got, q, atol=1e-6) and np.allclose(rates, fire, atol=1e-6)
+    assert rates[0, 3] == rates[1, 3]
+
+
+def test_few_labels_do_not_collapse(spark):
+    # Nine toxic rows among seventy, most of the lexicon silent: their posteriors stay with their labels.
+    rows = [(i, t, y) for i, t, y in toxic_rows() if zlib.crc32(str(i).encode()) % 4 != 2][:70]
+    rest = [(i, t, y) for i, t, y in toxic_rows() if i not in {x[0] for x in rows}]
+    docs = spark.createDataFrame(toxic_rows(), "doc_id bigint, text string, y int")
+    model = toxicity.fit_toxicity(docs.drop("y"), spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(docs.drop("y"), model).collect()}
+    assert sum(got[i] for i, t, y in rest if y and "pathetic" in t) >= 0.9 * sum(y for _, t, y in rest if "pathetic" in t)
+    assert sum(got[i] for i, _, y in rest if not y) <= 0.03 * sum(not y for _, _, y in rest)
+
+
+def test_repeated_labelled_rows_are_learned_once(spark):
+    rows = toxic_rows()
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id bigint, toxic int")
+    once = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    assert toxicity.fit_toxicity(once.unionByName(once).unionByName(once), labels) == toxicity.fit_toxicity(once, labels)
+
+
 # ---- URLs --------------------------------------------------------------------------------------------------
 
 
@@ -486,6 +675,44 @@ def test_languages(spark, empty):
     assert language.predict_languages(empty, model).count() == 0
 
 
+def test_texts_without_a_letter_have_no_language(spark):
+    rows = [(i, tongue(i % 2, 30, i), ["aa", "ff"][i % 2]) for i in range(40)]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    texts = ["\u0301\u0308 \u0300", "12\u0301", "\u20dd", "a\u0301", "\u4e00", "x" * 300_000]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict_languages(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).collect()}
+    assert [got[k] for k in range(3)] == ["und"] * 3 and all(got[k] in ("aa", "ff") for k in range(3, 6))
+
+
+def plain_em(table, counts, members, steps=4000):
+    """Proportions and log likelihood of one set of languages, one step after the other."""
+    pi = {k: 1 / len(members) for k in members}
+    for _ in range(steps):
+        fresh = dict.fromkeys(members, 0.0)
+        for g, n in enumerate(counts):
+            mixed = sum(pi[k] * table[g][k] for k in members)
+            for k in members:
+                fresh[k] += n * pi[k] * table[g][k] / mixed
+        pi = {k: v / sum(counts) for k, v in fresh.items()}
+    return pi, sum(n * np.log(sum(pi[k] * table[g][k] for k in members)) for g, n in enumerate(counts) if n)
+
+
+def test_mixtures_equal_plain_em_over_all_sets():
+    r = np.random.default_rng(5)
+    from itertools import combinations
+
+    for trial in range(6):
+        table = r.random((24, 3)) ** 3 + 0.01
+        table /= table.sum(0)
+        truth = [[1, 0, 0], [0.6, 0.4, 0], [0.4, 0.3, 0.3], [0, 0.5, 0.5], [0, 1, 0], [0.8, 0.1, 0.1]][trial]
+        counts = np.round(6000 * (table @ truth)).astype(int)
+        cost = language.PENALTY * np.log(counts.sum())
+        best = max(((lambda pi, fit: (fit / 4 - len(m) * cost, m, pi))(*plain_em(table.tolist(), counts.tolist(), m, 250)) for n in (1, 2, 3) for m in combinations(range(3), n)), key=lambda x: x[0])
+        seen = np.flatnonzero(counts)
+        got, sizes = language.infer_mixtures(language.LanguageModel(("a", "b", "c"), table.astype(np.float32)), [seen], [counts[seen]])
+        assert set(np.flatnonzero(got[0] > 0)) == set(best[1]) and sizes[0] == len(best[1])
+        assert all(abs(got[0][k] - best[2].get(k, 0)) < 0.02 for k in range(3))
+
+
 def test_languages_mix_more_than_four(spark):
     letters = ["abcd", "efgh", "ijkl", "mnop", "qrst", "uvwx"]
 
