@@ -25,6 +25,8 @@ from . import webp
 BLOCK = 576
 ROW_PIXELS = BLOCK // 4
 MAX_ROWS = webp.MAX_SIDE
+#: Bytes of files that are read at once.
+PORTION = 4 << 20
 
 
 def store_bytes(payload: bytes) -> bytes:
@@ -42,15 +44,38 @@ def store_bytes(payload: bytes) -> bytes:
     return b"".join(files)
 
 
+def read_many(media: list[bytes]) -> list[tuple[int, int, bytes]]:
+    """width, height and RGBA samples of each entry: one file, or several of one width, stacked."""
+    files, owner = [], []
+    for k, entry in enumerate(media):
+        at = 0
+        while at < len(entry):
+            size = 8 + struct.unpack("<I", entry[at + 4 : at + 8])[0]
+            files.append(entry[at : at + size])
+            owner.append(k)
+            at += size
+    out = [(0, 0, b"")] * len(media)
+    for k, (width, height, argb) in zip(owner, webp.decode_many(files), strict=True):
+        # From blue, green, red, alpha.
+        samples = np.ascontiguousarray(np.ascontiguousarray(argb.astype("<u4")).view(np.uint8).reshape(-1, 4)[:, [2, 1, 0, 3]]).tobytes()
+        out[k] = (width, out[k][1] + height, out[k][2] + samples)
+    return out
+
+
 def read_pixels(media: bytes) -> tuple[int, int, bytes]:
-    """width, height and RGBA samples of one file, or of several of one width, stacked."""
-    at, rows, width, parts = 0, 0, 0, []
-    while at < len(media):
-        size = 8 + struct.unpack("<I", media[at + 4 : at + 8])[0]
-        width, height, argb = webp.decode(media[at : at + size])
-        parts.append(np.stack([argb >> 16, argb >> 8, argb, argb >> 24], -1).astype(np.uint8).tobytes())
-        at, rows = at + size, rows + height
-    return width, rows, b"".join(parts)
+    return read_many([media])[0]
+
+
+def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of entries of at most PORTION bytes together, one entry at least."""
+    begin = held = 0
+    for k, n in enumerate(sizes):
+        if k > begin and held + n > PORTION:
+            yield begin, k
+            begin, held = k, 0
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def describe(width: int, height: int, samples: bytes) -> str:
@@ -87,10 +112,10 @@ def decode_media(media: DataFrame, media_col: str = "media") -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            # Small slices: pixels take more room than their files.
-            for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500)
-                found = [read_pixels(x.as_py() or b"") if x.as_py() else (0, 0, None) for x in b.column(place)]
+            # In portions: pixels take more room than their files.
+            for begin, end in portions([len(x.as_py() or b"") for x in whole.column(place)]):
+                b = whole.slice(begin, end - begin)
+                found = [x if x[2] else (0, 0, None) for x in read_many([x.as_py() or b"" for x in b.column(place)])]
                 told = [describe(*x) if x[2] else None for x in found]
                 yield pa.RecordBatch.from_arrays(
                     [*b.columns, *(pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))), pa.array(told, pa.string())],

@@ -268,7 +268,8 @@ def test_stored_form_follows_the_pixels():
     near = np.cumsum(r.integers(0, 3, (40, 144, 4)), axis=1).astype(np.uint8)
     green = r.integers(0, 256, (40, 144, 1)) + np.zeros((1, 1, 4), int)
     green[..., 3] = 255
-    for payload in [b"", b"abcd" * 5000, b"one two three. " * 900, prose(900, 1).encode(), bytes(range(256)) * 90, near.tobytes(), green.astype(np.uint8).tobytes(), ("x" + prose(40, 3)).encode() * 40]:
+    many = r.integers(0, 256, (900, 4)).astype(np.uint8)[r.integers(0, 900, 5760)]
+    for payload in [many.tobytes(), b"", b"abcd" * 5000, b"one two three. " * 900, prose(900, 1).encode(), bytes(range(256)) * 90, near.tobytes(), green.astype(np.uint8).tobytes(), ("x" + prose(40, 3)).encode() * 40]:
         form = []
         step, webp.encode = webp.encode, lambda *a, **k: form.append(k) or step(*a, **k)
         try:
@@ -280,6 +281,23 @@ def test_stored_form_follows_the_pixels():
     assert used >= {"", "references", "cache", webp.PALETTE} and used & {webp.PREDICTOR, webp.SUBTRACT_GREEN, webp.CROSS_COLOUR}
 
 
+def test_images_read_together_equal_each_alone(monkeypatch):
+    r = np.random.default_rng(6)
+    files = []
+    for k in range(60):
+        width, height = int(r.integers(1, 40)), int(r.integers(1, 30))
+        pixels = r.integers(0, [2, 300, 1 << 32][k % 3], width * height, dtype=np.uint64).astype(np.uint32)
+        how = [(), ((webp.SUBTRACT_GREEN,),), ((webp.PREDICTOR, 1),), ((webp.PREDICTOR, 11), (webp.CROSS_COLOUR, 0x123456))][k % 4]
+        files.append(webp.encode(pixels, width, height, how, [0, 0, 4][k % 3], k % 5 == 0))
+    for alone in (1, 24, 1000):
+        monkeypatch.setattr(webp, "ALONE", alone)
+        for (w, h, x), f in zip(webp.decode_many(files), files, strict=True):
+            assert (w, h) == webp.decode(f)[:2] and (x == webp.decode(f)[2]).all()
+    assert webp.decode_many([]) == []
+    with pytest.raises(ValueError):
+        webp.decode_many([*files[:2], files[1][:40] + bytes(2)])
+
+
 def test_webp_damage():
     good = webp.encode(np.arange(500, dtype=np.uint32) * 77777, 50, 10)
     with pytest.raises(ValueError):
