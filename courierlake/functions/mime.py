@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import base64
 import binascii
+import codecs
 import re
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, StringType
 
 from .. import rules
 
@@ -28,10 +29,11 @@ def charset_text(data: bytes, charset: str) -> str:
         if data.startswith(mark):
             return data[len(mark) :].decode(codec, "replace")
     codec = rules.CHARSETS.get(charset.lower(), "utf-8")
-    if codec == "cp1252":
-        # The five bytes without a character stand for control characters.
-        return "".join(chr(b) if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in data)
-    return data.decode(codec, "replace")
+    # The five bytes of windows-1252 without a character stand for control characters.
+    return data.decode(codec, "as_control" if codec == "cp1252" else "replace")
+
+
+codecs.register_error("as_control", lambda e: ("".join(map(chr, e.object[e.start : e.end])), e.end))
 
 
 def header_quoted(text: str) -> bytes:
@@ -151,6 +153,11 @@ def decode_header(text: pd.Series) -> pd.Series:
     return text.map(lambda t: header_text(t) if isinstance(t, str) else "")
 
 
+@pandas_udf(ArrayType(StringType()))
+def decode_headers(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda ts: [header_text(t) for t in ts] if ts is not None else [])
+
+
 @pandas_udf(StringType())
 def body_text(body: pd.Series, kind: pd.Series, encoding: pd.Series) -> pd.Series:
     """Text of message bodies, given the raw Content-Type and Content-Transfer-Encoding headers."""

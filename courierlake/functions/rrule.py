@@ -13,17 +13,17 @@ DAY, WEEK = 86400, 604800
 
 def parse_rule(rrule: Column) -> Column:
     """struct(freq, interval, by_day, until, count, reason); reason says why a rule is not expanded."""
-    pieces = F.filter(F.split(rrule, ";"), lambda p: F.contains(p, F.lit("=")))
-    keys = F.transform(pieces, lambda p: F.upper(F.trim(F.split_part(p, F.lit("="), F.lit(1)))))
+    def found(keys: str) -> str:
+        return rf"(?is)^(?:.*;)? *(?:{keys}) *="
 
     def value(key: str) -> Column:
-        found = F.filter(pieces, lambda p: F.upper(F.trim(F.split_part(p, F.lit("="), F.lit(1)))) == key)
-        return F.split_part(F.try_element_at(found, F.lit(-1)), F.lit("="), F.lit(2))
+        """Between the first and the second = of the last part of that name."""
+        return F.when(F.rlike(rrule, F.lit(found(key))), F.regexp_extract(rrule, found(key) + "([^;=]*)", 1))
 
     freq = F.upper(value("FREQ"))
     days = F.transform(F.split(value("BYDAY"), ","), lambda d: F.array_position(F.array(*[F.lit(w) for w in rules.WEEKDAYS]), F.regexp_replace(F.upper(F.trim(d)), r"^[+-]?\d+", "")).cast("int") - 1)
     reason = (
-        F.when(F.arrays_overlap(keys, F.array(*[F.lit(k) for k in rules.UNSUPPORTED_RULE_KEYS])), F.lit("unsupported key"))
+        F.when(F.rlike(rrule, F.lit(found("|".join(rules.UNSUPPORTED_RULE_KEYS)))), F.lit("unsupported key"))
         .when(freq.isNull(), F.lit("missing FREQ"))
         .when(~freq.isin("DAILY", "WEEKLY", "MONTHLY"), F.lit("unsupported FREQ"))
     )
@@ -74,9 +74,16 @@ def occurrences(rule: Column, start: Column, cutoff: Column, cap: int = rules.MA
     starts = F.flatten(F.transform(weeks, lambda w: F.transform(days, lambda d: w * WEEK + F.pmod(d - 3, F.lit(7)) * DAY + clock)))
     weekly = F.array_sort(F.array_distinct(F.filter(starts, lambda t: (t >= start) & (t <= last_weekly))))
     months = F.least(limit - 1, F.floor((stop - start) / (28 * DAY)).cast("int") + 1)
-    chain = F.aggregate(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), months)), F.array(start), lambda got, _: F.when(add_month(F.element_at(got, -1), step) <= stop, F.concat(got, F.array(add_month(F.element_at(got, -1), step)))).otherwise(got)
-    )
+    # Days up to the 28th exist in every month; later ones are cut step by step, and stay cut.
+    plain = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), months)), lambda k: add_month(start, k * step))
+    short = F.filter(plain, lambda t: t <= stop)
+    day_of_month = F.dayofmonth(F.date_from_unix_date(F.floor(start / DAY).cast("int")))
+    following = F.aggregate(
+        F.sequence(F.lit(1), F.greatest(F.lit(1), months)),
+        F.struct(F.array(start).alias("got"), start.alias("at")),
+        lambda s, _: F.transform(F.array(add_month(s["at"], step)), lambda t: F.struct(F.when(t <= stop, F.array_append(s["got"], t)).otherwise(s["got"]).alias("got"), t.alias("at")))[0],
+    )["got"]
+    chain = F.when(day_of_month <= 28, short).otherwise(following)
     return (
         F.when(rule["reason"].isNotNull() | start.isNull() | (start > stop), none)
         .when(rule["freq"] == "DAILY", daily)

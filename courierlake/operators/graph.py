@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -54,7 +54,7 @@ def node_radius(score: Column, top: Column) -> Column:
 def node_sizes(scored: DataFrame) -> DataFrame:
     """radius, received_ratio and the rounded percentage of what was received."""
     total = F.col("received") + F.col("sent")
-    top = F.max("score").over(Window.partitionBy())
+    top = scored.agg(F.max("score")).scalar()
     ratio = F.when(total > 0, F.col("received") / total).otherwise(F.lit(0.5))
     share = F.when(total > 0, F.floor(F.col("received") * 100 / total + 0.5)).otherwise(F.lit(0)).cast("bigint")
     return scored.select("email", node_radius(F.col("score"), top).alias("radius"), ratio.alias("received_ratio"), share.alias("received_percent"))

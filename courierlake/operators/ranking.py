@@ -1,31 +1,33 @@
 """Rankings of contacts, composite scores and the Borda merge.
 
-Ranks run over contacts, the aggregate of all messages; a global rank is one sort of that table.
+Ranks run over contacts, the aggregate of all messages, by counts of distinct values (see order); totals are
+aggregates of one row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..files import written
+from .order import places_of, with_place, with_rank
 from .stats import live_rate
 
 #: Metric of each ranking.
 METRICS: dict[str, Column | str] = {"sent": "sent", "sent_per_month": "sent_pm", "received": "received", "received_per_month": "received_pm", "duration": "duration", "email_length": "average_chars"}
 
 
-def competition_rank(value: Column | str, descending: bool = True) -> Column:
-    """1, 1, 3: equal values (to nine decimals) share a rank."""
-    v = F.round(F.col(value) if isinstance(value, str) else value, 9)
-    return F.rank().over(Window.orderBy(v.desc() if descending else v.asc())).cast("bigint")
+def competition_ranks(rows: DataFrame, value: str, name: str = "rank", descending: bool = True) -> DataFrame:
+    """rows with rank 1, 1, 3: equal values (to nine decimals) share one."""
+    return with_rank(rows, F.round(F.col(value), 9), name, descending)
 
 
 def metric_ranking(contacts: DataFrame, metric: str, descending: bool = True) -> DataFrame:
     """rank, name, email, value of one of METRICS."""
     rates = contacts.withColumns({"sent_pm": live_rate("sent"), "received_pm": live_rate("received")})
     valued = rates.select("name", "email", F.coalesce(F.col(METRICS[metric]).cast("double"), F.lit(0.0)).alias("value"))
-    return valued.withColumn("rank", competition_rank("value", descending)).select("rank", "name", "email", "value")
+    return competition_ranks(valued, "value", descending=descending).select("rank", "name", "email", "value")
 
 
 def ranking_lines(ranking: DataFrame, whole: bool) -> DataFrame:
@@ -41,18 +43,18 @@ def rank_points(rank: Column, n: Column) -> Column:
 def composite(contacts: DataFrame, coefficients: dict[str, float] | None = None, meetings: bool = True) -> DataFrame:
     """contacts with score and rankings: weighted points of each ranked metric, and the share of meetings if asked for."""
     coefficients = coefficients or rules.COEFFICIENTS
-    everyone = Window.partitionBy()
-    out = contacts.withColumn("n", F.count(F.lit(1)).over(everyone))
+    out = contacts
+    n = contacts.agg(F.count(F.lit(1))).scalar()
     parts, names = [], []
     for name, weight in coefficients.items():
-        out = out.withColumn(f"rank_{name}", F.rank().over(Window.orderBy(F.desc(name))).cast("bigint"))
-        out = out.withColumn(f"points_{name}", rank_points(F.col(f"rank_{name}"), F.col("n")) * F.lit(float(weight)))
+        # Ranks come from the contacts themselves, not from what has been added to them.
+        out = with_rank(out, name, f"rank_{name}", among=contacts)
+        out = out.withColumn(f"points_{name}", rank_points(F.col(f"rank_{name}"), n) * F.lit(float(weight)))
         parts.append(F.col(f"points_{name}"))
         names.append(F.struct(F.lit(name).alias("name"), F.col(f"rank_{name}").alias("rank"), F.col(f"points_{name}").alias("points")))
     rankings = F.array(*names)
     if meetings:
-        total = F.sum("meetings").over(everyone)
-        out = out.withColumn("meetings_total", total)
+        out = out.withColumn("meetings_total", contacts.agg(F.coalesce(F.sum("meetings"), F.lit(0))).scalar())
         bonus = F.when(F.col("meetings_total") > 0, F.col("meetings") / F.col("meetings_total") * rules.MEETINGS_BONUS)
         parts.append(F.coalesce(bonus, F.lit(0.0)))
         rankings = F.when(F.col("meetings_total") > 0, F.array_append(rankings, F.struct(F.lit("meetings").alias("name"), F.lit(0).cast("bigint").alias("rank"), bonus.alias("points")))).otherwise(rankings)
@@ -63,7 +65,7 @@ def composite(contacts: DataFrame, coefficients: dict[str, float] | None = None,
 
 
 def composite_ranking(scored: DataFrame) -> DataFrame:
-    return scored.withColumn("rank", competition_rank("score")).select("rank", "name", "email", "score", "rankings")
+    return competition_ranks(scored, "score").select("rank", "name", "email", "score", "rankings")
 
 
 def composite_lines(ranking: DataFrame) -> DataFrame:
@@ -74,20 +76,33 @@ def composite_lines(ranking: DataFrame) -> DataFrame:
 
 def ordinal_points(scores: DataFrame, email: str = "email", score: str = "score") -> DataFrame:
     """email (lower case), rank 1..n without ties, Borda points."""
-    rank = F.row_number().over(Window.orderBy(F.desc(score), email)).cast("bigint")
-    ranked = scores.select(F.lower(email).alias("email"), rank.alias("rank"))
+    ranked = with_place(scores.select(F.col(email).alias("given"), F.col(score).alias("score")), "score", "given", "rank").select(F.lower("given").alias("email"), "rank")
     points = F.when(F.col("rank") <= rules.BORDA_WINDOW, F.lit(rules.BORDA_TOP) - 2 * (F.col("rank") - 1)).otherwise(F.lit(0))
     return ranked.withColumn("points", points.cast("double"))
 
 
 def overall(mail: DataFrame, calendar: DataFrame, top_n: int = rules.BORDA_WINDOW) -> DataFrame:
-    """Borda merge of mail(email, name, received, sent, score) and calendar(email, name, score): the top contacts."""
-    m = mail.join(ordinal_points(mail), "email").select("email", F.col("name").alias("m_name"), "received", "sent", F.col("rank").alias("mail_rank"), F.col("points").alias("mail_points"))
-    c = calendar.join(ordinal_points(calendar), "email").select("email", F.col("name").alias("c_name"), F.col("rank").alias("calendar_rank"), (F.col("points") * rules.CALENDAR_WEIGHT).alias("calendar_points"))
-    both = m.join(c, "email", "full_outer")
+    """Borda merge of mail(email, name, received, sent, score) and calendar(email, name, score): the top contacts.
+
+    Only the first BORDA_WINDOW of either side have points, so only they, and the same contacts on the other side, are
+    looked at: at most twice as many rows, whose places come from one aggregation of each side. Both sides are written
+    to the shared folder first, as several steps read them.
+    """
+    mail, calendar = written(mail.select("email", "name", "received", "sent", "score")), written(calendar.select("email", "name", "score"))
+    best = lambda rows: rows.select(F.lower("email").alias("key"), F.col("score"), "email").orderBy(F.desc("score"), "email").limit(rules.BORDA_WINDOW).select("key")
+    few = best(mail).unionByName(best(calendar)).distinct()
+
+    def side(rows: DataFrame, weight: float, prefix: str) -> DataFrame:
+        shown = rows.join(F.broadcast(few), F.lower("email") == F.col("key")).drop("key")
+        placed = places_of(rows, shown, "score", "email", "rank")
+        points = F.when(F.col("rank") <= rules.BORDA_WINDOW, F.lit(rules.BORDA_TOP) - 2 * (F.col("rank") - 1)).otherwise(F.lit(0)).cast("double") * weight
+        others = [c for c in ("received", "sent") if c in rows.columns]
+        return placed.select(F.lower("email").alias("email"), F.col("name").alias(f"{prefix}_name"), *others, F.col("rank").alias(f"{prefix}_rank"), points.alias(f"{prefix}_points"))
+
+    both = side(mail, 1.0, "mail").join(side(calendar, rules.CALENDAR_WEIGHT, "calendar"), "email", "full_outer")
     filled = both.select(
         "email",
-        F.coalesce("m_name", "c_name", "email").alias("name"),
+        F.coalesce("mail_name", "calendar_name", "email").alias("name"),
         *[F.coalesce(x, F.lit(0)).cast("bigint").alias(x) for x in ("received", "sent")],
         "mail_rank",
         "calendar_rank",
@@ -97,7 +112,8 @@ def overall(mail: DataFrame, calendar: DataFrame, top_n: int = rules.BORDA_WINDO
 
 
 def panel_places(scored: DataFrame, query: str = "") -> DataFrame:
-    """Places of a list after its search: equal scores share one; colour by order among all."""
-    ordered = scored.withColumn("color", ((F.row_number().over(Window.orderBy(F.desc("score"), "email")) - 1) % rules.PALETTE_SIZE).cast("bigint"))
+    """Places of a list after its search: equal scores share one; colour by order among all. scored is written to the shared folder first."""
+    scored = written(scored)
+    ordered = with_place(scored, "score", "email", "color").withColumn("color", (F.col("color") - 1) % rules.PALETTE_SIZE)
     found = ordered.where(F.contains(F.lower("name"), F.lit(query.lower())) | F.contains(F.lower("email"), F.lit(query.lower())))
-    return found.withColumn("place", F.rank().over(Window.orderBy(F.desc("score"))).cast("bigint"))
+    return with_rank(found, "score", "place")

@@ -9,8 +9,12 @@ from ..functions.text import local_part, per_month, round2, spam_rules
 
 
 def contact_stats(exchanges: DataFrame) -> DataFrame:
-    """One row per contact from exchanges(contact, name, dir, date, chars, is_meeting, msg_pos, rcpt_idx): one shuffle, combined map-side."""
-    named = F.when(F.col("name") != "", F.struct("msg_pos", "rcpt_idx"))
+    """One row per contact from exchanges(contact, name, dir, date, chars, is_meeting, msg_pos, rcpt_idx): one shuffle, combined map-side.
+
+    The first name in order of archive, message and recipient counts.
+    """
+    order = [c for c in ("source_file", "msg_pos", "rcpt_idx") if c in exchanges.columns]
+    named = F.when(F.col("name") != "", F.struct(*order))
     return exchanges.groupBy(F.col("contact").alias("email")).agg(
         F.coalesce(F.min_by("name", named), F.lit("")).alias("name"),
         F.count_if(F.col("dir") == "received").alias("received"),

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..files import scratch_dir
 
 ME = "s1@corp1.example"
 #: 2024-02-01, the end of look-back windows.
@@ -66,8 +69,46 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with their attendees in order; ten people make an event at most here, so the lists are short."""
+    """Events with their attendees in order, also events without any; ten people make an event at most here, so the lists are short."""
     people = _table(spark, sf_dir, _ATTENDEE, "lineitem")
     lists = people.selectExpr("event_id", "struct(pos, email, name, '' as role, partstat, '' as cutype) as a").groupBy("event_id").agg({"a": "collect_list"})
     lists = lists.withColumnRenamed("collect_list(a)", "a").selectExpr("event_id", "transform(sort_array(a), x -> struct(x.email, x.name, x.role, x.partstat, x.cutype)) as attendees")
-    return _table(spark, sf_dir, _EVENT, "orders").join(lists, "event_id")
+    nobody = "cast(array() as array<struct<email:string,name:string,role:string,partstat:string,cutype:string>>)"
+    return _table(spark, sf_dir, _EVENT, "orders").join(lists, "event_id", "left").withColumn("attendees", F.expr(f"coalesce(attendees, {nobody})"))
+
+
+def mail_archive(spark: SparkSession, sf_dir: str) -> str:
+    """Conversations as mbox files, a message for each turn; returns their folder."""
+    day = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") * 3600 + F.col("turn") * 60)
+    key, turn = F.col("conv_id").cast("string"), F.col("turn").cast("string")
+    head = [
+        F.concat(F.lit("From r"), key, F.lit("@mail.example x")),
+        F.concat(F.lit('From: "The '), "role", F.lit('" <R'), key, F.lit("@Mail.Example>")),
+        F.concat(F.lit("To: t"), turn, F.lit("@x.example,\n\tMe <s1@corp1.example>")),
+        F.when(F.col("turn") % 2 == 0, F.concat(F.lit("Cc: c"), key, F.lit("@x.example"))).otherwise(F.lit("X-Note: none")),
+        F.concat(F.lit("Subject: =?utf-8?B?"), F.base64(F.concat(F.lit("Thread "), key, F.lit("/"), turn).cast("binary")), F.lit("?=")),
+        F.concat(F.lit("Date: "), F.date_format(day, "EEE, d MMM yyyy HH:mm:ss"), F.lit(" +0000 (UTC)")),
+    ]
+    body = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "), "^From ", ">From ")
+    at = scratch_dir(spark)
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat_ws("\n", *head, F.lit(""), body).alias("value")).write.text(at)
+    return at
+
+
+def calendar_files(spark: SparkSession, sf_dir: str) -> str:
+    """Customers as calendar events in *.ics files; returns their folder."""
+    key = F.col("c_custkey").cast("string")
+    lines = [
+        F.lit("BEGIN:VEVENT"),
+        F.concat(F.lit("UID:c"), key),
+        F.concat(F.lit("SUMMARY:Visit\\, "), F.substring("c_name", 1, 5), F.lit("\n "), F.substring("c_name", 6, 99)),
+        F.concat(F.lit("DTSTART:"), F.date_format(F.timestamp_seconds(F.lit(1_690_000_000) + F.col("c_custkey") * 600), "yyyyMMdd'T'HHmmss'Z'")),
+        F.concat(F.lit('ORGANIZER;CN="'), "c_name", F.lit('":MAILTO:C'), key, F.lit("@corp.example")),
+        F.concat(F.lit('ATTENDEE;CN="A: b";PARTSTAT=ACCEPTED:mailto:n'), F.col("c_nationkey").cast("string"), F.lit("@x.example")),
+        F.when(F.col("c_custkey") % 2 == 0, F.lit("BEGIN:VALARM\nDESCRIPTION:alarm\nEND:VALARM")).otherwise(F.lit("DESCRIPTION:none")),
+        F.lit("END:VEVENT"),
+    ]
+    at = scratch_dir(spark)
+    written = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.concat_ws("\n", F.lit("BEGIN:VCALENDAR"), *lines, F.lit("END:VCALENDAR")).alias("value"))
+    written.write.text(at)
+    return f"{at}/*.txt"

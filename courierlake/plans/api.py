@@ -1,6 +1,6 @@
 """The analytic surface: tables in, one call for each view of the data.
 
-Workspace holds the tables of an analysis; each method returns a DataFrame. Nothing is cached implicitly.
+Workspace holds the tables of an analysis; each method returns a DataFrame.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..config import EngineConfig
+from ..files import written
 from ..operators import calendar as cal
 from ..operators import curation, graph, groups, ranking, stats
 from ..sources.calendar import parse_events, read_ics
@@ -71,6 +73,16 @@ class Workspace:
             "top_org": cal.top_organisation(self.attendees),
         }
 
+    def node_detail(self, email: str) -> DataFrame:
+        """One contact with its mail score and, where it has one, its calendar score and counts."""
+        wanted = email.strip().lower()
+        mail = self.scored().where(F.lower("email") == wanted).select(F.lower("email").alias("email"), "name", "received", "sent", "meetings", F.col("score").alias("mail_score"), "rankings")
+        if self.attendees is None:
+            return mail.withColumn("calendar_score", F.lit(None).cast("double"))
+        side = self.calendar_graph().where(F.lower("email") == wanted)
+        side = side.select(F.lower("email").alias("email"), F.col("score").alias("calendar_score"), "total_events_count", "organized_events_count", "acceptance_rate")
+        return mail.join(side, "email", "full_outer")
+
     def event_groups(self) -> DataFrame | None:
         return groups.gather(groups.event_members(self.events, self.config.me)) if self.events is not None else None
 
@@ -93,20 +105,37 @@ class Workspace:
         return Workspace(self.config, self.mails, self.contacts, self.filtered, self.events, self.attendees, log)
 
 
-def load(spark: SparkSession, config: EngineConfig, mbox: str | None = None, ics: str | None = None, classes: DataFrame | None = None) -> Workspace:
-    """Reads archives and calendars, and derives all tables."""
-    parsed = parse_messages(read_mbox(spark, mbox)) if mbox else None
-    contacts = stats.candidates(stats.contact_metrics(stats.contact_stats(exchanges(parsed, config.me))))
+def load(spark: SparkSession, config: EngineConfig, mbox: str | list[str] | None = None, ics: str | list[str] | None = None, classes: DataFrame | None = None) -> Workspace:
+    """Reads archives and calendars, and derives all tables; either may be missing.
+
+    Files are parsed once: messages, contacts, events and attendees are written to the shared folder, and views read
+    them there. save() and reopen() keep them beyond the application.
+    """
+    parsed = written(parse_messages(read_mbox(spark, mbox))) if mbox else spark.createDataFrame([], schemas.PARSED)
+    contacts = written(stats.candidates(stats.contact_metrics(stats.contact_stats(exchanges(parsed, config.me)))))
     events = attendees = None
     if ics:
         masters = cal.expand_events(parse_events(read_ics(spark, ics)), config.now, config.lookback_days, config.max_occurrences)
-        events = masters.withColumn("event_id", F.xxhash64("source_file", "event_pos", "occurrence_idx"))
-        attendees = cal.link_contacts(cal.attendee_stats(events, config.me), contacts)
+        # Ids sort by file, place in the file and occurrence.
+        at = [F.lpad(F.col(c).cast("string"), n, "0") for c, n in (("event_pos", 19), ("occurrence_idx", 6))]
+        events = written(masters.withColumn("event_id", F.concat_ws("#", "source_path", *at)))
+        attendees = written(cal.link_contacts(cal.attendee_stats(events, config.me), contacts))
     return Workspace(config, mails(parsed), contacts, stats.verified(contacts, classes), events, attendees)
 
 
-def save(workspace: Workspace, path: str) -> None:
+TABLES = ("mails", "contacts", "filtered", "events", "attendees", "decisions")
+
+
+def save(workspace: Workspace, path: str, mode: str = "overwrite") -> None:
     """All tables as Parquet."""
-    for name in ("mails", "contacts", "filtered", "events", "attendees", "decisions"):
+    for name in TABLES:
         if (df := getattr(workspace, name)) is not None:
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            df.write.mode(mode).parquet(f"{path}/{name}")
+
+
+def reopen(spark: SparkSession, config: EngineConfig, path: str) -> Workspace:
+    """The workspace that save() wrote."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    there = {name for name in TABLES if files.exists(spark._jvm.org.apache.hadoop.fs.Path(where, name))}
+    return Workspace(config, **{name: spark.read.parquet(f"{path}/{name}") if name in there else None for name in TABLES})

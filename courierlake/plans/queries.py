@@ -10,7 +10,9 @@ from ..config import EngineConfig
 from ..functions import dates, ics, rrule, text
 from ..operators import calendar as cal
 from ..operators import classify, curation, graph, groups, ranking, stats
-from .adapters import ME, NOW, calendar, duck, exchanges, threads
+from ..sources.calendar import parse_events, read_ics
+from ..sources.mail import parse_messages, read_mbox
+from .adapters import ME, NOW, calendar, calendar_files, duck, exchanges, mail_archive, threads
 
 CONFIG = EngineConfig(me=ME, now=NOW)
 _FOUND: dict[str, tuple] = {}
@@ -170,7 +172,7 @@ def ranking_text(spark, sf_dir):
 @query(f"{_CTE} select email, rank_sent, rank_received, points_sent + points_received as score, rank() over (order by round(points_sent + points_received, 9) desc) as rank from online")
 def composite_offline(spark, sf_dir):
     scored = ranking.composite(_filtered(spark, sf_dir), meetings=False)
-    return scored.withColumn("rank", ranking.competition_rank("score")).select("email", "rank_sent", "rank_received", "score", "rank")
+    return ranking.competition_ranks(scored, "score").select("email", "rank_sent", "rank_received", "score", "rank")
 
 
 @query(f"{_CTE} select email, rank_sent, rank_received, score from online")
@@ -293,16 +295,39 @@ def stats_argmax(spark, sf_dir):
     return graph.leaders(contacts, groups.domain_groups(contacts), groups.gather(_message_members(spark, sf_dir)))
 
 
-@query("select conv_id, turn, trim(regexp_replace('Re: ' || role, '^(Re:|Fwd:)\\s*', '', 'i')) as subject from conversations")
+_SUBJECT = "case turn % 6 when 0 then concat('Re: ', role) when 1 then concat('RE:Re: ', role) when 2 then concat('fwd:', role, ' ') when 3 then concat('Reply: ', role) when 4 then concat(role, ' Re: x') else 'Fwd: ' end"
+
+
+@query(rf"select conv_id, turn, trim(regexp_replace({_SUBJECT}, '^(Re:|Fwd:)\s*', '', 'i')) as subject from conversations")
 def subject_cleaning(spark, sf_dir):
-    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_subject(F.concat(F.lit("Re: "), "role")).alias("subject"))
+    return _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_subject(F.expr(_SUBJECT)).alias("subject"))
+
+
+@query("""with m as (select conv_id, turn, role, ltrim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as plain, coalesce(text, '') as raw from conversations)
+select lower('r' || conv_id || '@mail.example') as from_email, 'The ' || role as from_name, 'Thread ' || conv_id || '/' || turn as subject, 1700000000 + conv_id * 3600 + turn * 60 as date,
+  list_sort(case when turn % 2 = 0 then ['t' || turn || '@x.example', 's1@corp1.example', 'c' || conv_id || '@x.example'] else ['t' || turn || '@x.example', 's1@corp1.example'] end) as recipients,
+  sha256(trim(case when starts_with(regexp_replace(raw, '\\s+', ' ', 'g'), 'From ') then '>' || plain else plain end, ' ' || chr(10))) as body from m""")
+def mbox_scan(spark, sf_dir):
+    """Conversations written as an mbox archive, read and parsed again."""
+    mail = parse_messages(read_mbox(spark, mail_archive(spark, sf_dir)))
+    people = F.array_sort(F.transform("to", lambda r: r["email"]))
+    return mail.select("from_email", "from_name", "subject", "date", people.alias("recipients"), F.sha2(F.btrim("content", F.lit(" \n")), 256).alias("body"))
+
+
+@query("""select 'c' || c_custkey as uid, 'Visit, ' || c_name as summary, case when c_custkey % 2 = 0 then 'alarm' else 'none' end as description, 1690000000 + c_custkey * 600 as dtstart,
+  'c' || c_custkey || '@corp.example' as organizer_email, c_name as organizer_name, 'n' || c_nationkey || '@x.example' as attendee, 'A: b' as attendee_name, 'ACCEPTED' as partstat from customer""")
+def ics_scan(spark, sf_dir):
+    """Customers written as calendar files, read and parsed again."""
+    events = parse_events(read_ics(spark, calendar_files(spark, sf_dir)))
+    rows = events.select("uid", "summary", "description", "dtstart", "organizer_email", "organizer_name", F.explode("attendees").alias("a"))
+    return rows.select("uid", "summary", "description", "dtstart", "organizer_email", "organizer_name", F.col("a.email").alias("attendee"), F.col("a.name").alias("attendee_name"), "a.partstat")
 
 
 # ---- calendar ----------------------------------------------------------------------------------------------
 
 _CAL = f"""with ev as ({duck("event")}), at0 as ({duck("attendee")}),
 atd as (select *, row_number() over (partition by event_id order by pos, email, name, partstat) as ord from at0),
-e as (select ev.*, n, mine from ev join (select event_id, count(*) as n, arg_min(partstat, ord) filter (where email = '{ME}') as mine from atd group by event_id) using (event_id)),
+e as (select ev.*, coalesce(n, 0) as n, mine from ev left join (select event_id, count(*) as n, arg_min(partstat, ord) filter (where email = '{ME}') as mine from atd group by event_id) using (event_id)),
 r as (select e.*, atd.email, atd.name, atd.ord, atd.email = organizer_email as organized,
   upper(trim(case when atd.email = organizer_email then mine else partstat end)) as answer from e join atd using (event_id) where atd.email <> '{ME}'),
 s as (select email, coalesce(arg_min(name, event_id * 100 + ord) filter (where name <> ''), '') as name, count(*) filter (where organized) as organized_events_count,
@@ -464,7 +489,7 @@ def rrule_monthly(spark, sf_dir):
     return _ruled(spark, sf_dir, "MONTHLY")
 
 
-@query(f"""with ev as ({duck("event")}), w as (select event_id, dtstart, dtend, event_id % 4 = 0 as rec from ev where event_id in (select l_orderkey from lineitem)), lim as (select {NOW} - 730 * 86400 as lo, {NOW} as hi),
+@query(f"""with ev as ({duck("event")}), w as (select event_id, dtstart, dtend, event_id % 4 = 0 as rec from ev), lim as (select {NOW} - 730 * 86400 as lo, {NOW} as hi),
 occ as (select event_id, dtend - dtstart as span, unnest(generate_series(dtstart, least({NOW}, dtstart + 86400 * 30 * 9), 86400 * 30)) as ts from w where rec),
 num as (select *, row_number() over (partition by event_id order by ts) as idx from occ)
 select event_id, 0 as occurrence_idx, dtstart, dtend from w, lim where rec or dtstart between lo and hi
@@ -508,15 +533,30 @@ def ics_dates(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", dates.ics_date(stamp).alias("full_ts"), dates.ics_date(F.substring(stamp, 1, 8)).alias("day_ts"), dates.ics_date(F.lit("2024-01-01")).alias("bad"))
 
 
-@query("select s_suppkey, 'ATTENDEE' as name, s_name as cn, 's' || s_suppkey || '@x.example' as email, '' as role from supplier")
+@query("""select s_suppkey, case s_suppkey % 4 when 2 then 'X-A' else 'ATTENDEE' end as name, case s_suppkey % 4 when 0 then s_name when 1 then 'second' when 3 then s_name || ';' end as cn,
+  's' || s_suppkey || '@x.example' as email, case s_suppkey % 4 when 1 then 'CHAIR' else '' end as role from supplier""")
 def ics_property(spark, sf_dir):
-    line = F.concat(F.lit('ATTENDEE;CN="'), "s_name", F.lit('";X="a:b":MAILTO:S'), F.col("s_suppkey").cast("string"), F.lit("@X.example"))
-    return _read(spark, sf_dir, "supplier").select("s_suppkey", ics.property_name(line).alias("name"), ics.parameter(line, "CN").alias("cn"), ics.attendee(line)["email"].alias("email"), ics.attendee(line)["role"].alias("role"))
-
-
-@query(r"select p_partkey, p_name || chr(10) || 'a,b;c\d\n' as plain from part")
+    key, kind = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 4
+    line = (
+        F.when(kind == 0, F.concat(F.lit('ATTENDEE;CN="'), "s_name", F.lit('";X="a:b":MAILTO:S'), key, F.lit("@X.example")))
+        .when(kind == 1, F.concat(F.lit("ATTENDEE;CN=first;ROLE=CHAIR;CN=second:mailto: s"), key, F.lit("@x.EXAMPLE ")))
+        .when(kind == 2, F.concat(F.lit("X-A:S"), key, F.lit("@x.example")))
+        .otherwise(F.concat(F.lit("ATTENDEE;X=y;CN="), "s_name", F.lit('%;ROLE=:s'), key, F.lit("@x.example")))
+    )
+    name = F.regexp_replace(ics.parameter(line, "CN"), "%", ";")
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", ics.property_name(line).alias("name"), name.alias("cn"), F.trim(ics.attendee(line)["email"]).alias("email"), ics.attendee(line)["role"].alias("role"))
+
+
+@query(r"""select p_partkey, case p_partkey % 4 when 0 then p_name || chr(10) || 'a,b;c\d\n' when 1 then p_name || '\' || chr(10) || '\\' when 2 then ',' || p_name || '\x\' else chr(10) || chr(10) || p_name end as plain from part""")
 def text_unescape(spark, sf_dir):
-    return _read(spark, sf_dir, "part").select("p_partkey", ics.unescape(F.concat("p_name", F.lit("\\na\\,b\\;c\\d\\\\n"))).alias("plain"))
+    kind = F.col("p_partkey") % 4
+    raw = (
+        F.when(kind == 0, F.concat("p_name", F.lit("\\na\\,b\\;c\\d\\\\n")))
+        .when(kind == 1, F.concat("p_name", F.lit("\\\\\\n\\\\\\\\")))
+        .when(kind == 2, F.concat(F.lit("\\,"), "p_name", F.lit("\\x\\")))
+        .otherwise(F.concat(F.lit("\\N\\n"), "p_name"))
+    )
+    return _read(spark, sf_dir, "part").select("p_partkey", ics.unescape(raw).alias("plain"))
 
 
 @query("select o_orderkey, cast(floor(epoch(o_orderdate)) as bigint) - 7200 as ts from orders")
@@ -525,29 +565,39 @@ def mail_dates(spark, sf_dir):
     return _read(spark, sf_dir, "orders").select("o_orderkey", dates.mail_date(shown).alias("ts"))
 
 
-@query("""select o_orderkey, case when length(o_orderpriority) > 12 then substring(o_orderpriority, 1, 10) || '...' else o_orderpriority end as label,
-  case when o_orderkey * 7 // 60 >= 60 then (o_orderkey * 7 // 60 // 60) || 'h ' || (o_orderkey * 7 // 60 % 60) || 'm' else (o_orderkey * 7 // 60) || 'm' end as duration from orders where (o_orderkey * 7) % 60 < 30""")
+@query("""with m as (select *, cast(floor(o_orderkey * 7 / 60 + 0.5) as bigint) as minutes from orders)
+select o_orderkey, case when length(o_orderpriority) > 12 then substring(o_orderpriority, 1, 10) || '...' else o_orderpriority end as label,
+  case when minutes >= 60 then (minutes // 60) || 'h ' || (minutes % 60) || 'm' else minutes || 'm' end as duration from m""")
 def labels(spark, sf_dir):
-    return _read(spark, sf_dir, "orders").where("(o_orderkey * 7) % 60 < 30").select("o_orderkey", text.label(F.col("o_orderpriority"), 12, 10, "...").alias("label"), text.format_duration(F.col("o_orderkey") * 7).alias("duration"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", text.label(F.col("o_orderpriority"), 12, 10, "...").alias("label"), text.format_duration(F.col("o_orderkey") * 7).alias("duration"))
 
 
-@query()
+@query("""select s_suppkey, case s_suppkey % 4 when 2 then s_name || s_name || ' x' when 3 then 'Ж' || s_name || '=?utf-8?X?a?=' else s_name end as name, 'A' || s_name || '!' as body from supplier""")
 def mime_decode(spark, sf_dir):
-    """Encoded words and quoted-printable bodies made of supplier names, decoded again."""
+    """Encoded words of several kinds and quoted-printable bodies made of supplier names, decoded again."""
     from ..functions.mime import decode_header, decode_quoted_printable
 
-    rows = _read(spark, sf_dir, "supplier")
-    word = F.concat(F.lit("=?utf-8?B?"), F.base64(F.col("s_name").cast("binary")), F.lit("?="))
-    return rows.select("s_suppkey", decode_header(word).alias("name"), F.decode(decode_quoted_printable(F.concat(F.lit("=41"), "s_name", F.lit("=\n!")).cast("binary")), "UTF-8").alias("body"))
+    kind, name = F.col("s_suppkey") % 4, F.col("s_name")
+    b = lambda charset, raw: F.concat(F.lit(f"=?{charset}?B?"), F.base64(raw), F.lit("?="))
+    word = (
+        F.when(kind == 0, b("utf-8", name.cast("binary")))
+        .when(kind == 1, F.concat(F.lit("=?ISO-8859-1?q?"), F.replace(F.replace(name, F.lit(" "), F.lit("_")), F.lit("#"), F.lit("=23")), F.lit("?=")))
+        .when(kind == 2, F.concat(b("utf-8", name.cast("binary")), F.lit(" \t"), b("Latin1", name.cast("binary")), F.lit(" x")))
+        .otherwise(F.concat(b("windows-1251", F.concat(F.unhex(F.lit("C6")), name.cast("binary"))), F.lit("=?utf-8?X?a?=")))
+    )
+    return _read(spark, sf_dir, "supplier").select("s_suppkey", decode_header(word).alias("name"), F.decode(decode_quoted_printable(F.concat(F.lit("=41"), name, F.lit("=\n!")).cast("binary")), "UTF-8").alias("body"))
 
 
-@query()
+@query("select doc_id, coalesce(text, '') || chr(10) as content from documents")
 def multipart_text(spark, sf_dir):
-    """Texts of documents wrapped as the plain part of multipart bodies, unwrapped again."""
+    """Texts of documents wrapped as the plain part of multipart bodies, some of them nested, unwrapped again."""
     from ..functions.mime import body_text
 
     docs = _read(spark, sf_dir, "documents")
-    body = F.concat(F.lit("--b\nContent-Type: text/html\n\n<p>x</p>\n--b\nContent-Type: text/plain; charset=utf-8\n\n"), F.coalesce("text", F.lit("")), F.lit("\n--b--\n")).cast("binary")
+    plain = F.concat(F.lit("Content-Type: text/plain; charset=utf-8\n\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    html = F.lit("--b\nContent-Type: text/html\n\n<p>x</p>\n")
+    nested = F.concat(F.lit('--b\nContent-Type: multipart/mixed; boundary="in"\n\n--in\n'), plain, F.lit("--in--\n"))
+    body = F.concat(html, F.when(F.col("doc_id") % 3 == 0, nested).otherwise(F.concat(F.lit("--b\n"), plain)), F.lit("--b--\n")).cast("binary")
     return docs.select("doc_id", body_text(body, F.lit('multipart/alternative; boundary="b"'), F.lit("7bit")).alias("content"))
 
 

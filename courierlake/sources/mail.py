@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions.dates import mail_date
-from ..functions.mime import body_text, decode_header
+from ..functions.mime import body_text, decode_header, decode_headers
 from ..functions.text import is_meeting, recipients, sender_parts
 
 
@@ -43,30 +43,72 @@ def _messages(content: bytes) -> Iterator[tuple[list[dict], bytes]]:
         yield headers, b"".join(body or [])
 
 
-def read_mbox(spark: SparkSession, path: str) -> DataFrame:
-    """One row per message: source_file, msg_pos, headers (folded lines joined), body. Each file is read by one task."""
+#: Row numbers within a partition are below this. Positions are the begin of the split, times 2 ** 20, and this number:
+#: they grow along the file, as a partition has fewer messages than bytes.
+_ROWS = 1 << 33
+
+
+def read_mbox(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per message: source_file, msg_pos (grows along the file), headers (folded lines joined), body.
+
+    Spark splits the files, however long, into pieces at lines that start "From ". Nearly all pieces are a message.
+    The others - such a line inside a header block, or one that is not UTF-8 and counts as absent - belong to the
+    message before them: they are found from a narrow table of flags, of the files that have such pieces only, and
+    only their messages are put together by a shuffle.
+    """
+    text = spark.read.option("lineSep", "\nFrom ").text(path)
+    pieces = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), "value")
+    mbox = F.startswith("value", F.lit("From "))
+    narrow = pieces.select(
+        "file", "block", "row", F.rlike("value", F.lit(r"(?s)\n\r?(?:\n|\z)")).alias("ended"), F.is_valid_utf8(F.substring_index("value", "\n", 1)).alias("known"), mbox.alias("marked")
+    )
+    first = narrow.where("block = 0").groupBy("file").agg(F.min("row").alias("row")).withColumn("first", F.lit(True))
+
+    odd = narrow.where("not ended or not known").select("file").distinct()
+    along = Window.partitionBy("file").orderBy("block", "row")
+    flags = narrow.join(odd, "file", "left_semi").withColumn("nth", F.row_number().over(along))
+    # What precedes the first message ends nothing and has no headers.
+    ended = F.when((F.col("nth") == 1) & ~F.col("marked"), F.lit(True)).otherwise(F.col("ended"))
+    # A piece whose line counts as absent goes on with what the pieces before it have begun.
+    flags = flags.withColumn("ended", ended).withColumn("since", F.sum(F.col("known").cast("int")).over(along))
+    flags = flags.withColumn("state", F.max("ended").over(Window.partitionBy("file", "since").orderBy("block", "row")))
+    flags = flags.withColumn("starts", (F.col("nth") == 1) | (F.col("known") & F.coalesce(F.lag("state").over(along), F.lit(True))))
+    flags = flags.withColumn("message", F.sum(F.col("starts").cast("int")).over(along))
+    parts = flags.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("file", "message"))).where("n > 1").select("file", "row", "message")
+
+    known = first.withColumn("message", F.lit(None).cast("bigint")).unionByName(parts.withColumn("first", F.lit(None).cast("boolean")))
+    known = known.groupBy("file", "row").agg(F.max("first").alias("first"), F.max("message").alias("message"))
+    named = pieces.join(known, ["file", "row"], "left")
+    content = F.when(F.col("first"), F.col("value")).otherwise(F.concat(F.lit("From "), "value"))
+    named = named.select("file", (F.shiftleft("block", 20) + F.col("row") % _ROWS).alias("at"), content.alias("content"), "message")
+    joined = named.where("message is not null").groupBy("file", "message").agg(F.min("at").alias("at"), F.array_sort(F.collect_list(F.struct("at", "content"))).alias("parts"))
+    joined = joined.select("file", "at", F.array_join(F.transform("parts", lambda x: x["content"]), "\n").alias("content"))
+    whole = named.where("message is null").select("file", "at", "content").unionByName(joined)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["path"], batch["content"], strict=True):
-                rows = [(file, i, h, b) for i, (h, b) in enumerate(_messages(bytes(content)))]
-                for lo in range(0, len(rows), 1000):
-                    yield pd.DataFrame(rows[lo : lo + 1000], columns=["source_file", "msg_pos", "headers", "body"])
+            rows = [(file, at, *m) for file, at, content in zip(batch["file"], batch["at"], batch["content"], strict=True) for m in _messages(bytes(content))]
+            yield pd.DataFrame(rows, columns=["source_file", "msg_pos", "headers", "body"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, schemas.MESSAGES)
+    return whole.select("file", "at", F.col("content").cast("binary").alias("content")).mapInPandas(parse, schemas.MESSAGES)
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:
-    """msg_pos, from_email, from_name, to (array of struct(email, name)), subject, date, content, chars, is_meeting."""
+    """source_file, msg_pos, from_email, from_name, to (array of struct(email, name)), subject, date, content, chars, is_meeting."""
 
     def last(name: str):
         return F.try_element_at(F.filter("headers", lambda h: h["name"] == name), F.lit(-1))["value"]
 
-    decoded = messages.withColumn("headers", F.col("headers")).select(
+    def values(*names: str):
+        return F.transform(F.filter("headers", lambda h: h["name"].isin(*names)), lambda h: h["value"])
+
+    # A From that names nobody leaves what an earlier one said.
+    senders = F.filter(F.transform(decode_headers(values("from")), sender_parts), lambda x: x.isNotNull())
+    decoded = messages.select(
         "source_file",
         "msg_pos",
-        sender_parts(decode_header(last("from"))).alias("sender"),
-        F.flatten(F.transform(F.filter("headers", lambda h: h["name"].isin("to", "cc")), lambda h: F.array(h["value"]))).alias("to_raw"),
+        F.try_element_at(senders, F.lit(-1)).alias("sender"),
+        values("to", "cc").alias("to_raw"),
         F.trim(decode_header(F.coalesce(last("subject"), F.lit("")))).alias("subject"),
         mail_date(last("date")).alias("date"),
         body_text(F.col("body"), last("content-type"), last("content-transfer-encoding")).alias("content"),
@@ -87,17 +129,18 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
 
 def mails(parsed: DataFrame) -> DataFrame:
-    """One row per message and recipient other than the sender."""
-    rows = parsed.select("msg_pos", "from_email", "from_name", "subject", "content", "date", F.posexplode("to").alias("rcpt_idx", "r"))
+    """One row per message and recipient other than the sender; source_file and msg_pos name the message."""
+    rows = parsed.select("source_file", "msg_pos", "from_email", "from_name", "subject", "content", "date", F.posexplode("to").alias("rcpt_idx", "r"))
     return rows.where("r.email <> from_email").select(
-        "msg_pos", "rcpt_idx", F.col("from_email").alias("from"), "from_name", F.col("r.email").alias("to"), F.col("r.name").alias("to_name"), "subject", "content", "date"
+        "msg_pos", "rcpt_idx", F.col("from_email").alias("from"), "from_name", F.col("r.email").alias("to"), F.col("r.name").alias("to_name"), "subject", "content", "date", "source_file"
     )
 
 
 def exchanges(parsed: DataFrame, me: str) -> DataFrame:
-    """One row per message and correspondent: contact, name, dir (sent or received), date, chars, is_meeting, msg_pos, rcpt_idx."""
-    common = ["date", "chars", "is_meeting", "msg_pos"]
-    sent = parsed.where(F.col("from_email") == me).select(*common, F.posexplode("to").alias("rcpt_idx", "r")).where(F.col("r.email") != me)
-    sent = sent.select(F.col("r.email").alias("contact"), F.col("r.name").alias("name"), F.lit("sent").alias("dir"), *common, "rcpt_idx")
-    got = parsed.where((F.col("from_email") != me) & (F.col("from_email") != "")).select(F.col("from_email").alias("contact"), F.col("from_name").alias("name"), F.lit("received").alias("dir"), *common, F.lit(0).alias("rcpt_idx"))
-    return sent.unionByName(got)
+    """One row per message and correspondent: contact, name, dir (sent or received), date, chars, is_meeting, source_file, msg_pos, rcpt_idx."""
+    people = lambda email, name, i: F.struct(email.alias("contact"), name.alias("name"), i.cast("int").alias("rcpt_idx"))
+    sent = F.filter(F.transform("to", lambda r, i: people(r["email"], r["name"], i)), lambda p: p["contact"] != me)
+    got = F.array(people(F.col("from_email"), F.col("from_name"), F.lit(0)))
+    own = F.col("from_email") == me
+    rows = parsed.where("from_email <> ''").select("*", own.alias("own"), F.explode(F.when(own, sent).otherwise(got)).alias("p"))
+    return rows.select("p.contact", "p.name", F.when(F.col("own"), F.lit("sent")).otherwise(F.lit("received")).alias("dir"), "date", "chars", "is_meeting", "source_file", "msg_pos", "p.rcpt_idx")

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from courierlake.config import EngineConfig, read_env_file
@@ -152,3 +153,77 @@ def test_stream(spark, tmp_path):
     w = windowed_volume(stream).writeStream.outputMode("update").format("memory").queryName("volume").trigger(availableNow=True).start()
     w.awaitTermination(120)
     assert spark.table("volume").count() > 0
+
+
+def test_archives_are_split_and_ordered(spark, tmp_path):
+    """Messages of several files and splits, odd lines included, equal those of a reader of whole files."""
+    from courierlake.sources.mail import _messages, read_mbox
+
+    odd = b"From a x\nFrom: a@x\nFrom the header\nSubject: one\n\nbody\nFrom \xff\xfe not a line\nmore\n"
+    bare = b"From b x\nSubject: no body\nFrom c x\nX: still the header of b\n\nbody of b\n\n"
+    texts = {
+        "a.mbox": b"noise\n\n" + odd + bare + b"".join(f"From m{k} x\r\nSubject: s{k}\r\n\r\nline {k}\r\n>From here\r\n\r\n".encode() for k in range(300)),
+        "b.mbox": b"From z x\nSubject: \xd0\xbf\xff\nTo: y\n\n\xd0\xbf\n" + bare * 40 + odd * 30,
+        "c.mbox": b"no message at all\n",
+        "d.mbox": b"",
+    }
+    for name, raw in texts.items():
+        (tmp_path / name).write_bytes(raw)
+    want = [(name, [(h["name"], h["value"]) for h in heads], body) for name, raw in sorted(texts.items()) for heads, body in _messages(raw)]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("128m", "700", "61"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = read_mbox(spark, str(tmp_path)).orderBy("source_file", "msg_pos").collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert [(r["source_file"].rsplit("/", 1)[1], [(h["name"], h["value"]) for h in r["headers"]], bytes(r["body"])) for r in got] == want
+        assert len({(r["source_file"], r["msg_pos"]) for r in got}) == len(want)
+
+
+def test_first_name_over_several_archives(spark, tmp_path):
+    (tmp_path / "1.mbox").write_text(message("al@x.example", ME, "a") * 3)
+    (tmp_path / "2.mbox").write_text(message("Al One <al@x.example>", ME, "b") + message("Al Two <al@x.example>", ME, "c"))
+    w = api.load(spark, EngineConfig(ME, NOW), mbox=[str(tmp_path / "2.mbox"), str(tmp_path / "1.mbox")])
+    assert [(r["name"], r["received"]) for r in w.contacts.collect()] == [("al", 5)]
+    (tmp_path / "1.mbox").write_text("")
+    w = api.load(spark, EngineConfig(ME, NOW), mbox=str(tmp_path))
+    assert [(r["name"], r["received"]) for r in w.contacts.collect()] == [("Al One", 2)]
+    assert w.mails.select("source_file", "msg_pos", "rcpt_idx").distinct().count() == w.mails.count() == 2
+
+
+def test_bad_bytes_and_missing_paths(spark, tmp_path):
+    raw = ICS.encode().replace(b"UID:b\r\n", b"UID:b\r\nLOCATION:\xff\xfe\r\nLOCATION:caf\xc3\xa9\r\n")
+    (tmp_path / "a.ics").write_bytes(raw)
+    (tmp_path / "b.ICS").write_bytes(b"BEGIN:VEVENT\nUID:first\nEND:VEVENT\nBEGIN:VEVENT\nUID:open\nBEGIN:VEVENT\nUID:last\nEND:VEVENT")
+    (tmp_path / "c.txt").write_bytes(b"BEGIN:VEVENT\nUID:no\nEND:VEVENT\n")
+    (tmp_path / "inner.ics").mkdir()
+    with pytest.warns(UserWarning, match="not a file"):
+        events = parse_events(read_ics(spark, [str(tmp_path), str(tmp_path / "nothing"), str(tmp_path / "c.txt")])).collect()
+    rows = {r["uid"]: r for r in events}
+    assert set(rows) == {"a", "b", "old", "year", "first", "last", "no"} and rows["b"]["location"] == "café"
+    assert (rows["a"]["source_file"], rows["first"]["source_file"]) == ("a.ics", "b.ICS") and rows["a"]["event_pos"] < rows["b"]["event_pos"] < rows["old"]["event_pos"]
+    with pytest.warns(UserWarning):
+        assert read_ics(spark, str(tmp_path / "nothing")).isEmpty()
+
+
+def test_calendar_without_mail_and_tables_that_stay(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "c.ics").write_bytes(ICS.encode())
+    w = api.load(spark, EngineConfig(ME, NOW), ics=str(tmp_path / "in"))
+    assert w.contacts.isEmpty() and w.mails.isEmpty() and w.attendees.where("contact_email is not null").isEmpty()
+    ids = [(r["event_id"], r["occurrence_idx"]) for r in w.events.orderBy("event_id").collect()]
+    assert [k for _, k in ids] == [0, 1, 2, 3, 0, 0] and len(set(ids)) == 6
+    assert w.overall()[0].count() == 2 and w.graph()[0].count() == 1
+    api.save(w, str(tmp_path / "kept"))
+    again = api.reopen(spark, w.config, str(tmp_path / "kept"))
+    assert sorted(map(str, again.attendees.collect())) == sorted(map(str, w.attendees.collect())) and again.decisions is None
+    found = again.node_detail(" Bob@x.example ").collect()
+    assert [(r["email"], r["mail_score"], r["total_events_count"]) for r in found] == [("bob@x.example", None, 4)]
+
+
+def test_an_earlier_sender_stays(spark, tmp_path):
+    (tmp_path / "a.mbox").write_text("From x\nFrom: Al <al@x.example>\nFrom: nobody\nTo: you@example.com\n\nhi\n")
+    (tmp_path / "b.mbox").write_text("From x\nFrom: Al <al@x.example>\nFrom: B <b@x.example>\nTo: you@example.com\n\nhi\n")
+    w = api.load(spark, EngineConfig(ME, NOW), mbox=str(tmp_path))
+    assert sorted(r["email"] for r in w.contacts.collect()) == ["al@x.example", "b@x.example"]
