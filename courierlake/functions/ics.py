@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_HEAD = r'^((?:[^":]|"[^"]*")*):([\s\S]*)$'
+_HEAD = r'^((?:[^":]++|"[^"]*+")*+):([\s\S]*)$'
 
 
 def property_head(line: Column) -> Column:
@@ -24,15 +24,18 @@ def property_value(line: Column) -> Column:
 def parameter(line: Column, name: str) -> Column:
     """Value of a parameter without quotes, null if absent; the last one counts."""
     pieces = F.filter(F.split(property_head(line), ";"), lambda p: F.startswith(p, F.lit(f"{name}=")))
-    return F.btrim(F.substring(F.try_element_at(pieces, F.lit(-1)), len(name) + 2, 100_000), F.lit('"'))
+    return F.btrim(F.substring(F.try_element_at(pieces, F.lit(-1)), len(name) + 2, 2**31 - 1), F.lit('"'))
 
 
 def unescape(text: Column) -> Column:
     """\\n and \\N to line breaks, \\, \\; and \\\\ to the character; other backslashes stay."""
-    kept = F.replace(text, F.lit("\\\\"), F.lit("\u0001"))
-    for code, char in (("\\n", "\n"), ("\\N", "\n"), ("\\,", ","), ("\\;", ";")):
-        kept = F.replace(kept, F.lit(code), F.lit(char))
-    return F.replace(kept, F.lit("\u0001"), F.lit("\\"))
+    def plain(piece: Column) -> Column:
+        for code, char in (("\\n", "\n"), ("\\N", "\n"), ("\\,", ","), ("\\;", ";")):
+            piece = F.replace(piece, F.lit(code), F.lit(char))
+        return piece
+
+    # Between two backslashes in a row, which stand for one, every escape is whole.
+    return F.array_join(F.transform(F.split(text, r"\\\\"), plain), "\\")
 
 
 def mail_address(value: Column) -> Column:

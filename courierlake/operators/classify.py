@@ -1,10 +1,12 @@
 """Optional classification of contacts by an external model: off unless a client is passed in.
 
-The client is a picklable callable from a prompt to an answer. Batches are voted on independently.
+The client is a picklable callable from a prompt to an answer. Batches are voted on independently, each by one task, so
+at most as many calls run at once as the table has partitions; an error of the client is an attempt without an answer.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -25,8 +27,17 @@ def parse_answer(text: str, n: int) -> list[int] | None:
     return digits if len(digits) == n else None
 
 
-def collect_votes(contacts: DataFrame, client: Callable[[str], str]) -> DataFrame:
-    """email, vote_no, vote: up to VOTES complete answers a batch, incomplete ones retried."""
+def collect_votes(contacts: DataFrame, client: Callable[[str], str], at_once: int | None = None, delay: float = 0.0) -> DataFrame:
+    """email, vote_no, vote: VOTES complete answers a batch, incomplete ones and errors retried; none where these are not reached.
+
+    at_once: most calls at a time. delay: seconds that a task waits after each answer.
+    """
+
+    def answer_to(rows) -> list[int] | None:
+        try:
+            return parse_answer(client(prompt(rows)), len(rows))
+        except Exception:  # noqa: BLE001  whatever the client raises is an attempt that failed
+            return None
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
@@ -37,14 +48,16 @@ def collect_votes(contacts: DataFrame, client: Callable[[str], str]) -> DataFram
                     answer, tries = None, 0
                     while answer is None and tries <= RETRIES and attempts < MAX_ATTEMPTS:
                         attempts, tries = attempts + 1, tries + 1
-                        answer = parse_answer(client(prompt(rows)), len(rows))
+                        answer = answer_to(rows)
                     if answer is not None:
+                        time.sleep(delay)
                         out += [(e, done, v) for (_, e), v in zip(rows, answer, strict=True)]
                         done += 1
                 if done == VOTES:
                     yield pd.DataFrame(out, columns=["email", "vote_no", "vote"])
 
-    return contacts.select("name", "email").mapInPandas(vote, "email string, vote_no int, vote int")
+    listed = contacts.select("name", "email")
+    return (listed.coalesce(at_once) if at_once else listed).mapInPandas(vote, "email string, vote_no int, vote int")
 
 
 def unanimous(votes: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..config import EngineConfig
 from ..files import written
+from ..functions.rrule import parse_rule
 from ..operators import calendar as cal
 from ..operators import curation, graph, groups, ranking, stats
 from ..sources.calendar import parse_events, read_ics
@@ -73,6 +74,19 @@ class Workspace:
             "top_org": cal.top_organisation(self.attendees),
         }
 
+    def counters(self) -> DataFrame:
+        """counter, n: rows of mail and contacts; masters, occurrences and rules that are not expanded of calendars."""
+        rows = F.count(F.lit(1)).cast("bigint")
+        parts = [df.agg(rows.alias("n")).select(F.lit(name).alias("counter"), "n") for name, df in (("mails", self.mails), ("contacts", self.contacts), ("candidates", self.filtered))]
+        if self.events is not None:
+            unsupported = (F.col("occurrence_idx") == 0) & (F.col("rrule") != "") & parse_rule(F.col("rrule"))["reason"].isNotNull()
+            counts = self.events.agg(F.count_if(F.col("occurrence_idx") == 0).alias("masters"), F.count_if(F.col("occurrence_idx") > 0).alias("occurrences"), F.count_if(unsupported).alias("unsupported_rules"))
+            parts.append(counts.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, counts.columns)), F.array(*counts.columns))).alias("counter", "n")))
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
     def node_detail(self, email: str) -> DataFrame:
         """One contact with its mail score and, where it has one, its calendar score and counts."""
         wanted = email.strip().lower()

@@ -141,3 +141,34 @@ def test_meetings_and_subjects(spark):
     assert one(spark, text.format_duration(F.lit(3700))) == "1h 2m"
     assert one(spark, text.blend_colors(F.array(F.lit("#000000"), F.lit("#ffffff")))) == "#808080"
     assert one(spark, text.percent(F.lit(1), F.lit(0))) == 0
+
+
+@pytest.mark.parametrize(
+    "given, wanted",
+    [
+        ("Mon, 25 Dec 2023 10:30:00 +0000 (a (b (c (d (e (f (g) h))))))", 1703500200),
+        ("25 Dec 23 10:30:00 Z", 1703500200),
+        ("25 Dec 123 10:30 A", 1703500200),
+        ("25 Dec 93 10:30 GMT", 756815400),
+        ("25 Dec 2023 10:30 J", None),
+        ("25 Dec 2023 10:30 +0000 (open", 1703500200),
+        ("25 Dec 2023 10:30 +0000 )", None),
+        ("25 Dec 2023 05:30 (x) EST", 1703500200),
+    ],
+)
+def test_dates_of_old_forms(spark, given, wanted):
+    assert one(spark, dates.mail_date(F.col("d")), d=given) == wanted
+
+
+def test_comments(spark):
+    rows = ["", "a", "(a)b", "a(b(c)d)e", "a(b", "a)b(c)", "((((((((x))))))))y", "é(ü)漢"]
+    got = [r["x"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string").orderBy("i").select(dates.strip_comments(F.col("t")).alias("x")).collect()]
+    assert got == ["", "a", "b", "ae", "a", "a)b", "y", "é漢"]
+
+
+def test_escapes_of_calendar_texts(spark):
+    rows = ["\\n", "\\\\n", "\\\\\\n", "a\u0001b", "\\x\\", "\\,\;\\N", "\\\\\\\\"]
+    got = [r["x"] for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i").select(ics.unescape(F.col("t")).alias("x")).collect()]
+    assert got == ["\n", "\\n", "\\\n", "a\u0001b", "\\x\\", ",;\n", "\\\\"]
+    long = "ATTENDEE;CN=" + "n" * 150_000 + ":mailto:a@x"
+    assert len(one(spark, ics.parameter(F.col("d"), "CN"), d=long)) == 150_000

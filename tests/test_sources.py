@@ -133,6 +133,25 @@ def test_votes(spark):
     assert classify.unanimous(split).first()["cls"] == 2
 
 
+def test_errors_of_the_client_are_attempts(spark):
+    calls = []
+
+    def client(text):
+        calls.append(1)
+        if len(calls) % 2:
+            raise RuntimeError("busy")
+        return "1 0"
+
+    contacts = spark.createDataFrame([("A", "a@x"), ("B", "b@x")], "name string, email string").coalesce(1)
+    assert {(r["email"], r["cls"]) for r in classify.unanimous(classify.collect_votes(contacts, client, at_once=1)).collect()} == {("a@x", 1), ("b@x", 0)}
+    assert classify.collect_votes(contacts, lambda text: 1 / 0).isEmpty()
+
+
+def test_counters(spark, tmp_path):
+    got = {r["counter"]: r["n"] for r in workspace(spark, tmp_path).counters().collect()}
+    assert got == {"mails": 7, "contacts": 5, "candidates": 2, "masters": 3, "occurrences": 3, "unsupported_rules": 1}
+
+
 def test_env_file(tmp_path):
     path = tmp_path / ".env"
     path.write_text("# note\nA='x y'\nB=2\n")
