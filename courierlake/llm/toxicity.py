@@ -9,7 +9,8 @@ correlated groups. EM estimates each voter's firing rates in both classes, that
 correlations are the excess of joint votes over what the model expects, and each voter's evidence is divided
 by the number of voters that it correlates with (a word and its beginnings count once). The two estimates
 alternate. All rates are drawn alike, by SMOOTHING rows, towards the rate in the whole sample, so that a voter
-without votes says nothing about any row; silent voters take no part at all. The posteriors are the soft labels
+without votes says nothing about any row; silent voters take no part at all. That no voter at all votes for a row is
+one joint event, with a rate in each class: that many voters abstain together is no independent evidence. The posteriors are the soft labels
 of a logistic regression over the presence of words, word beginnings, families and patterns, which scores every
 whole text.
 
@@ -114,6 +115,8 @@ def label_model(votes: np.ndarray, annotator: int | None, prior: float = 0.1, ro
     towards = np.vstack([mean, mean])
     strength = np.full(m, SMOOTHING)
     groups = np.ones(m)
+    others = np.arange(m) != (-1 if annotator is None else annotator)
+    silent = votes[:, others].sum(1) == 0
     if annotator is None:
         agreed = votes.sum(1)
         q = np.clip(prior * agreed / max(float(agreed.mean()), 1e-9), 0.01, 0.95)
@@ -135,7 +138,9 @@ def label_model(votes: np.ndarray, annotator: int | None, prior: float = 0.1, ro
             if annotator is not None:
                 groups[annotator] = 1.0
         p = (q.sum() + 5 * prior) / (n + 5)
-        odds = np.log(p / (1 - p)) + ((votes * np.log(rates[1] / rates[0]) + (1 - votes) * np.log((1 - rates[1]) / (1 - rates[0]))) / groups).sum(1)
+        evidence = (votes * np.log(rates[1] / rates[0]) + (1 - votes) * np.log((1 - rates[1]) / (1 - rates[0]))) / groups
+        none = (weight @ silent + SMOOTHING * silent.mean()) / (weight.sum(1) + SMOOTHING)
+        odds = np.log(p / (1 - p)) + np.where(silent, np.log(none[1] / none[0]), evidence[:, others].sum(1)) + evidence[:, ~others].sum(1)
         q = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
     return q, rates, groups
 

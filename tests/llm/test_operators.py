@@ -609,9 +609,11 @@ def test_label_model_equals_plain_em():
                 fire[c][j] = (sum(w * v[j] for w, v in zip(weight, votes)) + strength * towards) / (sum(weight) + strength)
             fire[0][j] = min(fire[0][j], fire[1][j])
         p = (sum(q) + 5 * 0.2) / (n + 5)
-        for v in votes:
-            one, zero = p, 1 - p
-            for j in range(m):
+        silent = [not any(v[:4]) for v in votes]
+        none = [(sum((x if c else 1 - x) for x, z in zip(q, silent) if z) + toxicity.SMOOTHING * sum(silent) / n) / (sum(x if c else 1 - x for x in q) + toxicity.SMOOTHING) for c in (0, 1)]
+        for v, nothing in zip(votes, silent):
+            one, zero = p * (none[1] if nothing else 1), (1 - p) * (none[0] if nothing else 1)
+            for j in [4] if nothing else range(m):
                 one *= fire[1][j] if v[j] else 1 - fire[1][j]
                 zero *= fire[0][j] if v[j] else 1 - fire[0][j]
             new.append(one / (one + zero))
