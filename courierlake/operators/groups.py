@@ -33,22 +33,23 @@ def message_members(mails: DataFrame, me: str) -> DataFrame:
 def event_members(events: DataFrame, me: str) -> DataFrame:
     """(label, member) by event series; a title that several series have is told apart by date, then by number.
 
-    The numbering looks at all labels with the same base, which one group holds: series of equal title.
+    The first series of a title and the first further one of a date are minima; only series that share both with an
+    earlier one are numbered, in a window for each title.
     """
     series = events.groupBy("uid").agg(
         F.min("event_id").alias("first_id"), F.min_by(F.trim("summary"), F.when(F.trim("summary") != "", F.col("event_id"))).alias("title"), F.min("dtstart").alias("dtstart")
     )
     members = events.select("uid", F.explode("attendees").alias("a")).select("uid", F.lower(F.trim("a.email")).alias("member")).where((F.col("member") != "") & (F.col("member") != me)).distinct()
     sizes = members.groupBy("uid").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
-    kept = series.join(sizes, "uid").withColumn("base", F.coalesce("title", F.lit("(untitled event)")))
-    kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("base").orderBy("first_id"))).withColumn("date", day(F.col("dtstart")))
-    dated = F.when(F.col("date") != "", F.concat("base", F.lit(" — "), "date"))
-    later = F.sum((F.col("nth") > 1).cast("int")).over(Window.partitionBy("base", "date").orderBy("first_id"))
-    kept = kept.withColumn("dated", dated).withColumn("nth_date", later)
-    label = F.when(F.col("nth") == 1, F.col("base")).when(F.col("dated").isNotNull() & (F.col("nth_date") == 1), F.col("dated"))
-    kept = kept.withColumn("label", label)
-    numbered = F.row_number().over(Window.partitionBy("base").orderBy(F.col("label").isNull().desc(), "first_id")) + 1
-    kept = kept.withColumn("label", F.coalesce("label", F.concat("base", F.lit(" ("), numbered.cast("string"), F.lit(")"))))
+    kept = series.join(sizes, "uid").withColumn("base", F.coalesce("title", F.lit("(untitled event)"))).withColumn("date", day(F.col("dtstart")))
+    kept = kept.join(kept.groupBy("base").agg(F.min("first_id").alias("first_of_base")), "base")
+    later = kept.where((F.col("first_id") != F.col("first_of_base")) & (F.col("date") != "")).groupBy("base", "date").agg(F.min("first_id").alias("first_of_date"))
+    kept = kept.join(later, ["base", "date"], "left")
+    label = F.when(F.col("first_id") == F.col("first_of_base"), F.col("base")).when(F.col("first_id") == F.col("first_of_date"), F.concat("base", F.lit(" — "), "date"))
+    kept = kept.withColumn("label", label).select("uid", "base", "first_id", "label", "dtstart")
+    numbered = F.row_number().over(Window.partitionBy("base").orderBy("first_id")) + 1
+    rest = kept.where("label is null").withColumn("label", F.concat("base", F.lit(" ("), numbered.cast("string"), F.lit(")")))
+    kept = kept.where("label is not null").unionByName(rest)
     return members.join(kept.select("uid", "label", "dtstart"), "uid").select("label", "member", "uid")
 
 
