@@ -619,7 +619,7 @@ def test_label_model_equals_plain_em():
             new.append(one / (one + zero))
         q = new
     assert np.allclose(got, q, atol=1e-6) and np.allclose(rates, fire, atol=1e-6)
-    assert rates[0, 3] == rates[1, 3]
+    assert max(rates[:, 3]) < 1e-6
 
 
 def test_few_labels_do_not_collapse(spark):
