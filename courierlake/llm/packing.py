@@ -6,7 +6,7 @@ window may be opened, the fullest is topped up with the head of the piece and em
 the end of a partition - at most OPEN_WINDOWS - are merged in groups of MERGE_PARTITIONS partitions, again
 into full windows; what then remains of a group, less than one window, is cut at powers of two, where no
 padding is needed. Memory per task: the open windows, the merge group of bounded size, one text with its ids, and a
-cache of token ids by word, bounded in bytes. Added tokens of the vocabulary (<|endoftext|>) in a text have their
+cache of token ids by word, bounded in bytes, which the tasks of a worker process share. Added tokens of the vocabulary (<|endoftext|>) in a text have their
 own ids. A sequence is due where the earliest of its documents is.
 
 Defined cases: null text counts as empty and yields the separator alone; ids may be null or repeated and are
@@ -31,7 +31,7 @@ from .shared import materialize
 OPEN_WINDOWS = 16
 MERGE_PARTITIONS = 64
 #: Of the cached words and their ids, with what Python needs for each.
-CACHE_BYTES, _ENTRY = 48 << 20, 160
+CACHE_BYTES, _ENTRY = 96 << 20, 160
 _SPACE_RUN = re.compile(r"\s | \s|^\s|\s\Z")
 
 
@@ -115,6 +115,16 @@ class WordTokenizer:
         self._held += len(raw) + sum(map(len, words)) + _ENTRY * len(words)
 
 
+_loaded: dict[str, WordTokenizer] = {}
+
+
+def tokenizer_of(path: str) -> WordTokenizer:
+    """The tokenizer of a file with its added tokens, loaded once in each worker process, whose tasks share its cache."""
+    if path not in _loaded:
+        _loaded[path] = WordTokenizer(path, added=added_tokens(path))
+    return _loaded[path]
+
+
 class OpenWindows:
     """The open windows of one partition; place() returns the pieces of windows that it completed."""
 
@@ -189,7 +199,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=False)] + [pa.array([part] * len(rows), pa.int32()), pa.array([still_open] * len(rows), pa.bool_())], schema=fields)
 
         for b in batches:
-            words = words or WordTokenizer(tokenizer, added=added_tokens(tokenizer))
+            words = words or tokenizer_of(tokenizer)
             fields = fields or _fields(b.schema.field(0).type)
             for doc, text, when in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids = words.encode(text.as_py() or "") + end
