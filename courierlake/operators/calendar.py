@@ -28,6 +28,15 @@ def expand_events(events: DataFrame, now: int, lookback_days: int = rules.LOOKBA
     return (master.unionByName(repeats) if include_master else repeats).drop("rule")
 
 
+def spread(scanned: DataFrame) -> DataFrame:
+    """A scan of fewer parts than there are cores, and so of a small table, dealt to all of them; others as they are.
+
+    For rows that become many, as those of recurrence rules; plans with shuffles are dealt out already.
+    """
+    cores = scanned.sparkSession.sparkContext.defaultParallelism
+    return scanned.repartition(cores) if scanned.rdd.getNumPartitions() < cores else scanned
+
+
 def attendee_stats(events: DataFrame, me: str) -> DataFrame:
     """One row per attendee other than me: events organised and invited to, mean length and size, acceptance."""
     own = F.get(F.filter("attendees", lambda a: F.lower(F.trim(a["email"])) == me), F.lit(0))["partstat"]

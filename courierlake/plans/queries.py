@@ -466,7 +466,7 @@ _CUT = "s + 86400 * 400"
 def _ruled(spark, sf_dir, freq: str, extra: str = ""):
     orders = _read(spark, sf_dir, "orders").selectExpr("o_orderkey as k", "unix_timestamp(o_orderdate) as s", f"concat('FREQ={freq};INTERVAL=', 1 + o_orderkey % 3, ';COUNT=', 1 + o_orderkey % 12, '{extra}') as rule")
     # The rule is a column of its own, so that it is parsed once a row.
-    orders = orders.select("k", "s", rrule.parse_rule(F.col("rule")).alias("rule"))
+    orders = cal.spread(orders).select("k", "s", rrule.parse_rule(F.col("rule")).alias("rule"))
     found = rrule.occurrences(F.col("rule"), F.col("s"), F.col("s") + 86400 * 400)
     return orders.select("k", F.posexplode(found).alias("pos", "ts")).select("k", (F.col("pos") + 1).cast("bigint").alias("idx"), "ts")
 
