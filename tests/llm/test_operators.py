@@ -348,6 +348,18 @@ def test_tokens_equal_the_library():
             assert np.frombuffer(words.encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids, (kind, t)
 
 
+def test_ids_of_all_documents_equal_the_plain_call():
+    """The rank file, as the query uses it, against the JSON file called plainly, on every text of a table."""
+    import duckdb
+
+    own = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary("json"))
+    words = packing.tokenizer_of(vocabulary("tiktoken"))
+    texts = [t for (t,) in duckdb.sql("select coalesce(text, '') from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    assert len(texts) >= 1000
+    for t in [*texts, *(t[:200] + "<|endoftext|> " + t[200:400] for t in texts[:200]), *(t.replace(". ", ".  \n ") for t in texts[:100])]:
+        assert np.frombuffer(words.encode(t), "<u4").tolist() == own.encode(t, add_special_tokens=False).ids
+
+
 @pytest.mark.parametrize("kind", ["tiktoken", "json"])
 def test_packed_ids_have_added_tokens(spark, kind):
     own = pytest.importorskip("tokenizers").Tokenizer.from_file(vocabulary("json"))
