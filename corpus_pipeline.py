@@ -69,7 +69,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences of at most 1024 tokens, in training order."""
     import public_tokenizers
 
-    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), digests={"ids_crc32": F.crc32("ids")}, due=place_in_files(docs))
+    packed = pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), digests={"ids_crc32": F.crc32("ids")}, due=place_in_files(docs))
     packed = packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "due")
     return packed.orderBy("due", "sequence_id", "offset")
 
