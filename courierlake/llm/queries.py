@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .exact_dedup import exact_groups
+from .importance import resample
 from .jaccard_join import similar_documents
 from .language import fit_languages, predict_languages
 from .licenses import TEMPLATES, full_texts, scan_licenses
 from .media import decode_media, encode_media
 from .mixing import mix_documents
 from .packing import pack_documents
+from .pii import find_pii, pii_digests
+from .pii_sql import PII_SQL
 from .shared import table
 from .substring_dedup import remove_repeats, span_digests
 from .toxicity import fit_toxicity, held_out, score_toxicity
@@ -83,8 +87,38 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(docs.drop("lang"), model).withColumn("held_out", out).select("doc_id", "held_out", "lang_pred", "score", "languages")
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digests(find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=10, least=20, seed=2024)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=30, share=80, top=2000)
+
+
+_ALL = (
+    op1_suffix_dedup,
+    op2_mix_sources,
+    op3_exact_dedup,
+    op4_media,
+    op5_packing,
+    op6_jaccard_join,
+    op7_toxicity,
+    op8_url_filter,
+    op9_license_scan,
+    op10_language,
+    op11_pii,
+    op12_importance_resampling,
+    op13_collocations,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_mix_sources, op3_exact_dedup, op4_media, op5_packing, op6_jaccard_join, op7_toxicity, op8_url_filter, op9_license_scan, op10_language)}
+    return {f.__name__: f for f in _ALL}
 
 
 MIX_SQL = r"""
@@ -162,5 +196,73 @@ select doc_id, name as license, coalesce(score, 0.0::double) as score from d lef
 """
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+# CRC-32 by its table of 256 steps, for each distinct word.
+IMPORTANCE_SQL = rf"""
+with steps as (
+  select list(c order by i) as t
+  from (select i, list_reduce([i::bigint] || range(8)::bigint[], lambda a, b: case when a % 2 = 1 then xor(a >> 1, 3988292384::bigint) else a >> 1 end) as c from range(256) r(i))),
+sides as (
+  select 0 as own, row_number() over () as rn, doc_id, text from documents
+  union all select 1, row_number() over (), null, text from benchmark),
+words as (select own, rn, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from sides),
+bytes as (select w, list_transform(range(octet_length(encode(w))), lambda i: ('0x' || substr(hex(encode(w)), 2 * i + 1, 2))::bigint) as b from (select distinct w from words)),
+hashed as (select w, xor(list_reduce([4294967295::bigint] || b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295::bigint) % 10000 as bucket from bytes, steps),
+features as (select own, rn, bucket from words join hashed using (w)),
+counts as (select bucket, count(*) filter (where own = 0) as s, count(*) filter (where own = 1) as t from features group by bucket),
+sums as (select sum(s)::double as s_all, sum(t)::double as t_all from counts),
+gains as (select bucket, floor(1000 * ln((t + 1)::double * (s_all + 10000) / ((s + 1)::double * (t_all + 10000))))::bigint as gain from counts, sums),
+gained as (select rn, count(*) as n, sum(gain)::bigint as total from features join gains using (bucket) where own = 0 group by rn),
+weighed as (
+  select rn, doc_id, coalesce(n, 0) as n_features, case when n is null then 0 else (total - ((total % n) + n) % n) // n end as weight,
+    ('0x' || left(sha256('2024:' || coalesce(doc_id::varchar, '')), 8))::bigint as h
+  from sides left join gained using (rn) where own = 0),
+scored as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296)))::bigint as score from weighed),
+ranked as (select rn, row_number() over (order by score desc, doc_id nulls first, n_features) as rank, count(*) over () as able from scored where n_features >= 20)
+select doc_id, n_features::bigint as n_features, weight::bigint as weight, score::bigint as score, case when rank <= 10 * able // 100 then rank end as rank
+from scored left join ranked using (rn)
+"""
+
+COLLOCATION_SQL = rf"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+numbered as (select *, row_number() over () as p from pieces),
+worded as (select lang, p, unnest(w) as w1, unnest(range(len(w))) as i from (select lang, p, regexp_extract_all(piece, '[^\x20\x09]+') as w from numbered)),
+along as (
+  select lang, w1, lead(w1, 1) over o as w2, lead(w1, 2) over o as w3, lead(w1, 3) over o as w4
+  from worded window o as (partition by p order by i)),
+grams as (
+  select lang, 1 as m, w1 as phrase from along
+  union all select lang, 2, w1 || ' ' || w2 from along where w2 is not null
+  union all select lang, 3, w1 || ' ' || w2 || ' ' || w3 from along where w3 is not null
+  union all select lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 from along where w4 is not null),
+f as (select lang, phrase, m, count(*)::hugeint as a from grams group by all),
+totals as (select lang, sum(a)::bigint as n from f where m = 1 group by lang),
+cand as (select *, string_split(phrase, ' ') as w from f where m > 1 and a >= 30),
+inner_of as (
+  select c.lang, array_to_string(c.w[i:i + k - 1], ' ') as phrase, max(c.a) as longer
+  from cand c, range(2, 4) s(k), range(1, 4) t(i) where k < c.m and i + k - 1 <= c.m group by all),
+own as (select c.* from cand c left join inner_of o using (lang, phrase) where longer is null or 100 * longer < 80 * a),
+cuts as (
+  select c.lang, c.phrase, c.a, k, x.a as l, y.a as r, (2000000 * c.a) // (x.a + y.a) as score
+  from own c, range(1, 4) s(k)
+  join f x on x.lang = c.lang and x.phrase = array_to_string(c.w[1:k], ' ')
+  join f y on y.lang = c.lang and y.phrase = array_to_string(c.w[k + 1:], ' ')
+  where k < c.m),
+best as (select *, row_number() over (partition by lang, phrase order by score, k) as j from cuts),
+ranked as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best where j = 1)
+select lang, rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n, score::bigint as score
+from ranked join totals using (lang) where rank <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": MIX_SQL, "op3_exact_dedup": EXACT_SQL, "op8_url_filter": URL_SQL, "op9_license_scan": LICENSE_SQL}
+    return {
+        "op2_mix_sources": MIX_SQL,
+        "op3_exact_dedup": EXACT_SQL,
+        "op8_url_filter": URL_SQL,
+        "op9_license_scan": LICENSE_SQL,
+        "op11_pii": PII_SQL,
+        "op12_importance_resampling": IMPORTANCE_SQL,
+        "op13_collocations": COLLOCATION_SQL,
+    }
