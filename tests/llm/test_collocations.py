@@ -61,32 +61,47 @@ def test_empty_table(spark):
     assert C.collocations(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-@pytest.mark.parametrize("shard, distinct, chunk, row, merged, fan", [(1 << 20, 60_000, 1 << 18, 1024, 1 << 20, 8), (40, 60_000, 11, 2, 3, 1), (7, 9, 3, 1, 50, 16), (1, 60_000, 1, 5, 1, 2)])
-def test_shards_and_merges(monkeypatch, shard, distinct, chunk, row, merged, fan):
+def merged(batches, merge, key=lambda x: (x["block"], x["kind"], x["lang"].encode())):
+    rows, out = sorted((x for b in batches for x in b.to_pylist()), key=key), []
+    for i in range(0, len(rows), 5):
+        out += merge.add(pa.RecordBatch.from_pylist(rows[i : i + 5], batches[0].schema))
+    return [*out, *merge.merged()]
+
+
+@pytest.mark.parametrize("shard, distinct, chunk, row, most, number, finer", [(1 << 20, 60_000, 1 << 18, 512, 1 << 20, 8, None), (40, 60_000, 11, 2, 3, 1, 4), (7, 9, 3, 1, 50, 16, 64), (1, 60_000, 1, 5, 1, 2, None)])
+def test_shards_and_merges(monkeypatch, shard, distinct, chunk, row, most, number, finer):
     monkeypatch.setattr(C, "ROW", row)
     rows = [r[1:3] for r in fixture()]
     batches = []
     for part in (rows[::3], rows[1::3], rows[2::3]):
-        own = C.Shard(fan, shard, distinct, chunk)
+        own = C.Shard(number, shard, distinct, chunk)
         for text, lang in part:
             batches += own.add(lang or "und", (text or "").encode())
         batches += own.tries()
-    paths = sorted((x for b in batches for x in b.to_pylist()), key=lambda x: (x["lang"], x["head"].encode(), x["part"]))
-    merge, nodes = C.Merge(2, merged), []
-    for i in range(0, len(paths), 5):
-        for b in merge.add(pa.RecordBatch.from_pylist(paths[i : i + 5], batches[0].schema)):
-            nodes += b.to_pylist()
-    for b in merge.nodes():
-        nodes += b.to_pylist()
-    f, _ = counted(rows)
-    ones = Counter()
+    if finer:
+        coarse = {(x["lang"], x["block"]) for b in batches for x in b.to_pylist()}
+        batches = merged(batches, C.Merge(2, most, finer))
+        assert coarse == {(x["lang"], x["block"] * number // finer) for b in batches for x in b.to_pylist()}
+    nodes = [x for b in merged(batches, C.Merge(2, most)) for x in b.to_pylist()]
+    f, n = counted(rows)
+    total = Counter()
     for x in nodes:
-        if x["size"] == 1:
-            ones[x["lang"], x["phrase"]] += x["a"]
-    assert ones == {(lang, p[0]): a for lang, g in f.items() for p, a in g.items() if len(p) == 1}
-    want = {(lang, " ".join(p)): (a, g[p[:2]] if len(p) > 2 else None, g[p[:3]] if len(p) > 3 else None) for lang, g in f.items() for p, a in g.items() if len(p) > 1 and a > 1}
-    several = [x for x in nodes if x["size"] > 1]
-    assert {(x["lang"], x["phrase"]): (x["a"], x["l2"], x["l3"]) for x in several} == want and len(several) == len(want)
+        if x["size"] == 0:
+            total[x["lang"]] += x["a"]
+    assert total == +n
+    want = {(lang, " ".join(p)): (a, g[p[:2]] if len(p) > 2 else None, g[p[:3]] if len(p) > 3 else None) for lang, g in f.items() for p, a in g.items() if a > 1}
+    phrases = [x for x in nodes if x["size"]]
+    assert {(x["lang"], x["phrase"]): (x["a"], x["l2"], x["l3"]) for x in phrases} == want and len(phrases) == len(want)
+
+
+def test_two_steps(spark, monkeypatch):
+    """More blocks than one step deals out."""
+    monkeypatch.setattr(C, "FINE", 4)
+    monkeypatch.setattr(C, "TASK_BLOCKS", 2)
+    monkeypatch.setattr(C, "BLOCK_BYTES", 1 << 9)
+    rows = fixture()
+    df = spark.createDataFrame(rows, SCHEMA).coalesce(2)
+    assert sorted(map(tuple, C.collocations(df, 3, 80, 50).collect())) == brute([r[1:3] for r in rows], 3, 80, 50)
 
 
 def test_exact_beyond_64_bits(spark):
