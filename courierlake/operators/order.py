@@ -1,8 +1,15 @@
-"""Ranks of all rows of a table without sorting it in one task.
+"""Ranks and numbers of all rows of a table without sorting it in one task.
 
-Rows are counted by distinct value; the values fall into bands of neighbours, whose number is bounded by the range of
-doubles, not by the rows. Ranks add up inside each band, bands add up in one small table, and the rows find the rank
-of their value by a join, which adaptive execution splits where many rows share a value.
+Ranks by a number: rows are counted by distinct value, and the distinct values fall into ranges whose splitters come
+from a quantile sketch of them, so the ranges follow any distribution. Sums of ranges add up in one small table, values
+inside a range in a window, and the rows find the rank of their value by a join, which adaptive execution splits where
+many rows share a value.
+
+Numbers in an order that tells all rows apart: the rows are dealt out by ranges of the whole order, ties included, so
+rows that are equal but for their last key are split like any others; each range is numbered from the sum of the ranges
+before it.
+
+Null values come after all others, whatever the direction, and share a rank; null ties come last among equal values.
 """
 
 from __future__ import annotations
@@ -10,46 +17,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bands for each doubling of the value: at most 2 * 1024 * BANDS in all.
-BANDS = 32
-#: First characters by which rows of one value are told apart before they are numbered.
-HEAD = 3
+from ..files import written
+
+#: Ranges of distinct values, and the sketch's accuracy: a range has at most about a hundredth of all.
+RANGES = 256
+ACCURACY = 10_000
 
 
-def _band(value: Column) -> Column:
-    """Grows with the value."""
-    return F.floor(F.signum(value) * F.log2(F.abs(value) + 1.0) * BANDS).cast("int")
+def _own(columns: list[str], *names: str) -> list[str]:
+    """The names, each longer where a column has it."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def with_rank(rows: DataFrame, value: Column | str, name: str, descending: bool = True, among: DataFrame | None = None) -> DataFrame:
-    """rows with their competition rank (1, 1, 3) by a number. among: a table with the same values, if rows is costly to read twice."""
-    toward = F.desc if descending else F.asc
-    number = (F.col(value) if isinstance(value, str) else value).cast("double") + 0.0
-    valued = rows.withColumn("__value", number)
-    counts = (rows if among is None else among).select(number.alias("__v")).groupBy("__v").agg(F.count(F.lit(1)).alias("__n")).withColumn("__band", _band(F.col("__v")))
-    bands = counts.groupBy(F.col("__band").alias("__b")).agg(F.sum("__n").alias("__s"))
-    before = Window.orderBy(toward("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__band").orderBy(toward("__v")).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    ranks = ranks.join(bands, F.col("__band") == F.col("__b")).select("__v", (F.col("__before") + F.col("__inside") + 1).cast("bigint").alias("__rank"))
-    found = valued.join(ranks, F.col("__value") == F.col("__v"))
-    return found.select(*[c for c in rows.columns if c != name], F.col("__rank").alias(name))
+    """rows with their competition rank (1, 1, 3) by a number. among: a table with the same values, if rows is costly to read twice.
+
+    Rows with a null value stay and share the last rank. A column called `name` is replaced.
+    """
+    own, v, n, r, rank = _own([*rows.columns, name, *(among.columns if among is not None else [])], "__own", "__v", "__n", "__r", "__rank")
+    # The key grows in the order of ranks; zero has one sign.
+    number = (F.col(value) if isinstance(value, str) else value).cast("double")
+    key = (-number if descending else number) + 0.0
+    counts = (rows if among is None else among).select(key.alias(v)).groupBy(v).agg(F.count(F.lit(1)).alias(n))
+    splitters = counts.agg(F.percentile_approx(v, [k / RANGES for k in range(1, RANGES)], ACCURACY)).scalar()
+    # A null key gets the range after all others.
+    place = F.when(F.col(v).isNull(), F.lit(RANGES)).otherwise(F.size(F.filter(f"{r}a", lambda s: s < F.col(v))))
+    counts = counts.withColumn(f"{r}a", F.coalesce(splitters, F.array().cast("array<double>"))).select(v, n, place.alias(r))
+    sums = counts.groupBy(F.col(r).alias(f"{r}s")).agg(F.sum(n).alias(f"{n}s"))
+    ahead = Window.orderBy(f"{r}s").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(f"{r}s", F.coalesce(F.sum(f"{n}s").over(ahead), F.lit(0)).alias(f"{n}s"))
+    inside = Window.partitionBy(r).orderBy(F.asc_nulls_last(v)).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = counts.withColumn(n, F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    ranks = ranks.join(F.broadcast(sums), F.col(r) == F.col(f"{r}s")).select(v, (F.col(f"{n}s") + F.col(n) + 1).cast("bigint").alias(rank))
+    found = rows.withColumn(own, key).join(ranks, F.col(own).eqNullSafe(F.col(v)))
+    return found.select(*[c for c in rows.columns if c != name], F.col(rank).alias(name))
+
+
+def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str) -> DataFrame:
+    """rows numbered 1, 2, 3 in each group of `by`, in an order that tells the rows of a group apart.
+
+    No group has to fit a task. The rows are written to the shared folder once, as ranges are drawn from them.
+    """
+    (part,) = _own([*rows.columns, name], "__part")
+    before, many = f"{part}b", f"{part}n"
+    ranged = written(rows.repartitionByRange(*[F.col(c) for c in by], *order).withColumn(part, F.spark_partition_id()))
+    counts = ranged.groupBy(*by, part).agg(F.count(F.lit(1)).alias(many))
+    along = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(*[F.col(c).alias(f"{part}_{k}") for k, c in enumerate(by)], F.col(part).alias(f"{part}s"), F.coalesce(F.sum(many).over(along), F.lit(0)).alias(before))
+    same = F.col(part) == F.col(f"{part}s")
+    for k, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"{part}_{k}"))
+    own = ranged.withColumn(many, F.row_number().over(Window.partitionBy(*by, part).orderBy(*order)))
+    return own.join(starts, same).select(*[c for c in rows.columns if c != name], (F.col(before) + F.col(many)).cast("bigint").alias(name))
 
 
 def with_place(rows: DataFrame, value: str, tie: str, name: str) -> DataFrame:
-    """rows numbered 1, 2, 3 by descending number; equal ones by a text, which no two rows of a value share."""
-    headed = rows.withColumn("__number", F.col(value).cast("double") + 0.0).withColumn("__head", F.substring(tie, 1, HEAD))
-    counts = headed.groupBy(F.col("__number").alias("__v"), F.col("__head").alias("__h")).agg(F.count(F.lit(1)).alias("__n")).withColumn("__band", _band(F.col("__v")))
-    bands = counts.groupBy(F.col("__band").alias("__b")).agg(F.sum("__n").alias("__s"))
-    above = Window.orderBy(F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
-    bands = bands.select("__b", F.coalesce(F.sum("__s").over(above), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__band").orderBy(F.desc("__v"), "__h").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("__inside", F.coalesce(F.sum("__n").over(inside), F.lit(0)))
-    starts = starts.join(bands, F.col("__band") == F.col("__b")).select("__v", "__h", (F.col("__before") + F.col("__inside")).alias("__start"))
-    numbered = headed.withColumn("__among", F.row_number().over(Window.partitionBy("__number", "__head").orderBy(tie)))
-    placed = numbered.join(starts, (F.col("__number") == F.col("__v")) & (F.col("__head") == F.col("__h")))
-    return placed.select(*[c for c in rows.columns if c != name], (F.col("__start") + F.col("__among")).cast("bigint").alias(name))
+    """rows numbered 1, 2, 3 by descending number, equal ones by a text. Null numbers and null texts come last."""
+    (own,) = _own([*rows.columns, name], "__own")
+    placed = numbered(rows.withColumn(own, F.col(value).cast("double") + 0.0), [], [F.desc_nulls_last(own), F.asc_nulls_last(tie)], name)
+    return placed.select(*[c for c in rows.columns if c != name], name)
 
 
 def places_of(rows: DataFrame, wanted: DataFrame, value: str, tie: str, name: str) -> DataFrame:

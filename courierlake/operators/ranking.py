@@ -41,9 +41,13 @@ def rank_points(rank: Column, n: Column) -> Column:
 
 
 def composite(contacts: DataFrame, coefficients: dict[str, float] | None = None, meetings: bool = True) -> DataFrame:
-    """contacts with score and rankings: weighted points of each ranked metric, and the share of meetings if asked for."""
+    """contacts with score and rankings: weighted points of each ranked metric, and the share of meetings if asked for.
+
+    contacts are written to the shared folder first, as every rank, count and total reads them. Contacts without a value
+    of a metric share its last rank.
+    """
     coefficients = coefficients or rules.COEFFICIENTS
-    out = contacts
+    contacts = out = written(contacts)
     n = contacts.agg(F.count(F.lit(1))).scalar()
     parts, names = [], []
     for name, weight in coefficients.items():
