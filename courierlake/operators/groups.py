@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from ..files import written
 from ..functions.dates import day
 from ..functions.text import clean_subject, domain
+from .order import numbered
 
 
 def organisational(contacts: DataFrame) -> DataFrame:
@@ -30,27 +32,100 @@ def message_members(mails: DataFrame, me: str) -> DataFrame:
     return rows.where("label <> ''").select("label", member.alias("member")).where((F.col("member") != "") & (F.col("member") != me)).distinct()
 
 
-def event_members(events: DataFrame, me: str) -> DataFrame:
-    """(label, member) by event series; a title that several series have is told apart by date, then by number.
-
-    The first series of a title and the first further one of a date are minima; only series that share both with an
-    earlier one are numbered, in a window for each title.
-    """
+def event_series(events: DataFrame, me: str) -> tuple[DataFrame, DataFrame]:
+    """Series with at least two members: (uid, base, date, first_id), and (uid, member) of all. The latter is written to the shared folder."""
     series = events.groupBy("uid").agg(
         F.min("event_id").alias("first_id"), F.min_by(F.trim("summary"), F.when(F.trim("summary") != "", F.col("event_id"))).alias("title"), F.min("dtstart").alias("dtstart")
     )
-    members = events.select("uid", F.explode("attendees").alias("a")).select("uid", F.lower(F.trim("a.email")).alias("member")).where((F.col("member") != "") & (F.col("member") != me)).distinct()
+    people = events.select("uid", F.explode("attendees").alias("a")).select("uid", F.lower(F.trim("a.email")).alias("member"))
+    members = written(people.where((F.col("member") != "") & (F.col("member") != me)).distinct())
     sizes = members.groupBy("uid").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
-    kept = series.join(sizes, "uid").withColumn("base", F.coalesce("title", F.lit("(untitled event)"))).withColumn("date", day(F.col("dtstart")))
-    kept = kept.join(kept.groupBy("base").agg(F.min("first_id").alias("first_of_base")), "base")
-    later = kept.where((F.col("first_id") != F.col("first_of_base")) & (F.col("date") != "")).groupBy("base", "date").agg(F.min("first_id").alias("first_of_date"))
-    kept = kept.join(later, ["base", "date"], "left")
-    label = F.when(F.col("first_id") == F.col("first_of_base"), F.col("base")).when(F.col("first_id") == F.col("first_of_date"), F.concat("base", F.lit(" — "), "date"))
-    kept = kept.withColumn("label", label).select("uid", "base", "first_id", "label", "dtstart")
-    numbered = F.row_number().over(Window.partitionBy("base").orderBy("first_id")) + 1
-    rest = kept.where("label is null").withColumn("label", F.concat("base", F.lit(" ("), numbered.cast("string"), F.lit(")")))
-    kept = kept.where("label is not null").unionByName(rest)
-    return members.join(kept.select("uid", "label", "dtstart"), "uid").select("label", "member", "uid")
+    kept = series.join(sizes, "uid", "left_semi")
+    return kept.select("uid", F.coalesce("title", F.lit("(untitled event)")).alias("base"), day(F.col("dtstart")).alias("date"), "first_id"), members
+
+
+#: What labels add to a title: a date or a number.
+_ADDED = r"(?s)^(.*) (?:— (\d{4}-\d{2}-\d{2})|\(([1-9]\d{0,8})\))$"
+
+
+def _contested(series: DataFrame) -> DataFrame:
+    """Titles that are also what another title with a date or number reads: base, date, n, child, child_id (who first has it as title).
+
+    A label that ends in a number or a date comes from one title only, so no two titles with additions read alike.
+    """
+    titles = series.groupBy("base").agg(F.min("first_id").alias("child_id"))
+    part = lambda k: F.regexp_extract("base", _ADDED, k)
+    told = titles.select(part(1).alias("stem"), part(2).alias("added_date"), part(3).try_cast("int").alias("n"), F.col("base").alias("child"), "child_id")
+    told = told.where("stem <> '' and (added_date <> '' or n >= 2)")
+    return told.join(titles.select(F.col("base").alias("stem")), "stem", "left_semi").withColumnRenamed("stem", "title")
+
+
+def _labelled(series: DataFrame, contested: DataFrame | None = None) -> DataFrame:
+    """series(uid, base, date, first_id, taken) with labels; taken: another title's label reads like this title before it has a series.
+
+    The first series of a title has it, the first further one of a date the title with the date, the others the title
+    with the next free number. A contested name is free for the title with the addition until its child's first series.
+    """
+    firsts = series.groupBy("base").agg(F.min("first_id").alias("first_of_base"))
+    series = series.join(firsts, "base").withColumn("leads", ~F.col("taken") & (F.col("first_id") == F.col("first_of_base"))).drop("first_of_base")
+    dated = series.where(~F.col("leads") & (F.col("date") != "")).groupBy("base", "date").agg(F.min("first_id").alias("first_of_date"))
+    if contested is not None:
+        until = contested.where("added_date <> ''").select(F.col("title").alias("base"), F.col("added_date").alias("date"), "child_id")
+        dated = dated.join(until, ["base", "date"], "left").where("child_id is null or first_of_date < child_id").drop("child_id")
+    series = series.join(dated, ["base", "date"], "left")
+    label = F.when(F.col("leads"), F.col("base")).when(F.col("first_id") == F.col("first_of_date"), F.concat("base", F.lit(" — "), "date"))
+    series = written(series.select("uid", "base", "first_id", label.alias("label")))
+    rest = numbered(series.where("label is null"), ["base"], [F.col("first_id")], "r")
+    if contested is None:
+        number = F.col("r") + 1
+    else:
+        # Numbers ascend, so one is passed over if it is gone when the series whose turn it is has come: when fewer
+        # series than come before it stand before the child's first one.
+        numbers = contested.where("n is not null").select(F.col("title").alias("base"), F.col("n").cast("bigint").alias("n"), "child_id")
+        ahead = numbers.join(rest.select("base", "first_id"), "base", "left").groupBy("base", "n").agg(F.count_if(F.col("first_id") < F.col("child_id")).alias("before"))
+        turns = ahead.groupBy("base").agg(F.array_sort(F.collect_list(F.struct("n", "before"))).alias("turns"))
+        start = F.array().cast("array<bigint>")
+        # Of each number passed over: from which place on a series has one number more.
+        step = lambda gone, t: F.when(t["n"] - 1 - F.size(gone) > t["before"], F.array_append(gone, t["n"] - 1 - F.size(gone))).otherwise(gone)
+        rest = rest.join(turns.select("base", F.aggregate("turns", start, step).alias("gone")), "base", "left")
+        number = F.col("r") + 1 + F.size(F.filter(F.coalesce("gone", start), lambda g: g <= F.col("r")))
+    rest = rest.select("uid", "base", F.concat("base", F.lit(" ("), number.cast("string"), F.lit(")")).alias("label"))
+    return series.where("label is not null").select("uid", "base", "label").unionByName(rest)
+
+
+def event_labels(series: DataFrame) -> DataFrame:
+    """uid and label of event_series(): each the first name that no earlier series has: title, title with date, title with number.
+
+    Titles that read like another title's label form chains, "X", "X (2)", "X (2) (2)", which are resolved from their
+    roots on, one step for all chains at a time; all other titles are labelled in one step.
+    """
+    series = written(series.select("uid", "base", "date", "first_id"))
+    contested = written(_contested(series))
+    none, some = F.lit(False), F.lit(True)
+    if contested.isEmpty():
+        return _labelled(series.withColumn("taken", none)).select("uid", "label")
+    tangled = contested.select(F.explode(F.array("title", "child")).alias("base")).distinct()
+    children = contested.select(F.col("child").alias("base"))
+    parts = [_labelled(series.join(tangled, "base", "left_anti").withColumn("taken", none)).select("uid", "label")]
+    turn = tangled.join(children, "base", "left_anti").withColumn("taken", none)
+    while not turn.isEmpty():
+        own = written(_labelled(series.join(turn, "base"), contested))
+        parts.append(own.select("uid", "label"))
+        coming = contested.join(turn.select(F.col("base").alias("title")), "title", "left_semi").select(F.col("child").alias("base"))
+        gone = own.select(F.col("label").alias("base")).distinct().withColumn("had", some)
+        turn = written(coming.join(gone, "base", "left").select("base", F.coalesce("had", none).alias("taken")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def event_members(events: DataFrame, me: str, labels: bool = True) -> DataFrame:
+    """(label, member, uid) of series with at least two members besides me; without labels (uid, member) alone."""
+    series, members = event_series(events, me)
+    if not labels:
+        return members.join(series.select("uid"), "uid")
+    return members.join(event_labels(series), "uid").select("label", "member", "uid")
 
 
 def gather(members: DataFrame, least: int = 2) -> DataFrame:
