@@ -303,15 +303,15 @@ def subject_cleaning(spark, sf_dir):
     return _read(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_subject(F.expr(_SUBJECT)).alias("subject"))
 
 
-@query("""with m as (select conv_id, turn, role, ltrim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) as plain, coalesce(text, '') as raw from conversations)
+@query("""with m as (select conv_id, turn, role, regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g') as plain from conversations)
 select lower('r' || conv_id || '@mail.example') as from_email, 'The ' || role as from_name, 'Thread ' || conv_id || '/' || turn as subject, 1700000000 + conv_id * 3600 + turn * 60 as date,
   list_sort(case when turn % 2 = 0 then ['t' || turn || '@x.example', 's1@corp1.example', 'c' || conv_id || '@x.example'] else ['t' || turn || '@x.example', 's1@corp1.example'] end) as recipients,
-  sha256(trim(case when starts_with(regexp_replace(raw, '\\s+', ' ', 'g'), 'From ') then '>' || plain else plain end, ' ' || chr(10))) as body from m""")
+  sha256(case when starts_with(plain, 'From ') then '>' || plain else plain end || chr(10)) as body from m""")
 def mbox_scan(spark, sf_dir):
     """Conversations written as an mbox archive, read and parsed again."""
     mail = parse_messages(read_mbox(spark, mail_archive(spark, sf_dir)))
     people = F.array_sort(F.transform("to", lambda r: r["email"]))
-    return mail.select("from_email", "from_name", "subject", "date", people.alias("recipients"), F.sha2(F.btrim("content", F.lit(" \n")), 256).alias("body"))
+    return mail.select("from_email", "from_name", "subject", "date", people.alias("recipients"), F.sha2("content", 256).alias("body"))
 
 
 @query("""select 'c' || c_custkey as uid, 'Visit, ' || c_name as summary, case when c_custkey % 2 = 0 then 'alarm' else 'none' end as description, 1690000000 + c_custkey * 600 as dtstart,
@@ -389,11 +389,9 @@ def top_org(spark, sf_dir):
 
 @query(f"{_CAL} select uid, coalesce(title, '(untitled event)') as base, size, members from sized join ser using (uid)")
 def event_groups(spark, sf_dir):
-    events = calendar(spark, sf_dir)
-    members = groups.event_members(events, ME)
-    titles = events.groupBy("uid").agg(F.coalesce(F.min_by(F.trim("summary"), F.when(F.trim("summary") != "", F.col("event_id"))), F.lit("(untitled event)")).alias("base"))
+    series, members = groups.event_series(calendar(spark, sf_dir), ME)
     grouped = members.groupBy("uid").agg(F.sort_array(F.collect_set("member")).alias("members"))
-    return grouped.join(titles, "uid").select("uid", "base", F.size("members").cast("bigint").alias("size"), "members")
+    return grouped.join(series, "uid").select("uid", "base", F.size("members").cast("bigint").alias("size"), "members")
 
 
 @query(f"""{_CAL}, b as (select uid, first_id, coalesce(title, '(untitled event)') as base, strftime(make_timestamp(dtstart * 1000000), '%Y-%m-%d') as d from sized join ser using (uid)),
@@ -411,27 +409,27 @@ select label, count(*) as members, sum(score) as score, cast(sum(received) as bi
 from j group by label having count(*) >= 3 order by 3 desc, label limit 20""")
 def group_scores(spark, sf_dir):
     nodes = cal.as_graph(cal.calendar_graph(_attendees(spark, sf_dir))).withColumn("score", F.floor("score").cast("double"))
-    members = groups.event_members(calendar(spark, sf_dir), ME).select(F.col("uid").alias("label"), "member")
+    members = groups.event_members(calendar(spark, sf_dir), ME, labels=False).select(F.col("uid").alias("label"), "member")
     return groups.group_scores(members, nodes, 20)
 
 
 @query(f"{_CAL} select count(*) as groups from (select uid from mem group by uid having count(*) >= 3)")
 def qualifying_groups(spark, sf_dir):
-    members = groups.event_members(calendar(spark, sf_dir), ME).select(F.col("uid").alias("label"), "member")
+    members = groups.event_members(calendar(spark, sf_dir), ME, labels=False).select(F.col("uid").alias("label"), "member")
     return groups.gather(members, rules.MIN_GROUP).agg(F.count(F.lit(1)).alias("groups"))
 
 
 @query(f"""{_CAL}, sz as (select uid, count(*) as size from mem group by uid having count(*) >= 3), own as (select uid, size from sz join mem using (uid) where member = 's2@corp2.example')
 select member, count(*) as shared, (list(uid order by size desc, uid))[1] as largest from mem join own using (uid) where member <> 's2@corp2.example' group by member""")
 def co_membership(spark, sf_dir):
-    members = groups.event_members(calendar(spark, sf_dir), ME).select(F.col("uid").alias("label"), "member")
+    members = groups.event_members(calendar(spark, sf_dir), ME, labels=False).select(F.col("uid").alias("label"), "member")
     return groups.co_members(members, "s2@corp2.example")
 
 
 @query(f"""{_CAL}, small as (select uid, members, size from sized where size <= 8), i as (select uid, members, size, unnest(range(0, case when size = 2 then 1 else size end)) as i from small)
 select uid as label, members[i + 1] as a, members[(i + 1) % size + 1] as b from i""")
 def rope_edges(spark, sf_dir):
-    members = groups.event_members(calendar(spark, sf_dir), ME).select(F.col("uid").alias("label"), "member")
+    members = groups.event_members(calendar(spark, sf_dir), ME, labels=False).select(F.col("uid").alias("label"), "member")
     return groups.rope_edges(groups.gather(members))
 
 

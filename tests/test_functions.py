@@ -167,7 +167,7 @@ def test_comments(spark):
 
 
 def test_escapes_of_calendar_texts(spark):
-    rows = ["\\n", "\\\\n", "\\\\\\n", "a\u0001b", "\\x\\", "\\,\;\\N", "\\\\\\\\"]
+    rows = ["\\n", "\\\\n", "\\\\\\n", "a\u0001b", "\\x\\", "\\,\\;\\N", "\\\\\\\\"]
     got = [r["x"] for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i").select(ics.unescape(F.col("t")).alias("x")).collect()]
     assert got == ["\n", "\\n", "\\\n", "a\u0001b", "\\x\\", ",;\n", "\\\\"]
     long = "ATTENDEE;CN=" + "n" * 150_000 + ":mailto:a@x"

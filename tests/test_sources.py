@@ -188,7 +188,7 @@ def test_archives_are_split_and_ordered(spark, tmp_path):
     }
     for name, raw in texts.items():
         (tmp_path / name).write_bytes(raw)
-    want = [(name, [(h["name"], h["value"]) for h in heads], body) for name, raw in sorted(texts.items()) for heads, body in _messages(raw)]
+    want = [(name, [(h["name"], h["value"]) for h in heads], body) for name, raw in sorted(texts.items()) for heads, body in _messages(raw.removesuffix(b"\n"))]
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     for size in ("128m", "700", "61"):
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
@@ -197,7 +197,10 @@ def test_archives_are_split_and_ordered(spark, tmp_path):
         finally:
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         assert [(r["source_file"].rsplit("/", 1)[1], [(h["name"], h["value"]) for h in r["headers"]], bytes(r["body"])) for r in got] == want
-        assert len({(r["source_file"], r["msg_pos"]) for r in got}) == len(want)
+        numbers = {}
+        for r in got:
+            numbers.setdefault(r["source_file"], []).append(r["msg_pos"])
+        assert all(n == list(range(len(n))) for n in numbers.values())
 
 
 def test_first_name_over_several_archives(spark, tmp_path):
