@@ -10,7 +10,7 @@ cache of token ids by word, bounded in bytes, which the tasks of a worker proces
 own ids. A sequence is due where the earliest of its documents is.
 
 Defined cases: null text counts as empty and yields the separator alone; ids may be null or repeated and are
-carried along; texts of any length are cut into whole windows; an empty table gives an empty result.
+carried along, null beside numbers of 64 bits too; texts of any length are cut into whole windows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,10 +36,8 @@ _SPACE_RUN = re.compile(r"\s | \s|^\s|\s\Z")
 
 
 def added_tokens(path: str) -> dict[str, int]:
-    """Ids of the added tokens of a JSON vocabulary; for a rank file, of the JSON file of the same name beside it."""
+    """Ids of the added tokens of a JSON vocabulary; for a rank file, of the JSON file of the same name beside it, which has to be there."""
     own = os.path.splitext(path)[0] + ".json"
-    if not os.path.exists(own):
-        return {}
     with open(own, encoding="utf-8") as f:
         found = json.load(f).get("added_tokens") or []
     unlike = [t["content"] for t in found if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
@@ -115,14 +113,16 @@ class WordTokenizer:
         self._held += len(raw) + sum(map(len, words)) + _ENTRY * len(words)
 
 
-_loaded: dict[str, WordTokenizer] = {}
+_loaded: dict[tuple, WordTokenizer] = {}
 
 
-def tokenizer_of(path: str) -> WordTokenizer:
-    """The tokenizer of a file with its added tokens, loaded once in each worker process, whose tasks share its cache."""
-    if path not in _loaded:
-        _loaded[path] = WordTokenizer(path, added=added_tokens(path))
-    return _loaded[path]
+def tokenizer_of(path: str, added: dict[str, int] | None = None) -> WordTokenizer:
+    """The tokenizer of a file with given added tokens, or its own, loaded once in each worker process, whose tasks share its cache."""
+    added = added_tokens(path) if added is None else added
+    key = (path, tuple(added.items()))
+    if key not in _loaded:
+        _loaded[key] = WordTokenizer(path, added=added)
+    return _loaded[key]
 
 
 class OpenWindows:
@@ -181,12 +181,14 @@ def pack_documents(
     """One row per piece: id, start, length, ids, doc_tokens, sequence_id, offset, due.
 
     tokenizer: path of a vocabulary file, present on every executor; added tokens come from the JSON file, itself or
-    beside the rank file. digests: columns computed from the column ids (little-endian unsigned 32-bit), kept in its
+    beside the rank file, read on the driver; without it the call fails. digests: columns computed from the column ids (little-endian unsigned 32-bit), kept in its
     place. due: when a row of docs is due (bigint); the column due of a piece is the smallest of its sequence.
     """
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     schema = f"doc {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, due bigint, part int, open boolean"
     end = np.array([separator], "<u4").tobytes()
+    # Read once, here, so that all executors give a text the same ids.
+    added = added_tokens(tokenizer)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -199,7 +201,7 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=False)] + [pa.array([part] * len(rows), pa.int32()), pa.array([still_open] * len(rows), pa.bool_())], schema=fields)
 
         for b in batches:
-            words = words or tokenizer_of(tokenizer)
+            words = words or tokenizer_of(tokenizer, added)
             fields = fields or _fields(b.schema.field(0).type)
             for doc, text, when in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
                 ids = words.encode(text.as_py() or "") + end
@@ -213,14 +215,15 @@ def pack_documents(
         if rows := windows.leftovers():
             yield batch(rows, True)
 
-    def merge(pdf):
+    def merge(table: pa.Table) -> pa.Table:
         """Fills windows with the open pieces of a group, in order; cuts the last at powers of two."""
-        import pandas as pd
-
-        windows = OpenWindows(size, 1, (1 << 62) + (int(pdf["part"].iloc[0]) // MERGE_PARTITIONS << 33))
+        part = table["part"][0].as_py()
+        windows = OpenWindows(size, 1, (1 << 62) + (part // MERGE_PARTITIONS << 33))
         rows = []
-        for p in pdf.sort_values(["sequence_id", "offset"], kind="stable").itertuples():
-            rows += windows.place(p.doc, p.ids, p.doc_tokens, p.start, p.due)
+        names = ["doc", "ids", "doc_tokens", "start", "due"]
+        # Ids stay what Arrow has: no number becomes a float because another is null.
+        for doc, ids, total, start, when in zip(*(c.to_pylist() for c in table.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).select(names).columns), strict=True):
+            rows += windows.place(doc, ids, total, start, when)
         for pieces in [w[1] for w in windows.open]:
             tail = sum(p[2] for p in pieces)
             while tail:
@@ -235,10 +238,9 @@ def pack_documents(
                         later.append((doc, start + k, n - k, ids[4 * k :], total, when))
                 rows += windows._close(now)
                 pieces = later
-        out = pd.DataFrame(rows, columns=["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "due"])
-        out["part"], out["open"] = pdf["part"].iloc[0], False
-        out["doc"] = out["doc"].astype(pdf["doc"].dtype)
-        return out[["doc", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "due", "part", "open"]]
+        fields = _fields(table.schema.field("doc").type)
+        columns = [*zip(*rows, strict=True), [part] * len(rows), [False] * len(rows)]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
 
     when = F.lit(0) if due is None else due
     packed = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), when.cast("bigint").alias("due")).mapInArrow(pack, schema)
@@ -246,7 +248,7 @@ def pack_documents(
     columns = ["doc", "start", "length", *[c.alias(n) for n, c in digests.items()], "doc_tokens", "sequence_id", "offset", "due"]
     packed = materialize(packed.select(*columns, "open", "part", F.when(F.col("open"), F.col("ids")).alias("__ids")), "packed")
     open_pieces = packed.where("open").select("doc", "start", "length", F.col("__ids").alias("ids"), "doc_tokens", "sequence_id", "offset", "due", "part", "open")
-    merged = open_pieces.groupBy(F.expr(f"part div {MERGE_PARTITIONS}").alias("g")).applyInPandas(merge, schema).select(*columns)
+    merged = open_pieces.groupBy(F.expr(f"part div {MERGE_PARTITIONS}").alias("g")).applyInArrow(merge, schema).select(*columns)
     out = packed.where("not open").select("doc", "start", "length", *digests, "doc_tokens", "sequence_id", "offset", "due").unionByName(merged)
     out = out.withColumnRenamed("doc", id_col)
     return out if due is not None else out.drop("due")

@@ -367,13 +367,13 @@ def removed_spans(size: int, start: np.ndarray, count: np.ndarray) -> np.ndarray
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_bytes, spans (array of struct(begin, end) of removed bytes), kept (binary)."""
     spark = docs.sparkSession
-    # Each partition is sorted in one piece: their number follows the size of the table, as far as the plan knows it.
+    docs = stable_rows(docs, "documents")
+    # Each partition is sorted in one piece: their number follows the size of the table, known of files, as docs are by now.
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     # Plans that do not know it say an absurd size.
     known = size if size < 1 << 60 else 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), known // PART_BYTES)
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
-    docs = stable_rows(docs, "documents")
     texts = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_col].alias("id"), F.coalesce(docs[text_col].cast("binary"), F.lit(b"")).alias("body"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import shutil
 import zlib
 from collections import Counter, defaultdict
 
@@ -374,6 +375,19 @@ def test_packed_ids_have_added_tokens(spark, kind):
     assert got == want
 
 
+def test_packing_keeps_ids_whole(spark, tmp_path):
+    """A null id beside numbers that no double holds; the vocabulary's added tokens have to be there."""
+    ids = [9007199254740993, None, 9007199254740995, -(2**63), 2**63 - 1]
+    df = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id bigint, text string").coalesce(1)
+    got = packing.pack_documents(df, vocabulary("tiktoken"), size=64).collect()
+    assert {r["doc_id"] for r in got} == set(ids)
+    named = packing.pack_documents(df.selectExpr("struct(doc_id as a) as doc_id", "text"), vocabulary("tiktoken"), size=64).collect()
+    assert {r["doc_id"]["a"] for r in named} == set(ids)
+    shutil.copy(vocabulary("tiktoken"), tmp_path / "alone.tiktoken")
+    with pytest.raises(FileNotFoundError):
+        packing.pack_documents(df, str(tmp_path / "alone.tiktoken"))
+
+
 def test_packing_merges_groups_of_partitions(spark, monkeypatch):
     monkeypatch.setattr(packing, "MERGE_PARTITIONS", 4)
     texts = [prose(1 + k % 23, k) for k in range(150)]
