@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.folded import FoldedTable
+
 CLEAR, NOT_HUMAN, RESTORE = "clear", "not_human", "restore"
 
 
@@ -26,3 +28,22 @@ def decide(spark, email: str, action: str, ts: int) -> DataFrame:
     if not email:
         raise ValueError("an address is needed")
     return spark.createDataFrame([(email.strip().lower(), action, ts)], "email string, action string, ts bigint")
+
+
+LOG = "email string, action string, ts bigint"
+
+
+def last_decisions(decisions: DataFrame) -> DataFrame:
+    """The decisions that effective() can still ask for: of each contact the last one, and the last one that is no restore.
+
+    Which of the two counts depends on the rules, whose verdict on the contact may change later.
+    """
+    at = F.struct("ts", "action")
+    last = decisions.groupBy("email").agg(F.max(at).alias("any"), F.max(F.when(F.col("action") != RESTORE, at)).alias("other"))
+    both = F.array_distinct(F.array_compact(F.array("any", "other")))
+    return last.select("email", F.explode(both).alias("d")).select("email", "d.action", "d.ts")
+
+
+def decision_log(spark, path: str) -> FoldedTable:
+    """Decisions in a folder: append(decide(...)) adds to the log, compact() shortens it, rows() are what effective() needs."""
+    return FoldedTable(spark, path, LOG, last_decisions)
