@@ -9,6 +9,7 @@ from .. import rules
 from ..functions.rrule import occurrences, parse_rule
 from ..functions.text import local_part
 from .groups import organisational
+from .order import paged
 
 
 def expand_events(events: DataFrame, now: int, lookback_days: int = rules.LOOKBACK_DAYS, cap: int = rules.MAX_OCCURRENCES, include_master: bool = True) -> DataFrame:
@@ -37,13 +38,27 @@ def spread(scanned: DataFrame) -> DataFrame:
     return scanned.repartition(cores) if scanned.rdd.getNumPartitions() < cores else scanned
 
 
-def attendee_stats(events: DataFrame, me: str) -> DataFrame:
-    """One row per attendee other than me: events organised and invited to, mean length and size, acceptance."""
+def attendances(events: DataFrame, me: str) -> DataFrame:
+    """One row per event and attendee other than me."""
     own = F.get(F.filter("attendees", lambda a: F.lower(F.trim(a["email"])) == me), F.lit(0))["partstat"]
     rows = events.select(
         "event_id", F.lower(F.trim("organizer_email")).alias("organizer"), (F.col("dtend") - F.col("dtstart")).alias("length"), F.size("attendees").alias("n"), own.alias("mine"), F.posexplode("attendees").alias("pos", "a")
     )
-    rows = rows.withColumn("email", F.lower(F.trim("a.email"))).where((F.col("email") != "") & (F.col("email") != me))
+    return rows.withColumn("email", F.lower(F.trim("a.email"))).where((F.col("email") != "") & (F.col("email") != me))
+
+
+def event_pages(events: DataFrame, me: str, size: int = 10_000) -> DataFrame:
+    """email, page, event_ids: the events of each attendee in order, at most `size` a row, however many an attendee has."""
+    return paged(attendances(events, me).select("email", "event_id"), "email", "event_id", size).withColumnRenamed("values", "event_ids")
+
+
+def attendee_stats(events: DataFrame, me: str, lists: bool = True) -> DataFrame:
+    """One row per attendee other than me: events organised and invited to, mean length and size, acceptance.
+
+    lists: with all event_ids in the row, which suits attendees of bounded numbers of events; event_pages() has them in
+    rows of bounded size.
+    """
+    rows = attendances(events, me)
     rows = rows.withColumn("organized", (F.col("organizer") != "") & (F.col("email") == F.col("organizer")))
     answer = F.upper(F.trim(F.when(F.col("organized"), F.col("mine")).otherwise(F.col("a.partstat"))))
     rows = rows.withColumn("answer", answer)
@@ -53,7 +68,7 @@ def attendee_stats(events: DataFrame, me: str) -> DataFrame:
         F.count_if("organized").alias("organized_events_count"),
         F.count_if(~F.col("organized")).alias("invited_events_count"),
         F.count(F.lit(1)).alias("total_events_count"),
-        F.sort_array(F.collect_list("event_id")).alias("event_ids"),
+        *([F.sort_array(F.collect_list("event_id")).alias("event_ids")] if lists else []),
         (F.sum("length") / F.count("length")).alias("avg_duration_seconds"),
         (F.sum("n") / F.count("n")).alias("avg_attendee_count"),
         F.count_if(F.col("answer") == "ACCEPTED").alias("accepted_count"),

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..files import written
 from ..functions.dates import day
 from ..functions.text import clean_subject, domain
-from .order import numbered
+from .order import numbered, paged
 
 
 def organisational(contacts: DataFrame) -> DataFrame:
@@ -156,9 +156,31 @@ def co_members(members: DataFrame, email: str, least: int = rules.MIN_GROUP) ->
     return shared.groupBy("member").agg(F.count(F.lit(1)).alias("shared"), F.min_by("label", F.struct(-F.col("size"), F.col("label"))).alias("largest"))
 
 
+def ring_edges(members: DataFrame, most: int = rules.MAX_ROPE) -> DataFrame:
+    """label, a, b: edges of a ring through the members of groups of 2 to `most` members, in order; two members have one edge.
+
+    members(label, member) may hold groups of any size: larger ones are counted, but never gathered.
+    """
+    rows = members.select("label", "member").distinct()
+    few = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(2, most))
+    group = Window.partitionBy("label").orderBy("member")
+    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    linked = rows.join(few, "label").select("label", "size", F.col("member").alias("a"), F.lead("member").over(group).alias("next"), F.first("member").over(whole).alias("first"))
+    return linked.where("next is not null or size > 2").select("label", "a", F.coalesce("next", "first").alias("b"))
+
+
 def rope_edges(groups: DataFrame, most: int = rules.MAX_ROPE) -> DataFrame:
-    """Edges of a ring through the members of groups of at most so many; two members have one edge."""
-    size = F.size("members")
-    ring = F.transform("members", lambda x, i: F.struct(x.alias("a"), F.get("members", (i + 1) % size).alias("b")))
-    edges = F.when(size == 2, F.slice(ring, 1, 1)).otherwise(ring)
-    return groups.where((size >= 2) & (size <= most)).select("label", F.explode(edges).alias("e")).select("label", "e.a", "e.b")
+    """ring_edges() of groups that have been gathered."""
+    return ring_edges(groups.where(F.size("members") <= most).select("label", F.explode("members").alias("member")), most)
+
+
+def domain_members(contacts: DataFrame) -> DataFrame:
+    """(label, member) of the organisations' contacts."""
+    return organisational(contacts).select(F.col("domain").alias("label"), F.lower("email").alias("member"))
+
+
+def member_pages(members: DataFrame, least: int = 2, size: int = 10_000) -> DataFrame:
+    """label, size, page, members: groups of at least so many as rows of at most `size` members, in order."""
+    rows = members.select("label", "member").distinct()
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") >= least)
+    return paged(rows.join(sizes.select("label"), "label", "left_semi"), "label", "member", size).join(sizes, "label").select("label", "size", "page", F.col("values").alias("members"))

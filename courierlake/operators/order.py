@@ -98,3 +98,10 @@ def places_of(rows: DataFrame, wanted: DataFrame, value: str, tie: str, name: st
     told = wanted.withColumns({"__keys": keys, "__sums": sums}).withColumn("__j", F.array_position("__keys", key) - 1)
     place = F.aggregate(F.filter("__sums", lambda s: s["j"] <= F.col("__j")), F.lit(0).cast("bigint"), lambda total, s: total + s["n"])
     return told.withColumn(name, place).drop("__keys", "__sums", "__j")
+
+
+def paged(rows: DataFrame, key: str, value: str, size: int = 10_000) -> DataFrame:
+    """key, page (0, 1, 2) and values: the values of each key in order, at most `size` a row, so that no row grows with the data."""
+    listed = numbered(rows.select(key, value), [key], [F.asc_nulls_last(value)], "n_")
+    page = F.floor((F.col("n_") - 1) / size).cast("bigint")
+    return listed.groupBy(key, page.alias("page")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n_", value))), lambda x: x[value]).alias("values"))

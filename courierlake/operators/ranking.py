@@ -30,10 +30,20 @@ def metric_ranking(contacts: DataFrame, metric: str, descending: bool = True) ->
     return competition_ranks(valued, "value", descending=descending).select("rank", "name", "email", "value")
 
 
+def _decimals(number: Column, n: int) -> Column:
+    """A number with n decimals and no separators; halves go to the even digit."""
+    return F.call_function("format_number", number, F.lit("0." + "0" * n))
+
+
+def ranking_line(whole: bool) -> Column:
+    """The line of a row of a ranking; whole numbers cut, others with two decimals."""
+    value = F.col("value").cast("bigint").cast("string") if whole else _decimals(F.col("value"), 2)
+    return F.concat(F.col("rank").cast("string"), F.lit(". "), "name", F.lit(" "), "email", F.lit(" "), value)
+
+
 def ranking_lines(ranking: DataFrame, whole: bool) -> DataFrame:
-    """Text lines of a ranking; whole numbers cut, others with two decimals."""
-    value = F.col("value").cast("bigint").cast("string") if whole else F.regexp_replace(F.format_number("value", "0.00"), ",", "")
-    return ranking.orderBy("rank", "email").select(F.concat(F.col("rank").cast("string"), F.lit(". "), "name", F.lit(" "), "email", F.lit(" "), value).alias("line"))
+    """Text lines of a ranking."""
+    return ranking.orderBy("rank", "email").select(ranking_line(whole).alias("line"))
 
 
 def rank_points(rank: Column, n: Column) -> Column:
@@ -72,10 +82,14 @@ def composite_ranking(scored: DataFrame) -> DataFrame:
     return competition_ranks(scored, "score").select("rank", "name", "email", "score", "rankings")
 
 
+def composite_line() -> Column:
+    """The line of a row of composite_ranking()."""
+    told = F.array_join(F.transform("rankings", lambda r: F.concat(r["name"], F.lit(":#"), r["rank"].cast("string"), F.lit(" ("), _decimals(r["points"], 1), F.lit(")"))), ", ")
+    return F.concat(F.col("rank").cast("string"), F.lit(". "), "name", F.lit(" "), "email", F.lit(" | score: "), _decimals(F.col("score"), 1), F.lit(" | "), told)
+
+
 def composite_lines(ranking: DataFrame) -> DataFrame:
-    told = F.array_join(F.transform("rankings", lambda r: F.concat(r["name"], F.lit(":#"), r["rank"].cast("string"), F.lit(" ("), F.format_number(r["points"], "0.0"), F.lit(")"))), ", ")
-    line = F.concat(F.col("rank").cast("string"), F.lit(". "), "name", F.lit(" "), "email", F.lit(" | score: "), F.format_number("score", "0.0"), F.lit(" | "), told)
-    return ranking.orderBy("rank", "email").select(line.alias("line"))
+    return ranking.orderBy("rank", "email").select(composite_line().alias("line"))
 
 
 def ordinal_points(scores: DataFrame, email: str = "email", score: str = "score") -> DataFrame:

@@ -18,6 +18,7 @@ from ..operators import calendar as cal
 from ..operators import curation, graph, groups, ranking, stats
 from ..sources.calendar import parse_events, read_ics
 from ..sources.mail import exchanges, mails, parse_messages, read_mbox
+from . import reports
 
 
 @dataclass
@@ -100,6 +101,42 @@ class Workspace:
     def event_groups(self) -> DataFrame | None:
         return groups.gather(groups.event_members(self.events, self.config.me)) if self.events is not None else None
 
+    def members(self, kind: str) -> DataFrame:
+        """(label, member) of the groups of a kind: domain, message or event."""
+        if kind == "domain":
+            return groups.domain_members(self.contacts_view())
+        if kind == "message":
+            return groups.message_members(self.mails, self.config.me)
+        if kind != "event":
+            raise ValueError(f"no groups of the kind {kind}")
+        if self.events is None:
+            return self.mails.where("false").select(F.lit("").alias("label"), F.lit("").alias("member"))
+        return groups.event_members(self.events, self.config.me).select("label", "member")
+
+    def group_scores(self, kind: str, limit: int | None = None) -> DataFrame:
+        """Groups by the summed score of their visible members, the best first."""
+        return groups.group_scores(self.members(kind), self.scored(), limit)
+
+    def group_members(self, kind: str, size: int = 10_000) -> DataFrame:
+        """Members of all groups, in rows of at most `size`."""
+        return groups.member_pages(self.members(kind), size=size)
+
+    def group_links(self, kind: str) -> DataFrame:
+        """Rings through the members of the groups that are drawn."""
+        return groups.ring_edges(self.members(kind))
+
+    def shared_groups(self, kind: str, email: str) -> DataFrame:
+        """Contacts that share groups with one contact."""
+        return groups.co_members(self.members(kind), email.strip().lower())
+
+    def event_pages(self, size: int = 10_000) -> DataFrame | None:
+        """Events of each attendee, in rows of at most `size`."""
+        return cal.event_pages(self.events, self.config.me, size) if self.events is not None else None
+
+    def write_reports(self, path: str) -> None:
+        """Ranking files of the shown contacts."""
+        reports.write_reports(self.contacts_view(), path, self.config.coefficients)
+
     def overall(self) -> tuple[DataFrame, DataFrame]:
         """The merged top contacts, and the links among them."""
         scored = self.scored()
@@ -133,7 +170,7 @@ def load(spark: SparkSession, config: EngineConfig, mbox: str | list[str] | None
         # Ids sort by file, place in the file and occurrence.
         at = [F.lpad(F.col(c).cast("string"), n, "0") for c, n in (("event_pos", 19), ("occurrence_idx", 6))]
         events = written(masters.withColumn("event_id", F.concat_ws("#", "source_path", *at)))
-        attendees = written(cal.link_contacts(cal.attendee_stats(events, config.me), contacts))
+        attendees = written(cal.link_contacts(cal.attendee_stats(events, config.me, lists=False), contacts))
     return Workspace(config, mails(parsed), contacts, stats.verified(contacts, classes), events, attendees)
 
 

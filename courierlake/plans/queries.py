@@ -12,6 +12,7 @@ from ..operators import calendar as cal
 from ..operators import classify, curation, graph, groups, ranking, stats
 from ..sources.calendar import parse_events, read_ics
 from ..sources.mail import parse_messages, read_mbox
+from . import reports
 from .adapters import ME, NOW, calendar, calendar_files, duck, exchanges, mail_archive, threads
 
 CONFIG = EngineConfig(me=ME, now=NOW)
@@ -175,6 +176,25 @@ def composite_offline(spark, sf_dir):
     return ranking.competition_ranks(scored, "score").select("email", "rank_sent", "rank_received", "score", "rank")
 
 
+def _reports_sql() -> str:
+    report = "select '{m}_ranking' as report, rank() over (order by round(cast({v} as double), 9) desc) as rank, 0 as nth, email, name, {shown} as shown from live"
+    shown = {m: v if m in reports.WHOLE else f"printf('%.2f', cast({v} as double))" for m, v in _VALUE.items()}
+    rows = " union all ".join(report.format(m=m, v=v, shown=f"cast({shown[m]} as varchar)") for m, v in _VALUE.items())
+    told = "printf('%s:#%d (%.1f), %s:#%d (%.1f)', 'sent', rank_sent, points_sent, 'received', rank_received, points_received)"
+    head = "', '".join(reports.header_lines(rules.COEFFICIENTS, "%n"))
+    return f"""{_CTE}, m as ({rows}), off as (select *, points_sent + points_received as points from online),
+head as (select unnest(['{head}']) as text, generate_subscripts(['{head}'], 1) as nth)
+select report, rank, nth, email, rank || '. ' || name || ' ' || email || ' ' || shown as line from m
+union all select 'composite_ranking', rank() over (order by round(points, 9) desc), 0, email,
+  rank() over (order by round(points, 9) desc) || '. ' || name || ' ' || email || ' | score: ' || printf('%.1f', points) || ' | ' || {told} from off
+union all select 'composite_ranking', 0, cast(nth as integer), '', replace(text, '%n', (select cast(count(*) as varchar) from filtered)) from head"""
+
+
+@query(_reports_sql())
+def ranking_reports(spark, sf_dir):
+    return reports.report_lines(_filtered(spark, sf_dir))
+
+
 @query(f"{_CTE} select email, rank_sent, rank_received, score from online")
 def composite_online(spark, sf_dir):
     return _online(spark, sf_dir).select("email", "rank_sent", "rank_received", "score")
@@ -283,6 +303,11 @@ def message_groups(spark, sf_dir):
     return groups.gather(_message_members(spark, sf_dir))
 
 
+@query(f"{_THREADS} select label, size, page, members[page * 10 + 1 : page * 10 + 10] as members from (select *, unnest(range(0, (size + 9) // 10)) as page from grp)")
+def message_group_pages(spark, sf_dir):
+    return groups.member_pages(_message_members(spark, sf_dir), size=10)
+
+
 @query(f"{_THREADS} select floor(avg(size) * 10 + 0.5) / 10 as avg_size, count(*) as groups from grp where size >= 3")
 def avg_group_size(spark, sf_dir):
     big = groups.gather(_message_members(spark, sf_dir), rules.MIN_GROUP)
@@ -351,6 +376,11 @@ def attendee_stats(spark, sf_dir):
     return _attendees(spark, sf_dir)
 
 
+@query(f"{_CAL} select email, page, event_ids[page * 20 + 1 : page * 20 + 20] as event_ids from (select email, event_ids, unnest(range(0, (len(event_ids) + 19) // 20)) as page from a)")
+def attendee_event_pages(spark, sf_dir):
+    return cal.event_pages(calendar(spark, sf_dir), ME, size=20)
+
+
 @query(f"{_CAL} select a.email, case when su.s_suppkey is null then a.name else s_name end as name, case when su.s_suppkey is null then null else a.email end as contact_email from a left join supplier su on a.email = concat('s', cast(s_suppkey as varchar), '@corp2.example')")
 def attendee_link(spark, sf_dir):
     contacts = _read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit("@corp2.example")).alias("email"), F.col("s_name").alias("name"))
@@ -430,7 +460,7 @@ def co_membership(spark, sf_dir):
 select uid as label, members[i + 1] as a, members[(i + 1) % size + 1] as b from i""")
 def rope_edges(spark, sf_dir):
     members = groups.event_members(calendar(spark, sf_dir), ME, labels=False).select(F.col("uid").alias("label"), "member")
-    return groups.rope_edges(groups.gather(members))
+    return groups.ring_edges(members)
 
 
 _OVERALL = f"""{_CTE}, {_CAL.removeprefix("with ")},
