@@ -8,23 +8,36 @@ from pyspark.sql import functions as F
 from ..functions.text import local_part, per_month, round2, spam_rules
 
 
+def _totals() -> dict[str, Column]:
+    """The aggregates of one contact, or of any part of its exchanges."""
+    return {
+        "received": F.count_if(F.col("dir") == "received"),
+        "sent": F.count_if(F.col("dir") == "sent"),
+        "first_ts": F.min("date"),
+        "last_ts": F.max("date"),
+        "total_chars": F.sum("chars"),
+        "email_count": F.count(F.lit(1)),
+        "meetings": F.count_if("is_meeting"),
+    }
+
+
 def contact_stats(exchanges: DataFrame) -> DataFrame:
-    """One row per contact from exchanges(contact, name, dir, date, chars, is_meeting, msg_pos, rcpt_idx): one shuffle, combined map-side.
+    """One row per contact from exchanges(contact, name, dir, date, chars, is_meeting, msg_pos, rcpt_idx).
 
-    The first name in order of archive, message and recipient counts.
+    The first name in order of archive, message and recipient counts. Exchanges are added up by contact and name first:
+    numbers alone, so map-side by hash and without a sort of all rows, which an aggregate that holds a text would need.
     """
-    order = [c for c in ("source_file", "msg_pos", "rcpt_idx") if c in exchanges.columns]
-    named = F.when(F.col("name") != "", F.struct(*order))
-    return exchanges.groupBy(F.col("contact").alias("email")).agg(
-        F.coalesce(F.min_by("name", named), F.lit("")).alias("name"),
-        F.count_if(F.col("dir") == "received").alias("received"),
-        F.count_if(F.col("dir") == "sent").alias("sent"),
-        F.min("date").alias("first_ts"),
-        F.max("date").alias("last_ts"),
-        F.sum("chars").alias("total_chars"),
-        F.count(F.lit(1)).alias("email_count"),
-        F.count_if("is_meeting").alias("meetings"),
-    )
+    outer, inner = ([c] if c in exchanges.columns else [] for c in ("source_file", "rcpt_idx"))
+    by_name = exchanges.groupBy(F.col("contact").alias("email"), "name", *outer, *inner).agg(F.min("msg_pos").alias("msg_pos"), *[x.alias(c) for c, x in _totals().items()])
+    named = F.when(F.col("name") != "", F.struct(*outer, "msg_pos", *inner))
+    over = {"first_ts": F.min, "last_ts": F.max}
+    return by_name.groupBy("email").agg(F.coalesce(F.min_by("name", named), F.lit("")).alias("name"), *[over.get(c, F.sum)(c).alias(c) for c in _totals()])
+
+
+def contact_stats_at_once(exchanges: DataFrame) -> DataFrame:
+    """contact_stats() as one aggregation, for streams, whose state can be that of one only."""
+    named = F.when(F.col("name") != "", F.struct(*[c for c in ("source_file", "msg_pos", "rcpt_idx") if c in exchanges.columns]))
+    return exchanges.groupBy(F.col("contact").alias("email")).agg(F.coalesce(F.min_by("name", named), F.lit("")).alias("name"), *[x.alias(c) for c, x in _totals().items()])
 
 
 def _rate(total: Column) -> Column:

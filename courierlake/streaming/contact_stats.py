@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.stats import contact_stats
+from ..operators.stats import contact_stats_at_once
 from ..sources.folded import FoldedTable
 
 PARTIAL = (
@@ -22,7 +22,7 @@ PARTIAL = (
 
 def running_stats(exchanges: DataFrame) -> DataFrame:
     """contact_stats() as a stream's state; use output mode update or complete."""
-    return contact_stats(exchanges)
+    return contact_stats_at_once(exchanges)
 
 
 def partial_stats(exchanges: DataFrame) -> DataFrame:

@@ -46,6 +46,18 @@ def test_streams_equal_the_batch_under_any_cut(spark, tmp_path, cut, compact_eve
     assert _sorted(spark.table(name)) == wanted
 
 
+def test_statistics_need_no_sort_of_all_rows(spark):
+    rows = _exchanges(60, 8)
+    df = spark.createDataFrame(rows, EXCHANGES)
+    assert _sorted(stats.contact_stats(df)) == _sorted(stats.contact_stats_at_once(df))
+    few = df.drop("source_file", "rcpt_idx")
+    assert _sorted(stats.contact_stats(few)) == _sorted(stats.contact_stats_at_once(few))
+    plan = stats.contact_stats(df)._jdf.queryExecution().sparkPlan().toString().splitlines()
+    kinds = [line.split("(")[0].split()[-1] for line in plan if "Aggregate" in line.split("(")[0]]
+    # From the top: by contact, final and partial; by contact and name, final and partial.
+    assert [k.removeprefix("+-").strip() for k in kinds] == ["SortAggregate", "SortAggregate", "HashAggregate", "HashAggregate"]
+
+
 def test_late_and_repeated_parts(spark, tmp_path):
     rows = _exchanges(30, 5)
     table = contact_table(spark, str(tmp_path / "t"))
