@@ -34,9 +34,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, unused
+from .shared import materialize
 
 SAMPLE_ROWS = 12_000
+#: Texts that a worker looks at at once: a text has about a thousand features.
+SLICE_ROWS = 50
 VOTERS = 400
 FEATURES = 3000
 PREFIXES = (3, 4, 5, 6, 7)
@@ -161,6 +163,13 @@ def logistic(x: list[np.ndarray], size: int, y: np.ndarray, steps: int = 300, de
     return w, b
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most so many, so that what a worker makes of them stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Learns from the labelled rows outside the held-out fold."""
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y is not null").where(~held_out(F.col("id")))
@@ -169,7 +178,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [sorted(text_features(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.list_(pa.string()))], names=["id", "y", "features"])
 
@@ -194,7 +203,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     index = {f: i for i, f in enumerate(wanted)}
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             at = [[index[f] for f in fs if f in index] for fs in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32()))], names=["y", "at"])
 
@@ -214,8 +223,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, carry: str | None = None) -> DataFrame:
     """id, score, predicted for every row; with carry, all columns of docs and the score under that name instead."""
-    text = unused(docs.columns, "text")
-    base = docs.withColumn(text, F.col(text_col)) if carry else docs.select(F.col(id_col), F.col(text_col).alias(text))
+    # Texts are sent to the workers once, also where they are carried.
+    base = docs if carry else docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    at = [c.lower() for c in docs.columns].index(text_col.lower()) if carry else 1
     kind = docs.select(F.col(id_col)).schema[0].dataType.simpleString()
     if carry:
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -227,9 +237,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         cache: dict[str, tuple[str, ...]] = {}
         weights = model.weights
         patterns = [(name, p) for name, p in PATTERNS.items() if name in weights]
-        for b in batches:
+        for b in slices(batches, 20 * SLICE_ROWS):
             out = np.empty(b.num_rows)
-            for i, text in enumerate(b.column(b.num_columns - 1)):
+            for i, text in enumerate(b.column(at)):
                 text = text.as_py() or ""
                 found: set[str] = set()
                 for w in set(WORDS.findall(text.lower())):
@@ -242,8 +252,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
                 out[i] = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0)))
             if len(cache) > CACHE_WORDS:
                 cache.clear()
-            columns = [b.column(j) for j in range(b.num_columns - 1)] if carry else [b.column(0)]
-            names = list(b.schema.names[:-1]) if carry else ["doc"]
+            columns = b.columns if carry else [b.column(0)]
+            names = list(b.schema.names) if carry else ["doc"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(out)], names=[*names, carry or "score"])
 
     scored = base.mapInArrow(score, schema)

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -666,6 +667,21 @@ def test_repeated_labelled_rows_are_learned_once(spark):
     assert toxicity.fit_toxicity(once.unionByName(once).unionByName(once), labels) == toxicity.fit_toxicity(once, labels)
 
 
+def test_toxicity_workers_take_few_rows_at_a_time(spark):
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1001))})
+    parts = list(toxicity.slices(iter([batch, batch.slice(0, 0)])))
+    assert [x for p in parts for x in p["a"].to_pylist()] == list(range(1001))
+    assert max(p.num_rows for p in parts) <= toxicity.SLICE_ROWS
+    # Carried texts are sent once, and found wherever they stand.
+    model = toxicity.ToxicityModel(-2.0, {"idiot": 4.0})
+    docs = spark.createDataFrame([(1, "you idiot", "x"), (2, None, "idiot")], "doc_id bigint, Text string, text_ string")
+    kept = toxicity.score_toxicity(docs, model, carry="score")
+    assert "AS text" not in kept._jdf.queryExecution().analyzed().toString()
+    plain = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(docs, model).collect()}
+    assert [tuple(r) for r in kept.orderBy("doc_id").collect()] == [(1, "you idiot", "x", plain[1]), (2, None, "idiot", plain[2])]
+    assert plain[1] > 0.8 > 0.2 > plain[2]
+
+
 # ---- URLs --------------------------------------------------------------------------------------------------
 
 
