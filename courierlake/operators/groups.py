@@ -9,7 +9,7 @@ from .. import rules
 from ..files import written
 from ..functions.dates import day
 from ..functions.text import clean_subject, domain
-from .order import numbered, paged
+from .order import dealt, join_dealt, numbered, paged
 
 
 def organisational(contacts: DataFrame) -> DataFrame:
@@ -32,13 +32,19 @@ def message_members(mails: DataFrame, me: str) -> DataFrame:
     return rows.where("label <> ''").select("label", member.alias("member")).where((F.col("member") != "") & (F.col("member") != me)).distinct()
 
 
+def event_people(events: DataFrame, me: str) -> DataFrame:
+    """(uid, member) of all series, each once, as a table in the shared folder."""
+    people = events.select("uid", F.explode("attendees").alias("a")).select("uid", F.lower(F.trim("a.email")).alias("member"))
+    people = written(people.where((F.col("member") != "") & (F.col("member") != me)))
+    return written(dealt(people, people.count(), "uid", "member").distinct())
+
+
 def event_series(events: DataFrame, me: str) -> tuple[DataFrame, DataFrame]:
     """Series with at least two members: (uid, base, date, first_id), and (uid, member) of all. The latter is written to the shared folder."""
     series = events.groupBy("uid").agg(
         F.min("event_id").alias("first_id"), F.min_by(F.trim("summary"), F.when(F.trim("summary") != "", F.col("event_id"))).alias("title"), F.min("dtstart").alias("dtstart")
     )
-    people = events.select("uid", F.explode("attendees").alias("a")).select("uid", F.lower(F.trim("a.email")).alias("member"))
-    members = written(people.where((F.col("member") != "") & (F.col("member") != me)).distinct())
+    members = event_people(events, me)
     sizes = members.groupBy("uid").agg(F.count(F.lit(1)).alias("size")).where("size >= 2")
     kept = series.join(sizes, "uid", "left_semi")
     return kept.select("uid", F.coalesce("title", F.lit("(untitled event)")).alias("base"), day(F.col("dtstart")).alias("date"), "first_id"), members
@@ -122,9 +128,11 @@ def event_labels(series: DataFrame) -> DataFrame:
 
 def event_members(events: DataFrame, me: str, labels: bool = True) -> DataFrame:
     """(label, member, uid) of series with at least two members besides me; without labels (uid, member) alone."""
-    series, members = event_series(events, me)
     if not labels:
-        return members.join(series.select("uid"), "uid")
+        people = event_people(events, me)
+        sizes = _sizes(people, "uid").where("size >= 2")
+        return written(join_dealt(people, sizes, "uid", "size", people.count()).select("uid", "member"))
+    series, members = event_series(events, me)
     return members.join(event_labels(series), "uid").select("label", "member", "uid")
 
 
@@ -134,6 +142,18 @@ def gather(members: DataFrame, least: int = 2) -> DataFrame:
     return groups.withColumn("size", F.size("members").cast("bigint")).where(F.col("size") >= least)
 
 
+def _each_once(members: DataFrame) -> tuple[DataFrame, int]:
+    """(label, member), each once, and the number of rows that they come from. Large groups are split over tasks."""
+    rows = members.select("label", "member")
+    total = rows.count()
+    return dealt(rows, total, "label", "member").distinct(), total
+
+
+def _sizes(rows: DataFrame, key: str = "label") -> DataFrame:
+    """key and size; rows of a key that many have are added up before they meet."""
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("size"))
+
+
 def group_scores(members: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """Groups with MIN_GROUP visible members: count, score, received, sent, domains; the best first."""
     joined = members.select("label", "member").distinct().join(nodes.select(F.lower("email").alias("member"), "score", "received", "sent"), "member")
@@ -161,11 +181,11 @@ def ring_edges(members: DataFrame, most: int = rules.MAX_ROPE) -> DataFrame:
 
     members(label, member) may hold groups of any size: larger ones are counted, but never gathered.
     """
-    rows = members.select("label", "member").distinct()
-    few = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where(F.col("size").between(2, most))
+    rows, total = _each_once(members)
     group = Window.partitionBy("label").orderBy("member")
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    linked = rows.join(few, "label").select("label", "size", F.col("member").alias("a"), F.lead("member").over(group).alias("next"), F.first("member").over(whole).alias("first"))
+    few = join_dealt(rows, _sizes(rows), "label", "size", total).where(F.col("size").between(2, most))
+    linked = few.select("label", "size", F.col("member").alias("a"), F.lead("member").over(group).alias("next"), F.first("member").over(whole).alias("first"))
     return linked.where("next is not null or size > 2").select("label", "a", F.coalesce("next", "first").alias("b"))
 
 

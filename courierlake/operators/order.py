@@ -23,6 +23,10 @@ from ..files import written
 RANGES = 256
 ACCURACY = 10_000
 
+#: Rows that a partition of dealt() has on average, and the share of all rows, 1/HEAVY, from which a key is broadcast.
+PART_ROWS = 250_000
+HEAVY = 1000
+
 
 def _own(columns: list[str], *names: str) -> list[str]:
     """The names, each longer where a column has it."""
@@ -35,6 +39,26 @@ def _own(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+def dealt(rows: DataFrame, total: int, *keys: str) -> DataFrame:
+    """rows dealt out by keys, to as many partitions as `total` rows ask for, so that a task's share does not grow with the data.
+
+    The session's number of partitions knows nothing of the input, and small partitions are put together up to a size in
+    compressed bytes, of which a task that sorts or hashes needs many times as much.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(max(cores, -(-total // PART_ROWS)), *keys)
+
+
+def join_dealt(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """Inner join of rows with one fact row per key, where weight says how many of the `total` rows have the key.
+
+    Keys with more than 1/HEAVY of all rows, at most HEAVY of them, come by broadcast; all others are dealt out.
+    """
+    heavy, light = facts.where(F.col(weight) > total / HEAVY), facts.where(F.col(weight) <= total / HEAVY)
+    others = rows.join(F.broadcast(heavy.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(heavy), key).unionByName(dealt(others, total, key).join(dealt(light, total, key), key))
+
+
 def with_rank(rows: DataFrame, value: Column | str, name: str, descending: bool = True, among: DataFrame | None = None) -> DataFrame:
     """rows with their competition rank (1, 1, 3) by a number. among: a table with the same values, if rows is costly to read twice.
 

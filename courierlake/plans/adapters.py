@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..files import scratch_dir
+from ..operators.order import dealt
 
 ME = "s1@corp1.example"
 #: 2024-02-01, the end of look-back windows.
@@ -71,10 +72,13 @@ def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with their attendees in order, also events without any; ten people make an event at most here, so the lists are short."""
     people = _table(spark, sf_dir, _ATTENDEE, "lineitem")
+    # Lists and events meet where the rows have been dealt, in shares that do not grow with the tables.
+    total = people.count()
+    people = dealt(people, total, "event_id")
     lists = people.selectExpr("event_id", "struct(pos, email, name, '' as role, partstat, '' as cutype) as a").groupBy("event_id").agg({"a": "collect_list"})
     lists = lists.withColumnRenamed("collect_list(a)", "a").selectExpr("event_id", "transform(sort_array(a), x -> struct(x.email, x.name, x.role, x.partstat, x.cutype)) as attendees")
     nobody = "cast(array() as array<struct<email:string,name:string,role:string,partstat:string,cutype:string>>)"
-    return _table(spark, sf_dir, _EVENT, "orders").join(lists, "event_id", "left").withColumn("attendees", F.expr(f"coalesce(attendees, {nobody})"))
+    return dealt(_table(spark, sf_dir, _EVENT, "orders"), total, "event_id").join(lists, "event_id", "left").withColumn("attendees", F.expr(f"coalesce(attendees, {nobody})"))
 
 
 def mail_archive(spark: SparkSession, sf_dir: str) -> str:
