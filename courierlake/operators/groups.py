@@ -156,14 +156,12 @@ def _sizes(rows: DataFrame, key: str = "label") -> DataFrame:
 
 def group_scores(members: DataFrame, nodes: DataFrame, limit: int | None = None) -> DataFrame:
     """Groups with MIN_GROUP visible members: count, score, received, sent, domains; the best first."""
-    joined = members.select("label", "member").distinct().join(nodes.select(F.lower("email").alias("member"), "score", "received", "sent"), "member")
-    groups = joined.groupBy("label").agg(
-        F.count(F.lit(1)).alias("members"),
-        F.sum("score").alias("score"),
-        F.sum("received").alias("received"),
-        F.sum("sent").alias("sent"),
-        F.count_distinct(domain(F.col("member"))).alias("domains"),
-    )
+    rows, total = _each_once(members)
+    facts = nodes.select(F.lower("email").alias("member"), "score", "received", "sent").join(_sizes(rows, "member"), "member")
+    joined = join_dealt(rows, facts, "member", "size", total).withColumn("domain", domain(F.col("member")))
+    sums = [F.sum(c).alias(c) for c in ("score", "received", "sent")]
+    parts = dealt(joined, total, "label", "domain").groupBy("label", "domain").agg(F.count(F.lit(1)).alias("members"), *sums)
+    groups = dealt(parts, total, "label").groupBy("label").agg(F.sum("members").alias("members"), *sums, F.count("domain").alias("domains"))
     groups = groups.where(F.col("members") >= rules.MIN_GROUP).orderBy(F.desc("score"), "label")
     return groups.limit(limit) if limit else groups
 
