@@ -168,9 +168,9 @@ def group_scores(members: DataFrame, nodes: DataFrame, limit: int | None = None)
 
 def co_members(members: DataFrame, email: str, least: int = rules.MIN_GROUP) -> DataFrame:
     """Contacts that share a group with one contact: label of the largest shared group, and how many."""
-    sizes = members.groupBy("label").agg(F.count_distinct("member").alias("size")).where(F.col("size") >= least)
-    own = members.where(F.col("member") == email).select("label").distinct().join(sizes, "label")
-    shared = members.join(own, "label").where(F.col("member") != email).select("label", "member", "size").distinct()
+    rows, total = _each_once(members)
+    own = rows.where(F.col("member") == email).select("label").join(_sizes(rows).where(F.col("size") >= least), "label")
+    shared = join_dealt(rows, own, "label", "size", total).where(F.col("member") != email)
     return shared.groupBy("member").agg(F.count(F.lit(1)).alias("shared"), F.min_by("label", F.struct(-F.col("size"), F.col("label"))).alias("largest"))
 
 

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from courierlake.operators import groups
+from courierlake.operators import groups, order
 
 ME = "me@x.com"
 
@@ -82,3 +83,33 @@ def test_series_to_groups(spark):
     }
     assert {r["uid"] for r in groups.event_members(spark.createDataFrame(rows, EVENT), ME, labels=False).collect()} == {"s1", "s2", "s3", "s4", "s5", "s6"}
     assert groups.event_members(spark.createDataFrame([], EVENT), ME).isEmpty()
+
+
+@pytest.mark.parametrize("heavy", [1000, 10])
+def test_shares_of_tasks_follow_the_input(spark, monkeypatch, heavy):
+    """One large group, one member of all groups and repeated rows: the results of plain Python, from partitions of bounded size."""
+    monkeypatch.setattr(order, "PART_ROWS", 50)
+    monkeypatch.setattr(order, "HEAVY", heavy)
+    pairs = [(f"g{i % 60}", f"u{i * 7 % 90}@d{i % 5}.x") for i in range(400)] + [("big", f"u{i}@d{i % 3}.x") for i in range(600)] + [(f"g{i}", "all@d.x") for i in range(60)] + [("two", "a@d.x"), ("two", "b@d.x"), ("one", "a@d.x")]
+    members = spark.createDataFrame(pairs + pairs[:300], "label string, member string")
+    rows, total = groups._each_once(members)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    assert total == len(pairs) + 300 and len(sizes) >= total // 50 and max(sizes) < 2.5 * 50
+    own: dict[str, set] = {}
+    for label, member in pairs:
+        own.setdefault(label, set()).add(member)
+    ring = {(g, m[i], m[(i + 1) % len(m)]) for g, x in own.items() if 2 <= len(x) <= 8 for m in [sorted(x)] for i in range(1 if len(m) == 2 else len(m))}
+    assert sorted(tuple(r) for r in groups.ring_edges(members).collect()) == sorted(ring)
+    for email in ("all@d.x", "u7@d1.x", "a@d.x"):
+        shared: dict[str, list] = {}
+        for g, x in own.items():
+            if email in x and len(x) >= 3:
+                for m in x - {email}:
+                    shared.setdefault(m, []).append((-len(x), g))
+        assert {tuple(r) for r in groups.co_members(members, email).select("member", "shared", "largest").collect()} == {(m, len(v), min(v)[1]) for m, v in shared.items()}
+    known = {m: i for i, m in enumerate(sorted({m for _, m in pairs})) if i % 4}
+    nodes = spark.createDataFrame([(m.upper(), float(i), i, 2 * i) for m, i in known.items()], "email string, score double, received bigint, sent bigint")
+    told = {(g, len(v), float(sum(known[m] for m in v)), sum(known[m] for m in v), 2 * sum(known[m] for m in v), len({m.split("@")[1] for m in v})) for g, x in own.items() for v in [x & set(known)] if len(v) >= 3}
+    found = groups.group_scores(members, nodes).select("label", "members", "score", "received", "sent", "domains").collect()
+    assert {tuple(r) for r in found} == told and len(found) == len(told)
+    assert [(-r["score"], r["label"]) for r in found] == sorted((-r["score"], r["label"]) for r in found)
