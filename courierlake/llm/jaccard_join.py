@@ -44,13 +44,16 @@ HOT = 64
 #: Shingles of a block, about; and of a bucket.
 BLOCK_SHINGLES = 2_000_000
 BUCKET_SHINGLES = 3_000_000
+#: Documents whose prefixes are Python objects at once: one for each of some hundred tokens.
+DOCUMENTS = 250
 LEADER_ROUNDS = 3
 #: So many ids, counted first, are broadcast to a scan (8 bytes each); more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Rows of one token, or pairs of one leader, that a task takes before they are split.
 SPLIT = 256
 SUFFIX_PARTS = 16
-_CHUNK = 1 << 20
+#: Bytes of text hashed at once, which take about forty times as much memory.
+_CHUNK = 1 << 18
 _MASK = np.uint64((1 << 48) - 1)
 _R = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -153,27 +156,36 @@ def set_sums(h: np.ndarray, n: np.ndarray) -> np.ndarray:
     return sums
 
 
+def frequent_values(h: np.ndarray, least: int) -> np.ndarray:
+    """The values that h holds so many times or more, in order."""
+    s = np.sort(h)
+    return np.unique(s[least - 1 :][s[least - 1 :] == s[: max(len(s) - least + 1, 0)]])
+
+
+def among(h: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which of h are among values, which are in order."""
+    out = np.zeros(len(h), bool)
+    for lo in range(0, len(h) if len(values) else 0, _CHUNK):
+        part = h[lo : lo + _CHUNK]
+        out[lo : lo + _CHUNK] = values[np.minimum(np.searchsorted(values, part), len(values) - 1)] == part
+    return out
+
+
 def _blocks(buckets: int, size: int, frequent: int):
     """Reads documents, sends each block's shingles to the buckets and keeps a header with the set sizes."""
 
-    def send(uid: np.ndarray, h: np.ndarray, of: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def send(uid: np.ndarray, n: np.ndarray, sums: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         block = int(uid[0])
-        n = np.bincount(of, minlength=len(uid))
-        sums = set_sums(h, n)
-        h = h & _MASK
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        run = np.cumsum(new) - 1
-        hot = np.zeros(len(h), bool)
-        if len(s):
-            hot[order] = np.bincount(run)[run] >= frequent
+        of = np.repeat(np.arange(len(uid), dtype=np.int32), n)
+        notes = frequent_values(h, frequent)
+        hot = among(h, notes)
         yield _row(block, -1, HEADER, uid.astype("<i8").tobytes(), np.concatenate([n.astype("<i4"), _runs(of[hot], len(uid))]).tobytes(), _pack48(h[hot]), sums.astype("<u8").tobytes())
-        notes = np.unique(h[hot])
-        place = (h % np.uint64(buckets)).astype(np.int64)
+        place = np.empty(len(h), np.int32)
+        np.remainder(h, np.uint64(buckets), out=place, casting="unsafe")
         place[hot] = -1
+        cuts = np.cumsum(np.bincount(place + 1, minlength=buckets + 1))
         order = np.argsort(place, kind="stable")
-        cuts = np.searchsorted(place[order], np.arange(buckets + 1))
+        del hot, place
         for k in range(buckets):
             at = order[cuts[k] : cuts[k + 1]]
             mine = notes[notes % np.uint64(buckets) == k]
@@ -182,11 +194,13 @@ def _blocks(buckets: int, size: int, frequent: int):
                 yield _row(block, k, ASK, docs.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), _pack48(h[at]), _pack48(mine))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Ids, set sizes, sums and tokens: the texts follow each other, so sizes tell which text a token is of.
         held, total = [], 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            base = np.cumsum([0] + [len(u) for u, _, _ in held])
-            yield from send(np.concatenate([u for u, _, _ in held]), np.concatenate([h for _, h, _ in held]), np.concatenate([o + b for (_, _, o), b in zip(held, base, strict=False)]))
+        def together() -> list[np.ndarray]:
+            columns = [np.concatenate(c, axis=-1) for c in zip(*held, strict=True)]
+            held.clear()
+            return columns
 
         for b in batches:
             uid = b.column(0).to_numpy(zero_copy_only=False)
@@ -199,14 +213,15 @@ def _blocks(buckets: int, size: int, frequent: int):
                 order = np.lexsort((h, of))
                 h, of = h[order], of[order]
                 new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])]) if len(h) else np.zeros(0, bool)
-                held.append((uid[lo:hi], h[new], of[new]))
-                total += int(new.sum())
+                h, n = h[new], np.bincount(of[new], minlength=hi - lo)
+                held.append((uid[lo:hi], n, set_sums(h, n), h & _MASK))
+                total += len(h)
                 lo = hi
                 if total >= BLOCK_SHINGLES:
-                    yield from flush()
-                    held, total = [], 0
+                    yield from send(*together())
+                    total = 0
         if held:
-            yield from flush()
+            yield from send(*together())
 
     return blocks
 
@@ -224,26 +239,20 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(asks.pop(bucket), key=lambda r: r["block"])
         h = np.concatenate([_unpack48(r["shingles"]) for r in rows])
         hot = np.unique(np.concatenate([_unpack48(r["numbers"]) for r in rows]))
-        order = np.argsort(h, kind="stable")
-        s = h[order]
-        new = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, bool)
-        run = np.cumsum(new) - 1
-        frequency = np.zeros(len(h), np.int64)
-        if len(s):
-            frequency[order] = np.bincount(run)[run]
-        if len(hot) and len(h):
-            at = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-            frequency[hot[at] == h] = (1 << 31) - 1
-        at = 0
+        h.sort()
+        # The tokens that occur more than once or are noted, and how often they do; all others occur once.
+        known = np.union1d(frequent_values(h, 2), hot)
+        frequency = np.searchsorted(h, known, side="right") - np.searchsorted(h, known)
+        frequency[among(known, hot)] = (1 << 31) - 1
+        del h
         for r in rows:
-            n = len(r["shingles"]) // 6
-            f, mine = frequency[at : at + n], h[at : at + n]
-            at += n
-            keep = f > 1
+            mine = _unpack48(r["shingles"])
+            keep = among(mine, known)
             if keep.any():
                 docs = np.repeat(np.frombuffer(r["docs"], "<i4"), np.frombuffer(r["counts"], "<i4"))[keep]
                 docs, counts = np.unique(docs, return_counts=True)
-                yield _row(r["block"], bucket, ANSWER, docs.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), _pack48(mine[keep]), f[keep].astype("<i4").tobytes())
+                f = frequency[np.searchsorted(known, mine[keep])]
+                yield _row(r["block"], bucket, ANSWER, docs.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), _pack48(mine[keep]), f.astype("<i4").tobytes())
 
 
 _DOC = "uid bigint, n int, key binary, known int, prefix array<struct<token:bigint,place:int>>, parts array<int>"
@@ -264,8 +273,8 @@ def _prefixes(percent: int):
         n, hot_runs = numbers[: len(uid)].astype(np.int64), numbers[len(uid) :]
         answers = [r for r in rows if r["kind"] == ANSWER]
         h = np.concatenate([_unpack48(head["shingles"])] + [_unpack48(r["shingles"]) for r in answers])
-        of = np.concatenate([np.repeat(np.arange(len(uid)), hot_runs)] + [np.repeat(np.frombuffer(r["docs"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in answers]).astype(np.int64)
-        f = np.concatenate([np.full(len(head["shingles"]) // 6, (1 << 31) - 1)] + [np.frombuffer(r["numbers"], "<i4") for r in answers]).astype(np.int64)
+        of = np.concatenate([np.repeat(np.arange(len(uid), dtype=np.int32), hot_runs)] + [np.repeat(np.frombuffer(r["docs"], "<i4"), np.frombuffer(r["counts"], "<i4")) for r in answers])
+        f = np.concatenate([np.full(len(head["shingles"]) // 6, (1 << 31) - 1, np.int32)] + [np.frombuffer(r["numbers"], "<i4") for r in answers])
         known = np.bincount(of, minlength=len(uid))
         inside = prefix_length(n, percent) - (n - known)
         maybe = (inside > 0) & (n > 0)
@@ -273,10 +282,11 @@ def _prefixes(percent: int):
         h, of, f = h[keep], of[keep], f[keep]
         order = np.lexsort((h, f, of))
         h, of = h[order], of[order]
+        del order, f, keep
         cuts = np.searchsorted(of, np.arange(len(uid) + 1))
-        for lo in range(0, len(uid), 2000):
+        for lo in range(0, len(uid), DOCUMENTS):
             out = []
-            for i in range(lo, min(lo + 2000, len(uid))):
+            for i in range(lo, min(lo + DOCUMENTS, len(uid))):
                 if not maybe[i]:
                     out.append((int(uid[i]), int(n[i]), None, None, None, None))
                     continue

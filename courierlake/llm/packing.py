@@ -6,7 +6,7 @@ window may be opened, the fullest is topped up with the head of the piece and em
 the end of a partition - at most OPEN_WINDOWS - are merged in groups of MERGE_PARTITIONS partitions, again
 into full windows; what then remains of a group, less than one window, is cut at powers of two, where no
 padding is needed. Memory per task: the open windows, the merge group of bounded size, one text with its ids, and a
-cache of token ids by word, bounded in bytes, which the tasks of a worker process share. Added tokens of the vocabulary (<|endoftext|>) in a text have their
+cache of token ids by word, bounded in bytes and emptied with the task. Added tokens of the vocabulary (<|endoftext|>) in a text have their
 own ids. A sequence is due where the earliest of its documents is.
 
 Defined cases: null text counts as empty and yields the separator alone; ids may be null or repeated and are
@@ -101,10 +101,14 @@ class WordTokenizer:
             self._learn(list({w for w in words if w not in self._cache}))
             out = head + b"".join(map(self._cache.__getitem__, words))
         if self._held > CACHE_BYTES:
-            self._cache.clear()
-            self._held = 0
+            self.forget()
         return out
 
+    def forget(self) -> None:
+        """Empties the cache."""
+        self._cache.clear()
+        self._held = 0
+
     def _learn(self, words: list[str]) -> None:
         ids = np.array(self._encode(" " + " ".join(words)), "<u4")
         cuts = np.flatnonzero(self._starts[ids]).tolist() + [len(ids)]
@@ -117,7 +121,7 @@ _loaded: dict[tuple, WordTokenizer] = {}
 
 
 def tokenizer_of(path: str, added: dict[str, int] | None = None) -> WordTokenizer:
-    """The tokenizer of a file with given added tokens, or its own, loaded once in each worker process, whose tasks share its cache."""
+    """The tokenizer of a file with given added tokens, or its own, loaded once in each worker process."""
     added = added_tokens(path) if added is None else added
     key = (path, tuple(added.items()))
     if key not in _loaded:
@@ -210,6 +214,9 @@ def pack_documents(
                 if held > 8 << 20 and rows:
                     yield batch(rows, False)
                     rows, held = [], 0
+        if words:
+            # The worker process stays, and what it held would be missing in later stages.
+            words.forget()
         if rows:
             yield batch(rows, False)
         if rows := windows.leftovers():

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import shutil
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -421,6 +422,17 @@ def test_long_texts_pack_in_linear_time():
     assert took[1] < 12 * max(took[0], 0.002)
 
 
+def test_workers_keep_no_words_after_packing(spark):
+    docs = spark.createDataFrame([(i, prose(200, i)) for i in range(40)], "doc_id bigint, text string").repartition(4)
+    assert packing.pack_documents(docs, vocabulary("tiktoken")).count() > 0
+
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(w._cache) for w in packing._loaded.values())], pa.int64())], names=["n"])
+
+    assert spark.range(0, 64, 1, 8).mapInArrow(held, "n bigint").agg(F.max("n")).first()[0] == 0
+
+
 def test_word_cache_is_bounded_in_bytes(monkeypatch):
     monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
     words = packing.WordTokenizer(vocabulary("json"))
@@ -499,6 +511,37 @@ def test_similar_documents(docs, empty):
     assert jaccard_join.similar_documents(empty).count() == 0
 
 
+def test_blocks_and_buckets_take_little_memory():
+    texts = [b" ".join(b"%d" % (k * 7919 + i) for i in range(500)) for k in range(1200)] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary())], names=["uid", "body"])
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0]
+        asked = []
+        for row in jaccard_join._blocks(1, 5, jaccard_join.HOT)(iter([batch])):
+            asked.append(row)
+        shingles = sum(len(r["shingles"]) // 6 for b in asked for r in b.to_pylist())
+        assert shingles == 2400 * 496
+        assert tracemalloc.get_traced_memory()[1] - before < 55 * shingles
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        counts = [r for b in jaccard_join._count(iter(asked)) for r in b.to_pylist() if r["kind"] == jaccard_join.ANSWER]
+        assert tracemalloc.get_traced_memory()[1] - before < 65 * shingles
+    finally:
+        tracemalloc.stop()
+    assert [len(r["shingles"]) // 6 for r in counts] == [shingles] and min(np.frombuffer(counts[0]["numbers"], "<i4")) >= 2
+
+
+@pytest.mark.parametrize("least", [2, 3, 64])
+def test_frequent_values(least):
+    r = np.random.default_rng(least)
+    for n in (0, 1, least, 1000):
+        h = r.integers(0, 1 + n // 3, n).astype(np.uint64)
+        found = jaccard_join.frequent_values(h, least)
+        assert found.tolist() == sorted(x for x, k in Counter(h.tolist()).items() if k >= least)
+        assert jaccard_join.among(h, found).tolist() == [x in set(found.tolist()) for x in h.tolist()]
+
+
 @pytest.mark.parametrize("frequent", [jaccard_join.HOT, 8])
 def test_similar_documents_of_a_large_group(spark, frequent):
     base, other = prose(90, 50), prose(90, 51)
